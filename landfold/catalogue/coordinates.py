@@ -55,8 +55,7 @@ GEO = "geo AS (SELECT pt_id, 1142e-1+x/1e5 AS lon, 223e-1+z/1e5 AS lat FROM pts)
 @query("b2_geographic_to_grid", f"WITH {GEO}, {_geodetic_sql()} SELECT pt_id, round(e,3) AS easting, round(n,3) AS northing FROM grid")
 def _(t):
     p = t.pts.select("pt_id", (F.lit(114.2) + F.col("x") / 1e5).alias("lon"), (F.lit(22.3) + F.col("z") / 1e5).alias("lat"))
-    e, n = geodesy.wgs84_to_grid("lon", "lat")
-    return p.select("pt_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+    return geodesy.wgs84_to_grid(p, "lon", "lat").select("pt_id", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"))
 
 
 @query("b3_ecef_to_local", f"WITH {GEO}, {_geodetic_sql()} SELECT g.pt_id, round(e-844800,2) AS lx, round(p.y,2) AS ly, round(820500-n,2) AS lz FROM grid g JOIN pts p ON p.pt_id=g.pt_id")
@@ -65,8 +64,8 @@ def _(t):
     lat = F.radians(F.lit(22.3) + F.col("z") / 1e5)
     ecef = dict(zip(("ex", "ey", "ez"), geodesy.geodetic_to_ecef(lon, lat, F.col("y"))))
     p = t.pts.select("pt_id", *[c.alias(n) for n, c in ecef.items()])
-    x, y, z = geodesy.ecef_to_local("ex", "ey", "ez", E0, N0)
-    return p.select("pt_id", F.round(x, 2).alias("lx"), F.round(y, 2).alias("ly"), F.round(z, 2).alias("lz"))
+    p = geodesy.ecef_to_local(p, ("ex", "ey", "ez"), E0, N0)
+    return p.select("pt_id", *[F.round(c, 2).alias(c) for c in ("lx", "ly", "lz")])
 
 
 def _matrix(t):

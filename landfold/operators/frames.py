@@ -28,32 +28,39 @@ def compose_transforms(nodes: DataFrame) -> DataFrame:
 def linearise(tiles: DataFrame, origin_e: float, origin_n: float, step: float = 1.0) -> DataFrame:
     """Affine placement of each tile by central differences, and its largest error at the tile's box corners.
 
-    tiles: tile_id, ox, oy, oz (earth-centred origin), radius.
+    tiles: tile_id, ox, oy, oz (earth-centred origin), radius. Each tile is probed
+    at a fixed set of fifteen offsets: its origin, both ways along each axis, and
+    the eight corners.
     """
-    axes = ((1, 0, 0), (0, 1, 0), (0, 0, 1))
-
-    def at(dx, dy, dz):
-        return geodesy.ecef_to_local(F.col("ox") + dx, F.col("oy") + dy, F.col("oz") + dz, origin_e, origin_n)
-
-    base = tiles.withColumn("p0", F.array(*at(F.lit(0.0), F.lit(0.0), F.lit(0.0))))
-    for i, axis in enumerate(axes):
-        plus = at(*[F.lit(float(v * step)) for v in axis])
-        minus = at(*[F.lit(float(-v * step)) for v in axis])
-        base = base.withColumn(f"j{i}", F.array(*[(p - m) / (2 * step) for p, m in zip(plus, minus)]))
-    signs = F.array(*[F.array(*[F.lit(float(v)) for v in (a, b, c)]) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)])
-    probe = base.withColumn("s", F.explode(signs))
-    d = [F.col("s")[i] * F.col("radius") for i in range(3)]
-    exact = at(*d)
-    err = F.sqrt(sum(
-        (exact[k] - (F.col("p0")[k] + F.col("j0")[k] * d[0] + F.col("j1")[k] * d[1] + F.col("j2")[k] * d[2])) ** 2
-        for k in range(3)
-    ))
+    axes = [(i == 0, i == 1, i == 2) for i in range(3)]
+    probes = [(0.0, 0.0, 0.0, 0.0)]
+    for axis in axes:
+        probes += [(*[s * step * v for v in axis], 0.0) for s in (1.0, -1.0)]
+    corners = [(a, b, c) for a in (-1.0, 1.0) for b in (-1.0, 1.0) for c in (-1.0, 1.0)]
+    probes += [(*c, 1.0) for c in corners]
+    offsets = F.array(*[
+        F.struct(F.lit(i).alias("k"), *[F.lit(float(v)).alias(n) for n, v in zip(("fx", "fy", "fz", "scaled"), p)])
+        for i, p in enumerate(probes)
+    ])
+    at = tiles.select("*", F.inline(offsets))
+    reach = F.when(F.col("scaled") > 0, F.col("radius")).otherwise(1.0)
+    at = at.withColumns({f"p{a}": F.col(f"o{a}") + F.col(f"f{a}") * reach for a in "xyz"})
+    at = geodesy.ecef_to_local(at, ("px", "py", "pz"), origin_e, origin_n)
+    seen = at.groupBy("tile_id", "radius").agg(*[
+        F.max(F.when(F.col("k") == i, F.array("lx", "ly", "lz"))).alias(f"v{i}") for i in range(len(probes))
+    ])
+    slope = [[(F.col(f"v{1 + 2 * j}")[r] - F.col(f"v{2 + 2 * j}")[r]) / (2 * step) for r in range(3)] for j in range(3)]
+    fitted = seen.withColumns({f"j{j}": F.array(*slope[j]) for j in range(3)})
+    errors = []
+    for i, c in enumerate(corners):
+        gaps = [
+            F.col(f"v{7 + i}")[r] - (F.col("v0")[r] + sum((F.col(f"j{j}")[r] * F.col("radius") * c[j] for j in range(3)), F.lit(0.0)))
+            for r in range(3)
+        ]
+        errors.append(F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]))
     zero, one = F.lit(0.0), F.lit(1.0)
-    columns = [*[F.col("j0")[k] for k in range(3)], zero, *[F.col("j1")[k] for k in range(3)], zero,
-               *[F.col("j2")[k] for k in range(3)], zero, *[F.col("p0")[k] for k in range(3)], one]
-    return probe.groupBy("tile_id").agg(
-        F.first(F.array(*columns)).alias("matrix"), F.max(err).alias("max_error")
-    )
+    matrix = F.array(*[v for c, w in (("j0", zero), ("j1", zero), ("j2", zero), ("v0", one)) for v in (*[F.col(c)[r] for r in range(3)], w)])
+    return fitted.select("tile_id", matrix.alias("matrix"), F.greatest(*errors).alias("max_error"))
 
 
 def obb_aabb(boxes: DataFrame, key: str) -> DataFrame:
