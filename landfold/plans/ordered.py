@@ -79,3 +79,22 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     inside = Window.partitionBy(*keys, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     out = df.withColumns({n: over[k](c).over(inside) for n, (k, c) in values.items()}).join(parts, [*keys, "chunk"])
     return out.withColumns({n: join[k](F.col(f"_{n}"), F.col(n)) for n, (k, _) in values.items()}).drop("chunk", *[f"_{n}" for n in values])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], names: list[str]) -> DataFrame:
+    """Exact quantiles per key with linear interpolation between ranks, found by ranking, not by gathering."""
+    v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
+    ranked = numbered(v, keys, ["_v"], "_v", "_rn")
+    total = v.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = ranked.join(total, keys) if keys else ranked.crossJoin(F.broadcast(total))  # one row
+    at = [(F.lit(float(p)) * (F.col("_n") - 1)) for p in ps]
+    k = F.col("_rn") - 1
+    wanted = F.lit(False)
+    for a in at:
+        wanted = wanted | (k == F.floor(a)) | (k == F.ceil(a))
+    picks = [F.max(F.when(k == f(a), F.col("_v"))).alias(f"_{i}{s}") for i, a in enumerate(at) for s, f in (("lo", F.floor), ("hi", F.ceil))]
+    out = ranked.where(wanted).groupBy(*keys, "_n").agg(*picks)
+    frac = [a - F.floor(a) for a in at]
+    return out.select(*keys, *[
+        (F.col(f"_{i}lo") + (F.col(f"_{i}hi") - F.col(f"_{i}lo")) * frac[i]).alias(n) for i, n in enumerate(names)
+    ])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the shared checkpoint folder and read them back.
+
+    Survives the loss of executors, ends the lineage, and gives the next plan
+    true sizes; a checkpointed RDD would also carry the old plan's constraints
+    along, which grow with every round of a loop.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/landfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
