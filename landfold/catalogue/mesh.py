@@ -33,7 +33,7 @@ def _(t):
     return m.closure(t.tri, comp, t.tri.where("tri_idx%50=3"))
 
 
-STATS = f"""{NORMAL}, tf AS (SELECT n.*, c.component, sqrt(nx*nx+ny*ny+nz*nz)/2 AS area, (y1+y2+y3)/3-(tri_idx%30) AS gap FROM n JOIN comp c ON c.tri_idx=n.tri_idx),
+STATS = f"""{NORMAL}, tf AS (SELECT n.*, c.component, sqrt(nx*nx+ny*ny+nz*nz)/2 AS area, (y1+y2+y3)/3-(n.tri_idx%30) AS gap FROM n JOIN comp c ON c.tri_idx=n.tri_idx),
 stats AS (SELECT component, count(*) AS faces, sum(area) AS area, min(least(x1,x2,x3)) AS min_x, min(least(y1,y2,y3)) AS min_y, min(least(z1,z2,z3)) AS min_z, max(greatest(x1,x2,x3)) AS max_x, max(greatest(y1,y2,y3)) AS max_y, max(greatest(z1,z2,z3)) AS max_z, quantile_cont(gap,5e-2) AS gap_p05, quantile_cont(gap,5e-1) AS gap_median FROM tf GROUP BY component)"""
 
 
@@ -69,16 +69,16 @@ def _(t):
 
 EDGE3 = """ed AS (SELECT tri_idx, x1 AS px,y1 AS py,z1 AS pz,x2 AS qx,y2 AS qy,z2 AS qz FROM tri UNION ALL SELECT tri_idx, x2,y2,z2,x3,y3,z3 FROM tri UNION ALL SELECT tri_idx, x3,y3,z3,x1,y1,z1 FROM tri),
 un AS (SELECT tri_idx, CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN px ELSE qx END AS ax, CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN py ELSE qy END AS ay, CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN pz ELSE qz END AS az,
- CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN qx ELSE px END AS bx, CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN qy ELSE py END AS by, CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN qz ELSE pz END AS bz FROM ed)"""
+ CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN qx ELSE px END AS bx, CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN qy ELSE py END AS "by", CASE WHEN (px,py,pz)<=(qx,qy,qz) THEN qz ELSE pz END AS bz FROM ed)"""
 
 
-@query("e22_boundary_edges", f"WITH {EDGE3} SELECT ax,ay,az,bx,by,bz FROM un GROUP BY 1,2,3,4,5,6 HAVING count(*)=1")
+@query("e22_boundary_edges", f"""WITH {EDGE3} SELECT ax,ay,az,bx,"by",bz FROM un GROUP BY 1,2,3,4,5,6 HAVING count(*)=1""")
 def _(t):
     return m.boundary_edges(t.tri)
 
 
 @query("e37_crease_edges", f"""WITH {NORMAL}, {EDGE3}, j AS (SELECT u.*, nx/sqrt(nx*nx+ny*ny+nz*nz) AS ux, ny/sqrt(nx*nx+ny*ny+nz*nz) AS uy, nz/sqrt(nx*nx+ny*ny+nz*nz) AS uz FROM un u JOIN n ON n.tri_idx=u.tri_idx)
-SELECT ax,ay,az,bx,by,bz, count(*) AS faces FROM j GROUP BY 1,2,3,4,5,6 HAVING count(*)=1 OR (count(*)=2 AND (sum(ux)*sum(ux)+sum(uy)*sum(uy)+sum(uz)*sum(uz))/2-1 < cos(radians(35e0))-1e-12)""")
+SELECT ax,ay,az,bx,"by",bz, count(*) AS faces FROM j GROUP BY 1,2,3,4,5,6 HAVING count(*)=1 OR (count(*)=2 AND (sum(ux)*sum(ux)+sum(uy)*sum(uy)+sum(uz)*sum(uz))/2-1 < cos(radians(35e0))-1e-12)""")
 def _(t):
     return m.crease_edges(t.tri)
 
@@ -149,8 +149,8 @@ def _(t):
     return m.hit_histogram(hits(t), m.components(t.tri))
 
 
-@query("d30_clearance", f"""WITH {comp_sql()}, {STATS}, p AS (SELECT a.component AS a, b.component AS b, greatest(0e0,b.min_x-a.max_x,a.min_x-b.max_x) AS gx, greatest(0e0,b.min_y-a.max_y,a.min_y-b.max_y) AS gy, greatest(0e0,b.min_z-a.max_z,a.min_z-b.max_z) AS gz, a.min_y AS ay, b.max_y AS by FROM stats a JOIN stats b ON a.component<>b.component)
-SELECT a, round(min(sqrt(gx*gx+gy*gy+gz*gz)),6) AS separation, min(CASE WHEN gx=0 AND gz=0 AND by<=ay THEN ay-by END) AS gap_below, count(*) AS near FROM p WHERE sqrt(gx*gx+gy*gy+gz*gz)<=20 GROUP BY a""")
+@query("d30_clearance", f"""WITH {comp_sql()}, {STATS}, p AS (SELECT a.component AS a, b.component AS b, greatest(0e0,b.min_x-a.max_x,a.min_x-b.max_x) AS gx, greatest(0e0,b.min_y-a.max_y,a.min_y-b.max_y) AS gy, greatest(0e0,b.min_z-a.max_z,a.min_z-b.max_z) AS gz, a.min_y AS ay, b.max_y AS "by" FROM stats a JOIN stats b ON a.component<>b.component)
+SELECT a, round(min(sqrt(gx*gx+gy*gy+gz*gz)),6) AS separation, min(CASE WHEN gx=0 AND gz=0 AND "by"<=ay THEN ay-"by" END) AS gap_below, count(*) AS near FROM p WHERE sqrt(gx*gx+gy*gy+gz*gz)<=20 GROUP BY a""")
 def _(t):
     s = m.component_stats(t.tri, m.components(t.tri), ground(t))
     return m.clearance(s, s, 20.0).withColumn("separation", F.round("separation", 6))
