@@ -11,7 +11,7 @@ def frames(t):
     return t.frames.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
 
 
-AT = "f0 AS (SELECT session_id, event_id, epoch_us(ts) AS at, latency_ms, moving FROM frames)"
+AT = "f0 AS (SELECT session_id, event_id, epoch_us(ts) AS us, latency_ms, moving FROM frames)"
 
 
 @query("f1_rank", "SELECT group_id, score, row_number() OVER (ORDER BY score DESC, group_id) AS rank FROM budget_group")
@@ -19,23 +19,23 @@ def _(t):
     return numbered(t.budget_group.select("group_id", "score"), [], [F.col("score").desc(), "group_id"], "score", "rank", descending=True)
 
 
-@query("f5_frame_intervals", f"WITH {AT}, l AS (SELECT *, lag(at) OVER (PARTITION BY session_id ORDER BY at, event_id) AS prev FROM f0) SELECT session_id, event_id, moving, (at-prev)/1000 AS interval_ms FROM l WHERE prev IS NOT NULL AND (at-prev)/1000 < 6e6")
+@query("f5_frame_intervals", f"WITH {AT}, l AS (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS prev FROM f0) SELECT session_id, event_id, moving, (us-prev)/1000 AS interval_ms FROM l WHERE prev IS NOT NULL AND (us-prev)/1000 < 6e6")
 def _(t):
     return tm.frame_intervals(frames(t), max_gap_ms=6e6).select("session_id", "event_id", "moving", "interval_ms")
 
 
-@query("f6_rolling_quantiles", f"""WITH {AT}, w AS (SELECT session_id, event_id, list_sort(list(latency_ms) OVER (PARTITION BY session_id ORDER BY at, event_id ROWS BETWEEN 239 PRECEDING AND CURRENT ROW)) AS l FROM f0)
+@query("f6_rolling_quantiles", f"""WITH {AT}, w AS (SELECT session_id, event_id, list_sort(list(latency_ms) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS BETWEEN 239 PRECEDING AND CURRENT ROW)) AS l FROM f0)
 SELECT session_id, event_id, CAST(len(l) AS INTEGER) AS samples, l[CAST(floor(len(l)*5e-1) AS INTEGER)+1] AS p50, l[least(len(l), CAST(floor(len(l)*95e-2) AS INTEGER)+1)] AS p95 FROM w""")
 def _(t):
     return tm.rolling_quantiles(frames(t))
 
 
-@query("f7_slow_ratio", f"""WITH {AT}, r AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY session_id ORDER BY at, event_id)-1)/18e0) AS BIGINT) AS block FROM f0) SELECT session_id, block, count(*) AS frames, round(avg(CASE WHEN latency_ms>24 THEN 1e0 ELSE 0e0 END),9) AS slow FROM r GROUP BY 1,2""")
+@query("f7_slow_ratio", f"""WITH {AT}, r AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY session_id ORDER BY us, event_id)-1)/18e0) AS BIGINT) AS block FROM f0) SELECT session_id, block, count(*) AS frames, round(avg(CASE WHEN latency_ms>24 THEN 1e0 ELSE 0e0 END),9) AS slow FROM r GROUP BY 1,2""")
 def _(t):
     return tm.slow_ratio(frames(t), block=18).withColumn("slow", F.round("slow", 9))
 
 
-@query("f8_islands", f"""WITH {AT}, l AS (SELECT *, CASE WHEN at-lag(at) OVER (PARTITION BY session_id ORDER BY at, event_id) <= 7200000000 THEN 0 ELSE 1 END AS st FROM f0) SELECT session_id, event_id, CAST(sum(st) OVER (PARTITION BY session_id ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM l""")
+@query("f8_islands", f"""WITH {AT}, l AS (SELECT *, CASE WHEN us-lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) <= 7200000000 THEN 0 ELSE 1 END AS st FROM f0) SELECT session_id, event_id, CAST(sum(st) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM l""")
 def _(t):
     return tm.islands(frames(t), ["session_id"], "at", 7_200_000_000, "event_id").select("session_id", "event_id", "island")
 

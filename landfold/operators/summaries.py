@@ -42,7 +42,7 @@ def fit_affine(controls: DataFrame, key: str) -> DataFrame:
     One pass for the moments, one for the residuals; a point's leave-one-out residual is its residual over
     one minus its leverage, so no point is paired with another. Centred for stability.
     """
-    mean = controls.groupBy(key).agg(F.count("*").alias("k"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "e", "n")])
+    mean = controls.groupBy(key).agg(F.count("*").alias("_k"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "e", "n")])
     c = controls.join(mean, key).withColumns({f"c{v}": F.col(v) - F.col(f"m{v}") for v in ("x", "y", "e", "n")})
     s = lambda a, b: F.sum(F.col(f"c{a}") * F.col(f"c{b}")).alias(f"s{a}{b}")
     m = c.groupBy(key).agg(s("x", "x"), s("x", "y"), s("y", "y"), s("x", "e"), s("y", "e"), s("x", "n"), s("y", "n"))
@@ -52,7 +52,7 @@ def fit_affine(controls: DataFrame, key: str) -> DataFrame:
                            f"b{v}": (F.col(f"sy{v}") * F.col("sxx") - F.col(f"sx{v}") * F.col("sxy")) / F.col("det")})
     r = c.join(m, key)
     res = {v: F.col(f"c{v}") - F.col(f"a{v}") * F.col("cx") - F.col(f"b{v}") * F.col("cy") for v in ("e", "n")}
-    lever = F.lit(1.0) / F.col("k") + (F.col("syy") * F.col("cx") * F.col("cx") - 2 * F.col("sxy") * F.col("cx") * F.col("cy") + F.col("sxx") * F.col("cy") * F.col("cy")) / F.col("det")
+    lever = F.lit(1.0) / F.col("_k") + (F.col("syy") * F.col("cx") * F.col("cx") - 2 * F.col("sxy") * F.col("cx") * F.col("cy") + F.col("sxx") * F.col("cy") * F.col("cy")) / F.col("det")
     r = r.withColumn("sq", res["e"] * res["e"] + res["n"] * res["n"]).withColumn("loo", F.sqrt("sq") / (F.lit(1.0) - lever))
     return r.groupBy(key).agg(
         F.count("*").alias("controls"), *[F.max(f"{p}{v}").alias(f"{p}{v}") for v in ("e", "n") for p in ("a", "b")],
