@@ -12,6 +12,9 @@ others. A round decides many groups at once and decides them exactly:
 
 Each round settles at least one group per scenario and usually most of them.
 Running sums go by chunks of the score, so a scenario may hold any share of rows.
+
+Once no scenario has more than FOLD_ROWS candidate rows left (counted, not
+assumed), the rest is walked scenario by scenario inside tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +26,37 @@ from landfold.plans.ordered import running
 from landfold.session import cut_lineage
 
 
-def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None = None, slots: int | None = None, max_rounds: int = 10_000) -> DataFrame:
+FOLD_ROWS = 50_000
+
+
+def _walk(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """The rule itself, for scenarios whose row count has been checked. rows: scenario, group_id, ord, item_id, size."""
+    import pandas as pd
+
+    joined = rows.join(left, "scenario")
+    types = dict(joined.dtypes)
+    schema = f"scenario {types['scenario']}, group_id {types['group_id']}, paid long"
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        remaining = int(pdf["remaining"].iloc[0])
+        slots = pdf["slots"].iloc[0]
+        slots = float("inf") if pd.isna(slots) else slots
+        have, out = set(), []
+        for (_, gid), part in pdf.sort_values(["ord", "group_id"]).groupby(["ord", "group_id"], sort=True):
+            if slots <= 0:
+                break
+            fresh = {i: s for i, s in zip(part["item_id"], part["size"]) if i not in have and not pd.isna(i)}
+            paid = int(sum(fresh.values()))
+            if paid <= remaining:
+                remaining, slots = remaining - paid, slots - 1
+                have.update(fresh)
+                out.append((pdf["scenario"].iloc[0], gid, paid))
+        return pd.DataFrame(out, columns=["scenario", "group_id", "paid"])
+
+    return joined.groupBy("scenario").applyInPandas(walk, schema)
+
+
+def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None = None, slots: int | None = None, max_rounds: int = 10_000, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(scenario, group_id, paid) of the groups taken.
 
     groups: scenario, group_id, score and, without items, cost; budgets: scenario,
@@ -34,6 +67,16 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
     owned = None
     taken: list[DataFrame] = []
     for _ in range(max_rounds):
+        if fold_rows:
+            if items is None:
+                rows = todo.select("scenario", "group_id", "ord", F.col("group_id").alias("item_id"), F.col("cost").alias("size"))
+            else:
+                open_items = items if owned is None else items.join(owned, ["scenario", "item_id"], "left_anti")
+                rows = todo.select("scenario", "group_id", "ord").join(open_items.select("scenario", "group_id", "item_id", "size"), ["scenario", "group_id"], "left")
+            largest = rows.groupBy("scenario").count().agg(F.max("count")).first()[0] or 0
+            if largest <= fold_rows:
+                taken.append(_walk(rows, left))
+                break
         if items is None:
             priced = todo
         else:
