@@ -46,22 +46,22 @@ def presence(spark: SparkSession, folder: str, grace: str, minimum: str) -> Data
 
 
 def hysteresis(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "at", "event_id", (F.col("value") * 6).alias("distance"))
+    e = events(spark, folder).select("key", "ts", "at", "event_id", (F.col("value") * 6).alias("distance"))
     return run_to_end(state.keyed(e, ["distance"], state.hysteresis_step(), "member boolean"))
 
 
 def dwell_choice(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "at", "event_id", F.col("event_type").alias("cand"), F.col("value").alias("score"))
+    e = events(spark, folder).select("key", "ts", "at", "event_id", F.col("event_type").alias("cand"), F.col("value").alias("score"))
     return run_to_end(state.keyed(e, ["cand", "score"], state.dwell_step(), "choice string"))
 
 
 def adaptive_level(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "at", "event_id", F.col("value").alias("ms"))
+    e = events(spark, folder).select("key", "ts", "at", "event_id", F.col("value").alias("ms"))
     return run_to_end(state.keyed(e, ["ms"], state.level_step(block=18), "level string, share double"))
 
 
 def stable_order(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "at", "event_id", F.col("event_type").alias("cand"), F.col("value").alias("score"))
+    e = events(spark, folder).select("key", "ts", "at", "event_id", F.col("event_type").alias("cand"), F.col("value").alias("score"))
     return run_to_end(state.keyed(e, ["cand", "score"], state.order_step(), "ranking string"))
 
 
