@@ -101,3 +101,19 @@ def _(t):
     dom = t.domains.select("poly_id", *[(F.col(c) + s * F.col("r")).alias(n) for n, c, s in (("min_x", "cx", -1), ("min_z", "cz", -1), ("max_x", "cx", 1), ("max_z", "cz", 1))])
     tiles = t.tri.select(F.col("tri_idx").alias("tile_id"), *[f(*[F.col(f"{a}{i}") for i in (1, 2, 3)]).alias(f"{n}_{a}") for n, f in (("min", F.least), ("max", F.greatest)) for a in "xz"])
     return sel.tiles_for_domains(dom, tiles, 10.0)
+
+
+def choices(t):
+    k = F.col("group_id")
+    return t.budget_group.select("scenario", "group_id", "score", (k % 19 == 0).alias("protected"), (k % 4 == 1).alias("near"), (k % 3 != 0).alias("wants_fine"),
+                                 F.col("cost").alias("high_cost"), (F.col("cost") * 2 + k % 7).alias("fine_cost"))
+
+
+@query("t5_tiered_budget")
+def _(t):
+    return sel.tiered_budget(choices(t), budgets(t, 6000))
+
+
+@query("t11_policy_replay")
+def _(t):
+    return sel.policy_replay(choices(t), budgets(t, 6000))

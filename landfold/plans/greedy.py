@@ -8,7 +8,9 @@ others. A round decides many groups at once and decides them exactly:
 * that is also the least it can ever cost, so a group for which it exceeds what
   is left is skipped for good;
 * all candidates before the first that does not fit are taken, since for them
-  the assumption holds.
+  the assumption holds;
+* that first misfit is settled too: its exact price and what is left at its turn
+  are known. It is skipped, or taken at its fallback price if it has one that fits.
 
 Each round settles at least one group per scenario and usually most of them.
 Running sums go by chunks of the score, so a scenario may hold any share of rows.
@@ -47,6 +49,9 @@ def _walk(rows: DataFrame, left: DataFrame) -> DataFrame:
                 break
             fresh = {i: s for i, s in zip(part["item_id"], part["size"]) if i not in have and not pd.isna(i)}
             paid = int(sum(fresh.values()))
+            low = part["fallback"].iloc[0]
+            if paid > remaining and not pd.isna(low) and low <= remaining:
+                paid = int(low)
             if paid <= remaining:
                 remaining, slots = remaining - paid, slots - 1
                 have.update(fresh)
@@ -59,9 +64,12 @@ def _walk(rows: DataFrame, left: DataFrame) -> DataFrame:
 def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None = None, slots: int | None = None, max_rounds: int = 10_000, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(scenario, group_id, paid) of the groups taken.
 
-    groups: scenario, group_id, score and, without items, cost; budgets: scenario,
-    budget; items: scenario, group_id, item_id, size — an item already taken is free.
+    groups: scenario, group_id, score and, without items, cost and optionally fallback,
+    a lower price to try at the same turn; budgets: scenario, budget; items: scenario,
+    group_id, item_id, size — an item already taken is free.
     """
+    if items is None and "fallback" not in groups.columns:
+        groups = groups.withColumn("fallback", F.lit(None).cast("bigint"))
     todo = cut_lineage(groups.dropDuplicates(["scenario", "group_id"]).withColumn("ord", -F.col("score").cast("double")))
     left = cut_lineage(budgets.select("scenario", F.col("budget").cast("bigint").alias("remaining"), F.lit(slots).cast("bigint").alias("slots")))
     owned = None
@@ -69,16 +77,16 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
     for _ in range(max_rounds):
         if fold_rows:
             if items is None:
-                rows = todo.select("scenario", "group_id", "ord", F.col("group_id").alias("item_id"), F.col("cost").alias("size"))
+                rows = todo.select("scenario", "group_id", "ord", F.col("group_id").alias("item_id"), F.col("cost").alias("size"), "fallback")
             else:
                 open_items = items if owned is None else items.join(owned, ["scenario", "item_id"], "left_anti")
-                rows = todo.select("scenario", "group_id", "ord").join(open_items.select("scenario", "group_id", "item_id", "size"), ["scenario", "group_id"], "left")
+                rows = todo.select("scenario", "group_id", "ord", F.lit(None).cast("bigint").alias("fallback")).join(open_items.select("scenario", "group_id", "item_id", "size"), ["scenario", "group_id"], "left")
             largest = rows.groupBy("scenario").count().agg(F.max("count")).first()[0] or 0
             if largest <= fold_rows:
                 taken.append(_walk(rows, left))
                 break
         if items is None:
-            priced = todo
+            priced = todo.withColumn("low", F.coalesce(F.least("cost", "fallback"), "cost"))
         else:
             open_items = items.join(todo.select("scenario", "group_id", "ord"), ["scenario", "group_id"])
             if owned is not None:
@@ -86,23 +94,25 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
             payer = open_items.groupBy("scenario", "item_id").agg(F.min_by("group_id", F.struct("ord", "group_id")).alias("group_id"), F.max("size").alias("size"))
             price = payer.groupBy("scenario", "group_id").agg(F.sum("size").alias("cost"))
             priced = todo.drop("cost").join(price, ["scenario", "group_id"], "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
+            priced = priced.withColumn("low", F.col("cost"))
         priced = priced.withColumn("one", F.lit(1).cast("bigint"))
         summed = running(priced, ["scenario"], ["ord", "group_id"], {"spent": ("sum", "cost"), "count": ("sum", "one")}, "ord")
         summed = summed.join(left, "scenario")
         over_slots = F.coalesce(F.col("count") > F.col("slots"), F.lit(False))
-        state = cut_lineage(summed.withColumns({"hopeless": F.col("cost") > F.col("remaining"), "stop": (F.col("spent") > F.col("remaining")) | over_slots | (F.col("cost") > F.col("remaining"))}))
+        state = cut_lineage(summed.withColumns({"hopeless": F.col("low") > F.col("remaining"), "stop": (F.col("spent") > F.col("remaining")) | over_slots | (F.col("cost") > F.col("remaining"))}))
         first = state.where("stop").groupBy("scenario").agg(F.min(F.struct("ord", "group_id")).alias("first"))
         judged = cut_lineage(state.join(first, "scenario", "left").withColumn(
             "fits", F.col("first").isNull() | (F.struct("ord", "group_id") < F.col("first"))))
-        win = judged.where("fits")
-        taken.append(win.select("scenario", "group_id", F.col("cost").alias("paid")))
-        used = win.groupBy("scenario").agg(F.sum("cost").alias("used"), F.count("*").alias("n"))
+        turn = F.col("remaining") - (F.col("spent") - F.col("cost"))
+        lowered = judged.where("struct(ord, group_id) = first").where((F.col("low") <= turn) & ~F.coalesce(F.col("count") > F.col("slots"), F.lit(False)))
+        win = judged.where("fits").withColumn("paid", F.col("cost")).unionByName(lowered.withColumn("paid", F.col("low")))
+        taken.append(win.select("scenario", "group_id", "paid"))
+        used = win.groupBy("scenario").agg(F.sum("paid").alias("used"), F.count("*").alias("n"))
         left = cut_lineage(left.join(used, "scenario", "left").select(
             "scenario", (F.col("remaining") - F.coalesce("used", F.lit(0))).alias("remaining"), (F.col("slots") - F.coalesce("n", F.lit(0))).alias("slots")))
         if items is not None:
             new = cut_lineage(items.join(win.select("scenario", "group_id"), ["scenario", "group_id"], "left_semi").select("scenario", "item_id").distinct())
             owned = new if owned is None else cut_lineage(owned.unionByName(new))
-        # The first misfit is settled too: its exact price was known and did not fit.
         rest = judged.where("not fits and not hopeless and struct(ord, group_id) <> first").select(*todo.columns)
         rest = rest.join(left.where("slots is null or slots > 0").select("scenario"), "scenario", "left_semi")
         todo = cut_lineage(rest)

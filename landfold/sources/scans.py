@@ -15,9 +15,12 @@ ENTITY = T.StructType([
     T.StructField("representations", T.ArrayType(REPRESENTATION)), T.StructField("_corrupt_record", T.StringType())])
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType, *explode_paths: str) -> DataFrame:
-    """One row per innermost element: each path names an array to explode in turn, its fields promoted."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType, *explode_paths: str, multi_line: bool = True) -> DataFrame:
+    """One row per innermost element: each path names an array to explode in turn, its fields promoted.
+
+    A file is one document, or one per line.
+    """
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=multi_line)
     for p in explode_paths:
         name = p.split(".")[-1]
         df = df.select(*[c for c in df.columns if c != p.split(".")[0]], F.explode(p).alias(f"_{name}"))
@@ -45,9 +48,9 @@ FEATURES = "crs STRUCT<properties: STRUCT<name: STRING>>, features ARRAY<STRUCT<
 KINDS = {"Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>", "LineString": "array<array<double>>"}
 
 
-def read_geojson(spark: SparkSession, path: str, crs: str | None = None) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, crs: str | None = None, multi_line: bool = True) -> DataFrame:
     """Parts of polygon and line features: (feature, kind, part, ring, seq, x, y); other kinds stay as rows with NULL geometry."""
-    df = spark.read.schema(FEATURES).json(path, multiLine=True)
+    df = spark.read.schema(FEATURES).json(path, multiLine=multi_line)
     if crs is not None:
         held = F.when(F.coalesce(F.col("crs.properties.name"), F.lit("")) == crs, F.col("features")).otherwise(F.raise_error(F.lit(f"expected {crs}")))
         df = df.withColumn("features", held.cast(df.schema["features"].dataType))
@@ -60,9 +63,9 @@ def read_geojson(spark: SparkSession, path: str, crs: str | None = None) -> Data
     return v.select("feature", "properties", "kind", "part", "ring", "seq", F.get("xy", F.lit(0)).alias("x"), F.get("xy", F.lit(1)).alias("y"))
 
 
-def read_gml(spark: SparkSession, path: str, row_tag: str, schema: str, pos_list: str = "posList") -> DataFrame:
+def read_gml(spark: SparkSession, path: str, row_tag: str, schema: str, pos_list: str = "posList", multi_line: bool = True) -> DataFrame:
     """Features of a GML file with their vertices: posList holds north, east, height triples; repeats of a vertex in a row collapse."""
-    df = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    df = spark.read.format("xml").option("rowTag", row_tag).option("multiLine", multi_line).schema(schema).load(path)
     n = F.transform(F.split(F.trim(pos_list), r"\s+"), lambda v: v.cast("double"))
     df = df.withColumn("_n", n)
     triple = F.transform(F.sequence(F.lit(0), (F.size("_n") / 3).cast("int") - 1), lambda i: F.struct(F.get("_n", i * 3 + 1).alias("x"), F.get("_n", i * 3).alias("y"), F.get("_n", i * 3 + 2).alias("h")))

@@ -100,3 +100,45 @@ def test_grid_joins_equal_brute_force(spark):
     pdf = spark.createDataFrame(pts, "p long, x double, z double")
     want = sorted((p[0], q[0]) for p in pts for q in b if q[1] <= p[1] <= q[3] and q[2] <= p[2] <= q[4])
     assert sorted((r.p, r.b) for r in points_in_boxes(pdf, bdf).collect()) == want
+
+
+def brute_tiers(rows, budget):
+    left, out = budget, {}
+    by = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for g, _, prot, near, fine, hc, fc in by:
+        if prot and fc <= left:
+            left, out[g] = left - fc, ("fine", fc)
+    for g, _, prot, near, fine, hc, fc in by:
+        if near and g not in out and hc <= left:
+            left, out[g] = left - hc, ("high", hc)
+    reserved = set(out)
+    for g, _, prot, near, fine, hc, fc in by:
+        if near and fine and out.get(g) == ("high", hc) and fc - hc <= left:
+            left, out[g] = left - (fc - hc), ("fine", fc)
+    protected = {g for g, _, prot, *_ in by if prot and g in out and out[g][0] == "fine"}
+    unmet = any(near and (g not in reserved or (fine and out[g][0] != "fine")) for g, _, prot, near, fine, hc, fc in by if g not in protected)
+    for g, _, prot, near, fine, hc, fc in by:
+        if g in reserved:
+            continue
+        if fine and not (not near and unmet):
+            if fc <= left:
+                left, out[g] = left - fc, ("fine", fc)
+                continue
+        if hc <= left:
+            left, out[g] = left - hc, ("high", hc)
+    return out
+
+
+def test_tiers_equal_the_walk(spark):
+    from landfold.operators.selection import tiered_budget
+
+    rnd = random.Random(2)
+    cols = "scenario string, group_id long, score long, protected boolean, near boolean, wants_fine boolean, high_cost long, fine_cost long"
+    for share in (0.15, 0.6):
+        rows = [(i, rnd.randrange(50), rnd.random() < 0.1, rnd.random() < share, rnd.random() < 0.6, h := rnd.randrange(1, 30), h + rnd.randrange(1, 40)) for i in range(60)]
+        df = spark.createDataFrame([("s", *r) for r in rows], cols)
+        b = spark.createDataFrame([("s", 420)], "scenario string, budget long")
+        want = brute_tiers(rows, 420)
+        for fold in (0, None):
+            got = {r.group_id: (r.level, r.paid) for r in tiered_budget(df, b, fold).collect()}
+            assert got == want
