@@ -80,13 +80,15 @@ def obb_aabb(boxes: DataFrame, key: str) -> DataFrame:
     )
 
 
-def convex_hull(points: DataFrame, key: str, directions: int = 64) -> DataFrame:
+HULL_ROWS = 50_000
+
+
+def convex_hull(points: DataFrame, key: str, rows_per_task: int = HULL_ROWS) -> DataFrame:
     """Vertices of the hull of each key's points, counter-clockwise, as (key, seq, x, z).
 
-    A point inside the polygon of the extreme points in a few fixed directions
-    cannot be a vertex. That polygon comes from one combinable aggregate, and the
-    survivors are thinned by partition before they meet, so no key's points are
-    ever gathered whole.
+    Of the points with one x only the lowest and highest z can be vertices, and the other
+    way round: two combinable aggregates drop the rest. A key still larger than the limit
+    is cut into parts by hash, each part keeps its own hull, and only those meet.
     """
     import pandas as pd
 
@@ -94,6 +96,7 @@ def convex_hull(points: DataFrame, key: str, directions: int = 64) -> DataFrame:
         pts = sorted(set(map(tuple, xz)))
         if len(pts) < 3:
             return pts
+
         def half(seq):
             out = []
             for p in seq:
@@ -101,26 +104,26 @@ def convex_hull(points: DataFrame, key: str, directions: int = 64) -> DataFrame:
                     out.pop()
                 out.append(p)
             return out[:-1]
-        return half(pts) + half(pts[::-1])
-
-    schema = f"{key} {dict(points.dtypes)[key]}, seq long, x double, z double"
 
-    def thin(batches):
-        for pdf in batches:
-            frames = [
-                pd.DataFrame([(k, i, x, z) for i, (x, z) in enumerate(chain(part[["x", "z"]].to_numpy()))], columns=[key, "seq", "x", "z"])
-                for k, part in pdf.groupby(key, sort=False)
-            ]
-            if frames:
-                yield pd.concat(frames)
+        return half(pts) + half(pts[::-1])
 
     def finish(k, pdf):
-        return pd.DataFrame([(*k, i, x, z) for i, (x, z) in enumerate(chain(pdf[["x", "z"]].to_numpy()))], columns=[key, "seq", "x", "z"])
+        return pd.DataFrame([(k[0], i, x, z) for i, (x, z) in enumerate(chain(pdf[["x", "z"]].to_numpy()))], columns=[key, "seq", "x", "z"])
+
+    def extremes(df, along, across):
+        ends = df.groupBy(key, along).agg(F.array_distinct(F.array(F.min(across), F.max(across))).alias("ends"))
+        return ends.select(key, along, F.explode("ends").alias(across))
 
-    survivors = points.select(key, "x", "z").mapInPandas(thin, schema)
-    salted = survivors.withColumn("salt", F.pmod(F.xxhash64("x", "z"), F.lit(32)))
-    halfway = salted.groupBy(key, "salt").applyInPandas(lambda k, pdf: finish(k[:1], pdf), schema)
-    return halfway.groupBy(key).applyInPandas(finish, schema)
+    schema = f"{key} {dict(points.dtypes)[key]}, seq long, x double, z double"
+    slim = extremes(extremes(points, "x", "z"), "z", "x").select(key, "x", "z")
+    sizes = slim.groupBy(key).agg(F.ceil(F.count("*") / rows_per_task).alias("parts")).where("parts > 1")
+    sized = slim.join(sizes, key, "left")
+    halfway = (
+        sized.where("parts is not null").withColumn("salt", F.pmod(F.xxhash64("x", "z"), F.col("parts")))
+        .groupBy(key, "salt").applyInPandas(finish, schema)
+    )
+    small = sized.where("parts is null").select(key, "x", "z")
+    return small.unionByName(halfway.select(key, "x", "z")).groupBy(key).applyInPandas(finish, schema)
 
 
 def hull_area(hull: DataFrame, key: str) -> DataFrame:

@@ -70,7 +70,9 @@ def test_occlusion_cases(spark):
 
 def test_convex_hull_against_brute_force(spark):
     rows = [("a", float((i * 37) % 101), float((i * 53) % 97)) for i in range(500)]
-    hull = frames.convex_hull(spark.createDataFrame(rows, "k string, x double, z double"), "k").orderBy("seq").collect()
+    df = spark.createDataFrame(rows, "k string, x double, z double")
+    hull = frames.convex_hull(df, "k").orderBy("seq").collect()
+    assert hull == frames.convex_hull(df, "k", rows_per_task=40).orderBy("seq").collect()
     v = [(r.x, r.z) for r in hull]
     for i, a in enumerate(v):
         b = v[(i + 1) % len(v)]
