@@ -123,7 +123,9 @@ def convex_hull(points: DataFrame, key: str, rows_per_task: int = HULL_ROWS) ->
         .groupBy(key, "salt").applyInPandas(finish, schema)
     )
     small = sized.where("parts is null").select(key, "x", "z")
-    return small.unionByName(halfway.select(key, "x", "z")).groupBy(key).applyInPandas(finish, schema)
+    # An explicit number of partitions keeps AQE from folding small groups into one Python worker.
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionByName(halfway.select(key, "x", "z")).repartition(spread, key).groupBy(key).applyInPandas(finish, schema)
 
 
 def hull_area(hull: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landfold.session import cut_lineage
+
 ROWS_PER_CHUNK = 500_000
 
 
@@ -82,8 +84,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, ps: list[float], names: list[str]) -> DataFrame:
-    """Exact quantiles per key with linear interpolation between ranks, found by ranking, not by gathering."""
+    """Exact quantiles per key with linear interpolation between ranks, found by ranking, not by gathering.
+
+    Keys and values are written out once: ranking, counting and cutting each read them.
+    """
     v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
+    v = cut_lineage(v)
     ranked = numbered(v, keys, ["_v"], "_v", "_rn")
     total = v.groupBy(*keys).agg(F.count("*").alias("_n"))
     ranked = ranked.join(total, keys) if keys else ranked.crossJoin(F.broadcast(total))  # one row
