@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import bpe, lengths, ring
+from landfold.llm import bpe, lengths, outliers, ring
 from landfold.llm.common import table
 
 SHARDS = 16
@@ -28,13 +28,19 @@ def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict of the robust estimate of its language and source."""
+    judged = outliers.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), bpe.Codec())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op6_byte_bpe)
+    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op6_byte_bpe)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_robust_outliers": outliers.oracle()}
