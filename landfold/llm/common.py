@@ -36,10 +36,13 @@ def _byte_values() -> np.ndarray:
 
 
 @cache
-def _is_space() -> np.ndarray:
-    space = np.zeros(256, bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
-    return space
+def _breaks(ascii_marks: bool) -> np.ndarray:
+    """Which bytes end a word: [\\x20\\x09-\\x0D], or every ASCII byte but letters and digits."""
+    ends = np.zeros(256, bool)
+    ends[[0x20, *range(0x09, 0x0E)]] = True
+    if ascii_marks:
+        ends[[c for c in range(128) if not chr(c).isalnum()]] = True
+    return ends
 
 
 _POWERS: list[np.ndarray] = []
@@ -65,14 +68,15 @@ class Words:
     """The words of some texts: a 64-bit hash and the text's number for each, and each text's first word.
 
     A word is a run of bytes other than [\\x20\\x09-\\x0D] of the UTF-8 text with A-Z lower-cased. All words of the
-    slice are hashed at once: sums of byte values times powers, cut at the word ends.
+    slice are hashed at once: sums of byte values times powers, cut at the word ends. With ascii_marks, punctuation
+    ends words too and is left out.
     """
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], ascii_marks: bool = False):
         raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
         data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
         starts_of_texts = np.cumsum([1, *[len(r) + 1 for r in raw]])[:-1] if raw else np.zeros(0, np.int64)
-        inside = ~_is_space()[data]
+        inside = ~_breaks(ascii_marks)[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         starts, ends = edges[0::2], edges[1::2]
         power, inverse = _powers(len(data))

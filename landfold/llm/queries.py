@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import bpe, lengths, outliers, ring
+from landfold.llm import bpe, lengths, linededup, outliers, ring, tiling, warc
 from landfold.llm.common import table
 
 SHARDS = 16
@@ -39,8 +39,47 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), bpe.Codec())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a later one holds, after indexing all of them."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    index = linededup.insert(linededup.empty_index(spark), docs)
+    cleaned = linededup.clean(docs, index)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the salvage reader finds it in the archives written from the table."""
+    folder, _ = warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    records = warc.read(warc.archives(spark, folder)).where("kind = 'record'")
+
+    def page(column):
+        return F.expr(f"try_cast(regexp_extract({column}, '<urn:page:(.*)>', 1) as bigint)")
+
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they contain, and the share of the item that their tiles cover."""
+    found = tiling.matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "item_id", "covered", "item_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op6_byte_bpe)
+    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op6_byte_bpe, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
 }
 
-ORACLES: dict[str, str] = {"op4_robust_outliers": outliers.oracle()}
+OP8_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
+keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM k"""
+
+ORACLES: dict[str, str] = {"op4_robust_outliers": outliers.oracle(), "op8_line_dedup": OP8_SQL, "op9_warc_salvage": OP9_SQL}
