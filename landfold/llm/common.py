@@ -96,7 +96,7 @@ class Words:
 
 def chain(parts: list[np.ndarray]) -> np.ndarray:
     """One hash for a sequence of hashes; sequences of other lengths start elsewhere."""
-    h = np.full(len(parts[0]), U64(len(parts)) * MULTIPLIER)
+    h = np.full(len(parts[0]), U64(len(parts) * int(MULTIPLIER) % (1 << 64)))
     for p in parts:
         h = mix(h * U64(0xD1342543DE82EF95) + p)
     return h

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import bpe, lengths, linededup, outliers, ring, tiling, warc
+from landfold.llm import bpe, jaccard, lengths, linededup, outliers, ring, tiling, warc
 from landfold.llm.common import table
 
 SHARDS = 16
@@ -39,6 +39,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), bpe.Codec())
 
 
+def op7_t_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component that near copies of it make."""
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that a later one holds, after indexing all of them."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -65,7 +70,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op6_byte_bpe, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
+    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op6_byte_bpe, op7_t_occurrence, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
 }
 
 OP8_SQL = r"""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from landfold.llm.common import MULTIPLIER, U64, Words, slices
 
 MIN_TILE = 5
-LEAST_COVERAGE = 0.6
+LEAST_COVERAGE = 0.5
 BLOCK_CHARS = 8 << 20
 FIRST_RUN = 20
 FILTER_BITS = 20
