@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import bpe, jaccard, lengths, linededup, outliers, ring, tiling, warc
+from landfold.llm import bpe, jaccard, katz, lengths, linededup, outliers, ring, tiling, warc
 from landfold.llm.common import table
 
 SHARDS = 16
@@ -34,6 +34,14 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the model of those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7
+    scored = katz.score(docs.withColumn("learn", fold != 2))
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), bpe.Codec())
@@ -70,7 +78,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op6_byte_bpe, op7_t_occurrence, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
+    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op5_katz_backoff, op6_byte_bpe, op7_t_occurrence, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
 }
 
 OP8_SQL = r"""
