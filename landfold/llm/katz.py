@@ -168,60 +168,61 @@ def _count(buckets: int, width: U64):
             for c, v in zip(("to", "kind", "block", "data"), (to, kind, block, data)):
                 out[c].append(v)
 
-        kinds, blocks = group.column("kind").to_pylist(), group.column("block").to_pylist()
-        w1, w2, held, texts, sizes, owners, learnt_texts = [], [], [], [], [], [], 0
-        for kind, block, raw in zip(kinds, blocks, group.column("data").to_pylist()):
-            if kind == "texts":
-                put(me, kind, block, raw)
+        w1, w2, counts, postings, owners, learnt_texts = [], [], [], [], [], 0
+        for kind, block, data in zip(group.column("kind"), group.column("block"), group.column("data")):
+            raw = data.as_py()
+            if kind.as_py() == "texts":
+                put(me, "texts", block.as_py(), raw)
                 learnt_texts += int(unsqueezed(raw)[1].sum())
                 continue
             words, contexts, which, text, small = pickle.loads(raw)
             n, have = unsqueezed(small)
             w1.append(contexts[which])
             w2.append(np.repeat(words, n))
-            held.append(have)
-            texts.append(text)
-            sizes.append((len(which), len(text)))
-            owners.append(block)
+            row_of = np.repeat(np.arange(len(have), dtype=np.int32), have)
+            counts.append(np.bincount(row_of[(text & LEARNT) > 0], minlength=len(have)).astype(np.int32))
+            postings.append((have, text))
+            owners.append(block.as_py())
         numbers = np.zeros(2 * (K + 3) + 2, np.int64)
         numbers[-1] = learnt_texts
         if owners:
-            first, second, have = np.concatenate(w1), np.concatenate(w2), np.concatenate([h.astype(np.int64) for h in held])
-            text = np.concatenate(texts)
-            learnt = (text & LEARNT) > 0
-            row_of = np.repeat(np.arange(len(have)), have)
-            here = np.bincount(row_of[learnt], minlength=len(have))
+            ends = np.cumsum([0, *map(len, w1)])
+            first, second, here = np.concatenate(w1), np.concatenate(w2), np.concatenate(counts)
+            del w1, w2, counts
             order = np.lexsort((first, second))
             a, b = first[order], second[order]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            pair = np.empty(len(a), np.int64)
-            pair[order] = np.cumsum(new) - 1
-            r = np.bincount(pair, weights=here).astype(np.int64)
             p1, p2 = a[new], b[new]
+            del a, b
+            pair = np.empty(len(first), np.int32)
+            pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+            del order, new
+            r = np.bincount(pair, weights=here).astype(np.int64)
             word_new = np.ones(len(p2), bool)
             word_new[1:] = p2[1:] != p2[:-1]
             word = np.cumsum(word_new) - 1
             c_of_word = np.bincount(word, weights=r).astype(np.int64)
             c = c_of_word[word]
+            del p2, word, word_new, here
             numbers[: K + 3], numbers[K + 3: 2 * (K + 3)], numbers[-2] = counts_of_counts(r), counts_of_counts(c_of_word), c_of_word.sum()
             numbers[0] = numbers[K + 3] = 0
-            # sums per text
-            rp, cp, is_end = r[pair][row_of], c[pair][row_of], (second == END)[row_of]
-            with np.errstate(divide="ignore"):
-                logs = np.where(rp > K, np.log10(np.maximum(rp - ABOVE, 0.1)), 0.0) + np.where((rp == 0) & (cp > K), np.log10(np.maximum(cp - ABOVE, 0.1)), 0.0) - np.where(~is_end & (cp > 0), np.log10(np.maximum(cp, 1)), 0.0)
-            base = np.log10(cp + 1)
-            at = 0
-            for block, (_, n) in zip(owners, sizes):
-                span = slice(at, at + n)
-                at += n
-                own, back = np.unique(text[span] & ~LEARNT, return_inverse=True)
-                k, count = len(own), np.minimum(cp[span], K + 1)
-                cells = [np.bincount(back, weights=x[span], minlength=k) for x in (base, logs)]
-                whole = [np.bincount(back[cp[span] > 0], minlength=k)]
-                whole += [np.bincount(back[rp[span] == x], minlength=k) for x in range(1, K + 1)]
-                whole += [np.bincount(back[(rp[span] == 0) & (count == x)], minlength=k) for x in range(K + 2)]
+            asked = []
+            for k, (block, (have, text)) in enumerate(zip(owners, postings)):
+                row_of = np.repeat(np.arange(ends[k], ends[k + 1]), have)
+                rp, cp, is_end = r[pair[row_of]], c[pair[row_of]], second[row_of] == END
+                logs = np.where(rp > K, np.log10(np.maximum(rp - ABOVE, ABOVE)), 0.0) + np.where((rp == 0) & (cp > K), np.log10(np.maximum(cp - ABOVE, ABOVE)), 0.0)
+                logs -= np.where(~is_end & (cp > 0), np.log10(np.maximum(cp, 1)), 0.0)
+                own, back = np.unique(text & ~LEARNT, return_inverse=True)
+                cells = [np.bincount(back, weights=x, minlength=len(own)) for x in (np.log10(cp + 1), logs)]
+                level = np.minimum(cp, K + 1)
+                whole = [np.bincount(back[cp > 0], minlength=len(own))]
+                whole += [np.bincount(back[rp == x], minlength=len(own)) for x in range(1, K + 1)]
+                whole += [np.bincount(back[(rp == 0) & (level == x)], minlength=len(own)) for x in range(K + 2)]
                 put(block % buckets, "sums", block, packed(cells, squeezed(smallest(own), [smallest(x) for x in whole])))
+                unseen = rp == 0
+                asked.append((first[row_of[unseen]], (text & ~LEARNT)[unseen]))
+            del postings, first, second, pair
             # contexts
             seen = r > 0
             contexts, which = np.unique(p1[seen], return_inverse=True)
@@ -235,11 +236,10 @@ def _count(buckets: int, width: U64):
                 if low < high:
                     put(to, "contexts", None, packed(contexts[low:high], squeezed([smallest(x[low:high]) for x in columns])))
             # questions
-            asked = np.flatnonzero(rp == 0)
-            ask = first[row_of[asked]]
-            block_of = np.repeat(np.arange(len(owners)), [n for _, n in sizes])[asked]
+            ask, who = np.concatenate([x for x, _ in asked]), np.concatenate([x for _, x in asked])
+            block_of = np.repeat(np.arange(len(owners)), [len(x) for x, _ in asked])
             order = np.argsort(ask, kind="stable")
-            ask, block_of, who = ask[order], block_of[order], (text[asked] & ~LEARNT)[order]
+            ask, block_of, who = ask[order], block_of[order], who[order]
             cuts = np.searchsorted(ask, np.arange(buckets + 1, dtype=U64) * width)
             cuts[-1] = len(ask)
             for to in range(buckets):
