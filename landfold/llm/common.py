@@ -65,7 +65,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: a 64-bit hash and the text's number for each, and each text's first word.
+    """The words of some texts: a 64-bit hash, the last two bytes and the text's number for each, and each text's first word.
 
     A word is a run of bytes other than [\\x20\\x09-\\x0D] of the UTF-8 text with A-Z lower-cased. All words of the
     slice are hashed at once: sums of byte values times powers, cut at the word ends. With ascii_marks, punctuation
@@ -82,6 +82,7 @@ class Words:
         power, inverse = _powers(len(data))
         sums = np.cumsum(_byte_values()[data] * power[: len(data)])
         self.hash = mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts] + (ends - starts).astype(U64))
+        self.tail = data[ends - 2].astype(np.uint16) << 8 | data[ends - 1]
         self.text = np.searchsorted(starts_of_texts, starts, side="right") - 1
         self.first = np.searchsorted(self.text, np.arange(len(raw) + 1))
 

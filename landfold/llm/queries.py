@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import bpe, jaccard, katz, lengths, linededup, outliers, ring, tiling, warc
+from landfold.llm import bpe, jaccard, katz, lengths, linededup, ordinal, outliers, ring, tiling, warc
 from landfold.llm.common import table
 
 SHARDS = 16
@@ -19,6 +19,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(lengths.token_lengths(docs, bpe.Codec())))
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document (0 toxic, 1 poor, 2 good), the chance that it is good, and whether that is even or better."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    grade = F.expr("CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END")
+    model = ordinal.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select("doc_id", grade.alias("grade")))
+    good = F.element_at("tails", -1)
+    return ordinal.rate(docs, model).select("doc_id", "expected_grade", good.alias("good_chance"), (good >= 0.5).alias("kept"))
+
+
 def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards whose counts differ by one at most."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -78,7 +87,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_bounded_ring, op4_robust_outliers, op5_katz_backoff, op6_byte_bpe, op7_t_occurrence, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
+    f.__name__: f for f in (op1_token_counts, op2_ordinal_quality, op3_bounded_ring, op4_robust_outliers, op5_katz_backoff, op6_byte_bpe, op7_t_occurrence, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
 }
 
 OP8_SQL = r"""
