@@ -244,8 +244,8 @@ def _sent_filters(index: LineIndex, filter_bytes: int) -> dict[int, bytes] | Non
     return dict(map(tuple, index.filters.collect())) if size <= filter_bytes else None
 
 
-def suspects(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(row_id, doc_id, text, n_lines, lines): lines has (no, k1, k2) of each line that may have to go."""
+def suspects(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, doc_id, text, rest, n_lines, lines): lines has (no, k1, k2) of each line that may have to go; rest has the columns to carry."""
     sent = _sent_filters(index, filter_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(sent)
     shards, min_chars = index.shards, index.min_chars
@@ -276,17 +276,19 @@ def suspects(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES
                 offsets = np.concatenate([[0], np.cumsum(maybe)])[ends].astype(np.int32)
                 lines = pa.StructArray.from_arrays([pa.array(np.array(numbers, np.int32)[maybe]), pa.array(k1[maybe]), pa.array(k2[maybe])], fields=list(fields))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), part.column("text"), pa.array(counts, pa.int64()),
-                                                  pa.ListArray.from_arrays(pa.array(offsets), lines)], ["row_id", "doc_id", "text", "n_lines", "lines"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), lines)],
+                                                 [*part.schema.names, "n_lines", "lines"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "row_id bigint, doc_id bigint, text string, n_lines bigint, lines array<struct<no: int, k1: bigint, k2: bigint>>")
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", rest.alias("rest"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row_id bigint, doc_id bigint, text string, rest {kind}, n_lines bigint, lines array<struct<no: int, k1: bigint, k2: bigint>>")
 
 
-def clean(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped), one row per input row: text is what is left, n_lines the lines before dropping."""
-    marked = suspects(docs, index, filter_bytes)
-    whole = marked.where("size(lines) = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_lines", F.lit(0).cast("bigint").alias("n_dropped"))
+def clean(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped, carried columns), one row per input row: text is what is left, n_lines the lines before dropping."""
+    marked = suspects(docs, index, filter_bytes, carry)
+    whole = marked.where("size(lines) = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "rest", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"))
     some = cut_lineage(marked.where("size(lines) > 0"))
     shared = index.references.where(F.col("n_docs") >= index.min_docs).select(*PAIR, "keeper")
     lines = some.select("row_id", "doc_id", F.explode("lines").alias("line")).select("row_id", "doc_id", "line.*")
@@ -298,9 +300,10 @@ def clean(docs: DataFrame, index: LineIndex, filter_bytes: int = FILTER_BYTES) -
             for text, drop in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
                 drop = set(drop or ())
                 kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), batch.column("n_lines"), batch.column("n_dropped")],
-                                             ["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), *(batch.column(c) for c in ("rest", "n_lines", "n_dropped"))],
+                                             ["doc_id", "text", "rest", "n_lines", "n_dropped"])
 
-    held = some.select("row_id", "doc_id", "text", "n_lines").join(gone, "row_id", "left")
+    held = some.select("row_id", "doc_id", "text", "rest", "n_lines").join(gone, "row_id", "left")
     counted = held.withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"))
-    return whole.unionByName(counted.mapInArrow(run, "doc_id bigint, text string, n_lines bigint, n_dropped bigint"))
+    out = whole.unionByName(counted.mapInArrow(run, whole.schema))
+    return out.select("doc_id", "text", "n_lines", "n_dropped", *[F.col("rest").getField(c).alias(c) for c in carry])
