@@ -16,7 +16,7 @@ AT = "f0 AS (SELECT session_id, event_id, epoch_us(ts) AS us, latency_ms, moving
 
 @query("f1_rank", "SELECT group_id, score, row_number() OVER (ORDER BY score DESC, group_id) AS rank FROM budget_group")
 def _(t):
-    return numbered(t.budget_group.select("group_id", "score"), [], [F.col("score").desc(), "group_id"], "score", "rank", descending=True)
+    return numbered(t.budget_group.select("group_id", "score"), [], [F.col("score").desc(), "group_id"], "rank")
 
 
 @query("f5_frame_intervals", f"WITH {AT}, l AS (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS prev FROM f0) SELECT session_id, event_id, moving, (us-prev)/1000 AS interval_ms FROM l WHERE prev IS NOT NULL AND (us-prev)/1000 < 6e6")

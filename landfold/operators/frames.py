@@ -80,15 +80,15 @@ def obb_aabb(boxes: DataFrame, key: str) -> DataFrame:
     )
 
 
-HULL_ROWS = 50_000
+HULL_PARTS = 64
 
 
-def convex_hull(points: DataFrame, key: str, rows_per_task: int = HULL_ROWS) -> DataFrame:
+def convex_hull(points: DataFrame, key: str, parts: int = HULL_PARTS) -> DataFrame:
     """Vertices of the hull of each key's points, counter-clockwise, as (key, seq, x, z).
 
     Of the points with one x only the lowest and highest z can be vertices, and the other
-    way round: two combinable aggregates drop the rest. A key still larger than the limit
-    is cut into parts by hash, each part keeps its own hull, and only those meet.
+    way round: two combinable aggregates drop the rest. Every key is cut into parts by hash,
+    each part keeps its own hull, and only those meet.
     """
     import pandas as pd
 
@@ -116,16 +116,10 @@ def convex_hull(points: DataFrame, key: str, rows_per_task: int = HULL_ROWS) ->
 
     schema = f"{key} {dict(points.dtypes)[key]}, seq long, x double, z double"
     slim = extremes(extremes(points, "x", "z"), "z", "x").select(key, "x", "z")
-    sizes = slim.groupBy(key).agg(F.ceil(F.count("*") / rows_per_task).alias("parts")).where("parts > 1")
-    sized = slim.join(sizes, key, "left")
-    halfway = (
-        sized.where("parts is not null").withColumn("salt", F.pmod(F.xxhash64("x", "z"), F.col("parts")))
-        .groupBy(key, "salt").applyInPandas(finish, schema)
-    )
-    small = sized.where("parts is null").select(key, "x", "z")
+    halfway = slim.withColumn("part", F.pmod(F.xxhash64("x", "z"), F.lit(parts))).groupBy(key, "part").applyInPandas(finish, schema)
     # An explicit number of partitions keeps AQE from folding small groups into one Python worker.
     spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return small.unionByName(halfway.select(key, "x", "z")).repartition(spread, key).groupBy(key).applyInPandas(finish, schema)
+    return halfway.select(key, "x", "z").repartition(spread, key).groupBy(key).applyInPandas(finish, schema)
 
 
 def hull_area(hull: DataFrame, key: str) -> DataFrame:

@@ -11,31 +11,43 @@ from landfold.plans.levels import descend
 from landfold.session import cut_lineage
 
 
-def ancestors(entities: DataFrame, max_depth: int = 1000) -> DataFrame:
+def ancestors(entities: DataFrame) -> DataFrame:
     """(entity_id, ancestor_id, depth) for every ancestor, self at depth 0; stops on a repeated id.
 
-    One join per level of the tree, whatever the number of entities.
+    One join per level of the tree, whatever the number of entities and however deep it is.
     """
     parents = entities.where("parent_id is not null").select(F.col("entity_id").alias("ancestor_id"), F.col("parent_id"))
     known = entities.select(F.col("entity_id").alias("parent_id"))
     parents = parents.join(known, "parent_id", "left_semi")
-    level = entities.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).alias("depth"), F.array("entity_id").alias("seen"))
-    levels = []
-    for _ in range(max_depth):
-        level = cut_lineage(level)
-        if level.isEmpty():
-            break
-        levels.append(level.drop("seen"))
-        level = level.join(parents, "ancestor_id").where(~F.array_contains("seen", F.col("parent_id"))).select(
+    level = cut_lineage(entities.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).alias("depth"), F.array("entity_id").alias("seen")))
+    levels = [level.drop("seen")]
+    while not level.isEmpty():
+        level = cut_lineage(level.join(parents, "ancestor_id").where(~F.array_contains("seen", F.col("parent_id"))).select(
             "entity_id", F.col("parent_id").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"),
             F.array_append("seen", F.col("parent_id")).alias("seen"),
-        )
+        ))
+        levels.append(level.drop("seen"))
     return reduce(DataFrame.unionByName, levels)
 
 
 def nearest_of_type(entities: DataFrame, *types: str, chain: DataFrame | None = None) -> DataFrame:
-    """Nearest ancestor of each type, self included: one column per type, NULL if none."""
-    chain = ancestors(entities) if chain is None else chain
+    """Nearest ancestor of each type, self included: one column per type, NULL if none.
+
+    By doubling: every entity knows the nearest of each type on the way to the entity it points at, and takes over what
+    that one knows and points at, so the rounds are the logarithm of the depth. On a cycle they end once every way has
+    been gone round.
+    """
+    if chain is None:
+        known = entities.select(F.col("entity_id").alias("parent_id")).distinct()
+        above = entities.join(known, "parent_id", "left_semi").select("entity_id", F.col("parent_id").alias("above"))
+        near = {t: F.when(F.col("type") == t, F.col("entity_id")) for t in types}
+        now = cut_lineage(entities.select("entity_id", *[c.alias(t) for t, c in near.items()]).join(above, "entity_id", "left"))
+        for _ in range(now.count().bit_length() + 1):
+            if now.where("above is not null").isEmpty():
+                break
+            ahead = now.select(F.col("entity_id").alias("above"), F.col("above").alias("further"), *[F.col(f"`{t}`").alias(f"next_{t}") for t in types])
+            now = cut_lineage(now.join(ahead, "above", "left").select("entity_id", *[F.coalesce(F.col(f"`{t}`"), F.col(f"`next_{t}`")).alias(t) for t in types], F.col("further").alias("above")))
+        return now.drop("above")
     typed = chain.join(entities.select(F.col("entity_id").alias("ancestor_id"), "type"), "ancestor_id")
     return typed.groupBy("entity_id").agg(*[
         F.min_by(F.when(F.col("type") == t, F.col("ancestor_id")), F.when(F.col("type") == t, F.col("depth"))).alias(t) for t in types

@@ -26,7 +26,7 @@ def tile_grid(cells: DataFrame, n: int = 250, halo: int = 1) -> DataFrame:
     out = cells.withColumn("tile_row", F.explode(F.sequence(lo("row_no"), hi("row_no")))).withColumn(
         "tile_col", F.explode(F.sequence(lo("col_no"), hi("col_no"))))
     own = (F.floor(F.col("row_no") / n) == F.col("tile_row")) & (F.floor(F.col("col_no") / n) == F.col("tile_col"))
-    return out.where("tile_row >= 0 and tile_col >= 0").withColumn("core", own)
+    return out.withColumn("core", own)
 
 
 def tile_summary(tiled: DataFrame) -> DataFrame:
@@ -228,25 +228,24 @@ def union_area(cells: DataFrame, key: str, pixel: str) -> DataFrame:
     return out.select(key, "pixels", F.when(F.col("lo") == F.col("hi"), F.col("pixels") * F.col("lo") * F.col("lo")).alias("area"))
 
 
-def mask_or(cells: DataFrame, masks: DataFrame, max_side: int = 4096, max_cells: int = 16 * 1024 * 1024) -> DataFrame:
-    """Union of set cells on the finest grid. masks: mask_id, min_x, min_z, max_x, max_z, step.
+def mask_or(cells: DataFrame, masks: DataFrame, most_cells: int | None = None) -> DataFrame:
+    """(row_no, col_no) of the union of set cells, counted in steps of the finest mask from the common corner.
 
-    Raises when the masks do not share that grid or the union is too large for it.
+    masks: mask_id, min_x, min_z, step. Every mask must lie on the finest lattice. most_cells, if given, bounds the union.
     """
-    g = masks.agg(F.min("step").alias("s"), F.min("min_x").alias("x0"), F.min("min_z").alias("z0"), F.max("max_x").alias("x1"), F.max("max_z").alias("z1")).first()
-    if g["s"] is None:
-        return cells.select("row_no", "col_no").limit(0)
-    w, h = round((g["x1"] - g["x0"]) / g["s"]), round((g["z1"] - g["z0"]) / g["s"])
-    if w > max_side or h > max_side or w * h > max_cells:
-        raise ValueError("mask union exceeds its exact-grid limit")
-    raw = {"ox": (F.col("min_x") - g["x0"]) / g["s"], "oz": (F.col("min_z") - g["z0"]) / g["s"], "k": F.col("step") / g["s"]}
-    placed = masks.select("mask_id", *[c.alias(n) for n, c in raw.items()])
-    off = [F.abs(F.col(n) - F.rint(n)) > 1e-6 for n in raw]
-    if not placed.where(off[0] | off[1] | off[2]).isEmpty():
-        raise ValueError("masks do not share an exact pixel grid")
-    placed = placed.select("mask_id", *[F.rint(n).cast("bigint").alias(n) for n in raw])
-    fine = cells.join(placed, "mask_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return fine.select((F.col("oz") + F.col("row_no") * F.col("k") + F.col("i")).alias("row_no"), (F.col("ox") + F.col("col_no") * F.col("k") + F.col("j")).alias("col_no")).distinct()
+    finest = masks.agg(F.min("step").alias("fine"), F.min("min_x").alias("west"), F.min("min_z").alias("north"))
+    steps = masks.crossJoin(F.broadcast(finest)).select(  # one row
+        "mask_id", ((F.col("min_x") - F.col("west")) / F.col("fine")).alias("dx"), ((F.col("min_z") - F.col("north")) / F.col("fine")).alias("dz"), (F.col("step") / F.col("fine")).alias("k"))
+    apart = steps.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.rint(c)) for c in ("dx", "dz", "k")]))).first()[0]
+    if (apart or 0.0) > 1e-6:
+        raise ValueError(f"a mask lies {apart} of a step off the finest lattice")
+    whole = steps.select("mask_id", *[F.rint(c).cast("bigint").alias(c) for c in ("dx", "dz", "k")])
+    span = F.sequence(F.lit(0), F.col("k") - 1)
+    spread = cells.join(whole, "mask_id").withColumn("down", F.explode(span)).withColumn("right", F.explode(span))
+    union = spread.select((F.col("dz") + F.col("row_no") * F.col("k") + F.col("down")).alias("row_no"), (F.col("dx") + F.col("col_no") * F.col("k") + F.col("right")).alias("col_no")).distinct()
+    if most_cells is not None and union.count() > most_cells:
+        raise ValueError(f"the union has more than {most_cells} cells")
+    return union
 
 
 def mask_merge(cells: DataFrame, guards: DataFrame) -> DataFrame:
@@ -316,9 +315,9 @@ def guarded(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 def merge_intervals(df: DataFrame, keys: list[str], gap: float = 0.02) -> DataFrame:
     """Intervals lo..hi joined where no wider gap parts them; returns key, island, lo, hi, faces."""
-    w = running(df, keys, ["lo", "hi"], {"reach": ("max", "hi")}, "lo", exclusive=True)
+    w = running(df, keys, ["lo", "hi"], {"reach": ("max", "hi")}, exclusive=True)
     w = w.withColumn("starts", (F.col("reach").isNull() | (F.col("lo") > F.col("reach") + gap)).cast("int"))
-    w = running(w, keys, ["lo", "hi"], {"island": ("sum", "starts")}, "lo")
+    w = running(w, keys, ["lo", "hi"], {"island": ("sum", "starts")})
     return w.groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("faces"))
 
 

@@ -120,18 +120,17 @@ def tiles_for_domains(domains: DataFrame, tiles: DataFrame, guard: float = 10.0)
     return box_pairs(a, b, base=64.0).select("poly_id", "tile_id")
 
 
-def tiered_budget(choices: DataFrame, budgets: DataFrame, fold_rows: int | None = None) -> DataFrame:
+def tiered_budget(choices: DataFrame, budgets: DataFrame) -> DataFrame:
     """Whole groups by tier under one budget: protected at full detail, near ones at base level, upgrades of those
     in place, then the distant rest at the wanted level or, failing that, at base level.
 
     choices: scenario, group_id, score, protected, near, wants_fine, high_cost, fine_cost.
     While some near group lacks what it wants, distant groups stay at base level.
     """
-    opts = {} if fold_rows is None else {"fold_rows": fold_rows}
     left = budgets.select("scenario", F.col("budget").cast("bigint").alias("budget"))
 
     def spend(groups, left):
-        won = cut_lineage(greedy_budget(groups, left, **opts))
+        won = cut_lineage(greedy_budget(groups, left))
         used = won.groupBy("scenario").agg(F.sum("paid").alias("used"))
         return won, cut_lineage(left.join(used, "scenario", "left").select("scenario", (F.col("budget") - F.coalesce("used", F.lit(0))).alias("budget")))
 

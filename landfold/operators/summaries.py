@@ -22,7 +22,7 @@ def group_lines(lines: DataFrame, code: str, name: str, order: str) -> DataFrame
     """Lines of each code numbered in order, with whether the code has at most one name."""
     names = lines.groupBy(code).agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count("*").alias("lines"))
     one = names.select(code, "lines", F.col("lo").eqNullSafe(F.col("hi")).alias("consistent"))
-    return numbered(lines, [code], [order], order, "position").join(one, code)
+    return numbered(lines, [code], [order], "position").join(one, code)
 
 
 def bounds_union(df: DataFrame, key: str, axes: str = "xyz") -> DataFrame:

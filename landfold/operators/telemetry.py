@@ -12,7 +12,7 @@ ORDER = ["at", "event_id"]
 
 def frame_intervals(frames: DataFrame, max_gap_ms: float = 1000.0) -> DataFrame:
     """Milliseconds since the session's previous frame; gaps from the maximum on are dropped. frames: session_id, event_id, at (µs), moving."""
-    f = lagged(frames, ["session_id"], ORDER, "at", "prev", "at").where("prev is not null")
+    f = lagged(frames, ["session_id"], ORDER, "at", "prev").where("prev is not null")
     return f.withColumn("interval_ms", (F.col("at") - F.col("prev")) / 1000).where(F.col("interval_ms") < max_gap_ms).drop("prev")
 
 
@@ -21,7 +21,7 @@ def rolling_quantiles(frames: DataFrame, n: int = 240, block: int = 8192) -> Dat
 
     Rows are numbered, cut into equal blocks, and each block gets the n−1 rows before it.
     """
-    r = numbered(frames, ["session_id"], ORDER, "at").withColumn("blk", F.floor((F.col("rn") - 1) / block))
+    r = numbered(frames, ["session_id"], ORDER).withColumn("blk", F.floor((F.col("rn") - 1) / block))
     reach = F.floor((F.col("rn") + n - 2) / block)
     r = r.withColumn("in_blk", F.explode(F.sequence("blk", reach)))
     w = Window.partitionBy("session_id", "in_blk").orderBy("rn").rowsBetween(-(n - 1), 0)
@@ -36,15 +36,15 @@ def rolling_quantiles(frames: DataFrame, n: int = 240, block: int = 8192) -> Dat
 
 def slow_ratio(frames: DataFrame, block: int = 180, slow_ms: float = 24.0) -> DataFrame:
     """Share of slow frames in each block of consecutive frames of a session."""
-    r = numbered(frames, ["session_id"], ORDER, "at").withColumn("block", F.floor((F.col("rn") - 1) / block))
+    r = numbered(frames, ["session_id"], ORDER).withColumn("block", F.floor((F.col("rn") - 1) / block))
     return r.groupBy("session_id", "block").agg(F.count("*").alias("frames"), F.avg((F.col("latency_ms") > slow_ms).cast("double")).alias("slow"))
 
 
 def islands(df: DataFrame, keys: list[str], at: str, gap: float, tie: str) -> DataFrame:
     """Rows tagged with the number of their run of neighbours no farther than the gap apart."""
-    f = lagged(df, keys, [at, tie], at, "prev", at)
+    f = lagged(df, keys, [at, tie], at, "prev")
     f = f.withColumn("starts", (F.col("prev").isNull() | (F.col(at) - F.col("prev") > gap)).cast("int"))
-    return running(f, keys, [at, tie], {"island": ("sum", "starts")}, at).drop("prev", "starts")
+    return running(f, keys, [at, tie], {"island": ("sum", "starts")}).drop("prev", "starts")
 
 
 def latency_windows(frames: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -60,7 +60,7 @@ def latency_windows(frames: DataFrame, width: str = "1 hour", slide: str | None
 def hysteresis(events: DataFrame, enter: float = 300.0, leave: float = 330.0) -> DataFrame:
     """Membership after each event: in from enter down, out beyond leave, unchanged between. events: key, at, event_id, distance."""
     says = F.when(F.col("distance") <= enter, True).when(F.col("distance") > leave, False)
-    e = running(events.withColumn("says", says), ["key"], ORDER, {"member": ("last", "says")}, "at")
+    e = running(events.withColumn("says", says), ["key"], ORDER, {"member": ("last", "says")})
     return e.withColumn("member", F.coalesce("member", F.lit(False))).drop("says")
 
 
@@ -73,17 +73,17 @@ def presence(events: DataFrame, grace_us: int, minimum_us: int) -> DataFrame:
 
 def retry_schedule(attempts: DataFrame, delays_s=(2, 5, 15)) -> DataFrame:
     """Delay after each failure by how many failures in a row it ends; the last delay repeats. attempts: key, at, event_id, ok."""
-    a = running(attempts.withColumn("good", F.col("ok").cast("int")), ["key"], ORDER, {"epoch": ("sum", "good")}, "at")
-    f = numbered(a.where("not ok"), ["key", "epoch"], ORDER, "at", "failures")
+    a = running(attempts.withColumn("good", F.col("ok").cast("int")), ["key"], ORDER, {"epoch": ("sum", "good")})
+    f = numbered(a.where("not ok"), ["key", "epoch"], ORDER, "failures")
     step = F.least(F.col("failures"), F.lit(len(delays_s))).cast("int")
     return f.select("key", "event_id", "failures", F.element_at(F.array(*[F.lit(d) for d in delays_s]), step).alias("delay_s"))
 
 
 def coverage_runs(samples: DataFrame) -> DataFrame:
     """Maximal covered and uncovered runs along each line. samples: line_id, s (distance), covered."""
-    f = lagged(samples, ["line_id"], ["s"], "covered", "prev", "s")
+    f = lagged(samples, ["line_id"], ["s"], "covered", "prev")
     f = f.withColumn("starts", (F.col("prev").isNull() | (F.col("prev") != F.col("covered"))).cast("int"))
-    f = running(f, ["line_id"], ["s"], {"run": ("sum", "starts")}, "s")
+    f = running(f, ["line_id"], ["s"], {"run": ("sum", "starts")})
     return f.groupBy("line_id", "run").agg(F.max("covered").alias("covered"), F.min("s").alias("start"), F.max("s").alias("end"), F.count("*").alias("samples"))
 
 
@@ -91,7 +91,7 @@ def line_samples(segments: DataFrame, step: float) -> DataFrame:
     """Points at most step apart along each segment, with the distance from the line's start. segments: line_id, seq, x1..z2."""
     dx, dz = F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")
     s = segments.withColumn("len", F.sqrt(dx * dx + dz * dz)).withColumn("before_by", F.col("seq"))
-    s = running(s, ["line_id"], ["seq"], {"end_s": ("sum", "len")}, "seq").withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("len") / step)))
+    s = running(s, ["line_id"], ["seq"], {"end_s": ("sum", "len")}).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("len") / step)))
     s = s.withColumn("i", F.explode(F.sequence(F.when(F.col("seq") == 0, 0).otherwise(1).cast("bigint"), F.col("n"))))
     f = F.col("i") / F.col("n")
     return s.select("line_id", (F.col("end_s") - F.col("len") + F.col("len") * f).alias("s"), (F.col("x1") + dx * f).alias("x"), (F.col("z1") + dz * f).alias("z"))

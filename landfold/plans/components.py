@@ -27,16 +27,14 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(own).where("u <> v").distinct()
 
 
-def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with the least id of each component; nodes: id; edges: u, v."""
     e = cut_lineage(edges.where("u <> v").select("u", "v").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         e = cut_lineage(_small_star(_large_star(e)))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise ValueError("components did not settle")
     return nodes.join(e.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))

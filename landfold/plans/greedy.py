@@ -13,14 +13,17 @@ others. A round decides many groups at once and decides them exactly:
   are known. It is skipped, or taken at its fallback price if it has one that fits.
 
 Each round settles at least one group per scenario and usually most of them.
-Running sums go by chunks of the score, so a scenario may hold any share of rows.
-
-Once no scenario has more than FOLD_ROWS candidate rows left (counted, not
-assumed), the rest is walked scenario by scenario inside tasks.
+With a number of slots and no shared items, as many rounds each take the first group that
+still fits. Running sums go by chunks of the score, so a scenario may hold any share of rows,
+and the same rounds serve every size. Prices and budgets keep their types; a group
+whose price is not known, since its cost or the size of an item is NULL, is not taken.
+An item given with two sizes has the larger.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,63 +31,46 @@ from landfold.plans.ordered import running
 from landfold.session import cut_lineage
 
 
-FOLD_ROWS = 50_000
-
-
-def _walk(rows: DataFrame, left: DataFrame) -> DataFrame:
-    """The rule itself, for scenarios whose row count has been checked. rows: scenario, group_id, ord, item_id, size."""
-    import pandas as pd
-
-    joined = rows.join(left, "scenario")
-    types = dict(joined.dtypes)
-    schema = f"scenario {types['scenario']}, group_id {types['group_id']}, paid long"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        remaining = int(pdf["remaining"].iloc[0])
-        slots = pdf["slots"].iloc[0]
-        slots = float("inf") if pd.isna(slots) else slots
-        have, out = set(), []
-        for (_, gid), part in pdf.sort_values(["ord", "group_id"]).groupby(["ord", "group_id"], sort=True):
-            if slots <= 0:
-                break
-            fresh = {i: s for i, s in zip(part["item_id"], part["size"]) if i not in have and not pd.isna(i)}
-            paid = int(sum(fresh.values()))
-            low = part["fallback"].iloc[0]
-            if paid > remaining and not pd.isna(low) and low <= remaining:
-                paid = int(low)
-            if paid <= remaining:
-                remaining, slots = remaining - paid, slots - 1
-                have.update(fresh)
-                out.append((pdf["scenario"].iloc[0], gid, paid))
-        return pd.DataFrame(out, columns=["scenario", "group_id", "paid"])
-
-    return joined.groupBy("scenario").applyInPandas(walk, schema)
+def _by_slots(groups: DataFrame, left: DataFrame, slots: int) -> DataFrame:
+    """At most so many groups: each round takes the first group after the last one that fits, one combinable minimum per scenario."""
+    taken = []
+    left = left.withColumn("last", F.lit(None).cast("struct<ord: double, group_id: bigint>"))
+    for _ in range(slots):
+        at = F.struct("ord", F.col("group_id").cast("bigint").alias("group_id"))
+        paid = F.when(F.col("cost") <= F.col("remaining"), F.col("cost")).when(F.col("fallback") <= F.col("remaining"), F.col("fallback"))
+        open_ = groups.join(left, "scenario").where(F.col("last").isNull() | (at > F.col("last"))).withColumns({"paid": paid, "at": at}).where("paid is not null")
+        first = open_.groupBy("scenario").agg(F.min_by(F.struct("group_id", "paid", "remaining", "at"), "at").alias("f")).select("scenario", "f.*")
+        first = cut_lineage(first)
+        if first.isEmpty():
+            break
+        taken.append(first.select("scenario", "group_id", "paid"))
+        left = first.select("scenario", (F.col("remaining") - F.col("paid")).alias("remaining"), F.col("at").alias("last"))
+    return reduce(DataFrame.unionByName, taken) if taken else groups.limit(0).select("scenario", "group_id", F.col("cost").alias("paid"))
 
 
-def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None = None, slots: int | None = None, max_rounds: int = 10_000, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None = None, slots: int | None = None) -> DataFrame:
     """(scenario, group_id, paid) of the groups taken.
 
     groups: scenario, group_id, score and, without items, cost and optionally fallback,
     a lower price to try at the same turn; budgets: scenario, budget; items: scenario,
     group_id, item_id, size — an item already taken is free.
     """
-    if items is None and "fallback" not in groups.columns:
-        groups = groups.withColumn("fallback", F.lit(None).cast("bigint"))
-    todo = cut_lineage(groups.dropDuplicates(["scenario", "group_id"]).withColumn("ord", -F.col("score").cast("double")))
-    left = cut_lineage(budgets.select("scenario", F.col("budget").cast("bigint").alias("remaining"), F.lit(slots).cast("bigint").alias("slots")))
+    groups = groups.dropDuplicates(["scenario", "group_id"]).withColumn("ord", -F.col("score").cast("double"))
+    if items is None:
+        groups = groups.where("cost is not null")
+        if "fallback" not in groups.columns:
+            groups = groups.withColumn("fallback", F.lit(None).cast("bigint"))
+    else:
+        sizes = items.groupBy("scenario", "item_id").agg(F.max("size").alias("size"))
+        items = cut_lineage(items.select("scenario", "group_id", "item_id").distinct().join(sizes, ["scenario", "item_id"]))
+        groups = groups.join(items.where("size is null").select("scenario", "group_id").distinct(), ["scenario", "group_id"], "left_anti")
+    todo = cut_lineage(groups)
+    if slots is not None and items is None:
+        return _by_slots(todo, budgets.select("scenario", F.col("budget").alias("remaining")), slots)
+    left = cut_lineage(budgets.select("scenario", F.col("budget").alias("remaining"), F.lit(slots).cast("bigint").alias("slots")))
     owned = None
     taken: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if fold_rows:
-            if items is None:
-                rows = todo.select("scenario", "group_id", "ord", F.col("group_id").alias("item_id"), F.col("cost").alias("size"), "fallback")
-            else:
-                open_items = items if owned is None else items.join(owned, ["scenario", "item_id"], "left_anti")
-                rows = todo.select("scenario", "group_id", "ord", F.lit(None).cast("bigint").alias("fallback")).join(open_items.select("scenario", "group_id", "item_id", "size"), ["scenario", "group_id"], "left")
-            largest = rows.groupBy("scenario").count().agg(F.max("count")).first()[0] or 0
-            if largest <= fold_rows:
-                taken.append(_walk(rows, left))
-                break
+    while True:
         if items is None:
             priced = todo.withColumn("low", F.coalesce(F.least("cost", "fallback"), "cost"))
         else:
@@ -96,13 +82,12 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
             priced = todo.drop("cost").join(price, ["scenario", "group_id"], "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
             priced = priced.withColumn("low", F.col("cost"))
         priced = priced.withColumn("one", F.lit(1).cast("bigint"))
-        summed = running(priced, ["scenario"], ["ord", "group_id"], {"spent": ("sum", "cost"), "count": ("sum", "one")}, "ord")
+        summed = running(priced, ["scenario"], ["ord", "group_id"], {"spent": ("sum", "cost"), "count": ("sum", "one")})
         summed = summed.join(left, "scenario")
         over_slots = F.coalesce(F.col("count") > F.col("slots"), F.lit(False))
         state = cut_lineage(summed.withColumns({"hopeless": F.col("low") > F.col("remaining"), "stop": (F.col("spent") > F.col("remaining")) | over_slots | (F.col("cost") > F.col("remaining"))}))
         first = state.where("stop").groupBy("scenario").agg(F.min(F.struct("ord", "group_id")).alias("first"))
-        judged = cut_lineage(state.join(first, "scenario", "left").withColumn(
-            "fits", F.col("first").isNull() | (F.struct("ord", "group_id") < F.col("first"))))
+        judged = state.join(first, "scenario", "left").withColumn("fits", F.col("first").isNull() | (F.struct("ord", "group_id") < F.col("first")))
         turn = F.col("remaining") - (F.col("spent") - F.col("cost"))
         lowered = judged.where("struct(ord, group_id) = first").where((F.col("low") <= turn) & ~F.coalesce(F.col("count") > F.col("slots"), F.lit(False)))
         win = judged.where("fits").withColumn("paid", F.col("cost")).unionByName(lowered.withColumn("paid", F.col("low")))
@@ -118,9 +103,4 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
         todo = cut_lineage(rest)
         if todo.isEmpty():
             break
-    else:
-        raise ValueError("budget did not settle")
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out
+    return reduce(DataFrame.unionByName, taken)

@@ -19,7 +19,6 @@ def descend(
     roots: DataFrame,
     children: DataFrame,
     step: Callable[[DataFrame, DataFrame], DataFrame],
-    max_depth: int = 10_000,
 ) -> DataFrame:
     """Union of all levels. step(frontier, children) gives the next level; an empty level ends the walk.
 
@@ -27,9 +26,8 @@ def descend(
     """
     level = cut_lineage(roots)
     levels = [level]
-    for _ in range(max_depth):
+    while True:
         level = cut_lineage(step(level, children))
         if level.isEmpty():
             return reduce(DataFrame.unionByName, levels)
         levels.append(level)
-    raise ValueError(f"deeper than {max_depth} levels")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from landfold.functions import codecs, geometry as g
 from landfold.operators import frames, mesh, occlusion, polygons, raster
-from landfold.sources.meshes import mesh_triangles
 
 
 def ring(poly, ring_no, pts, part=0):
@@ -72,7 +71,7 @@ def test_convex_hull_against_brute_force(spark):
     rows = [("a", float((i * 37) % 101), float((i * 53) % 97)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, x double, z double")
     hull = frames.convex_hull(df, "k").orderBy("seq").collect()
-    assert hull == frames.convex_hull(df, "k", rows_per_task=40).orderBy("seq").collect()
+    assert hull == frames.convex_hull(df, "k", parts=3).orderBy("seq").collect()
     v = [(r.x, r.z) for r in hull]
     for i, a in enumerate(v):
         b = v[(i + 1) % len(v)]
@@ -99,22 +98,13 @@ def test_ray_meets_each_face_once(spark):
     assert raster.triangles_to_cells(tri.where("tri_idx=0"), 8.0).count() == 15
 
 
-def test_gltf_roundtrip(spark):
-    import json
-    import struct
-
-    import numpy as np
-
-    v = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]], "<f4").tobytes()
-    ix = np.array([0, 1, 2], "<u2").tobytes() + b"\0\0"
-    doc = {"scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0, "matrix": [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 5, 0, 0, 1]}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1, "material": 2}]}],
-           "accessors": [{"bufferView": 0, "componentType": 5126, "count": 3, "type": "VEC3"}, {"bufferView": 1, "componentType": 5123, "count": 3, "type": "SCALAR"}],
-           "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": 36}, {"buffer": 0, "byteOffset": 36, "byteLength": 8}]}
-    j = json.dumps(doc).encode()
-    j += b" " * (-len(j) % 4)
-    body = v + ix
-    glb = b"glTF" + struct.pack("<II", 2, 28 + len(j) + len(body)) + struct.pack("<I4s", len(j), b"JSON") + j + struct.pack("<I4s", len(body), b"BIN\0") + body
-    place = [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 10, 0, 1]
-    df = spark.createDataFrame([("t", bytearray(glb), [float(x) for x in place])], "tile_id string, content binary, matrix array<double>")
-    r = mesh_triangles(df).collect()
-    assert len(r) == 1 and (r[0].x1, r[0].y1, r[0].x2, r[0].y3, r[0].material) == (5.0, 10.0, 6.0, 11.0, 2)
+def test_rings_of_real_coordinates_are_closed(spark):
+    import math
+    import random
+
+    rnd = random.Random(1)
+    rings = [ring(i, 0, [(rnd.uniform(-1e5, 1e5) + 3 * math.cos(k / 3), rnd.uniform(-1e5, 1e5) / 3 + math.sin(k / 3)) for k in range(12)]) for i in range(50)]
+    two_gaps = [(99, 0, 0, 0, 0.0, 0.0, 1.0, 0.0), (99, 0, 0, 1, 1.0, 0.1, 0.0, 1.0), (99, 0, 0, 2, 0.0, 0.9, 0.0, 0.0)]
+    flat = ring(98, 0, [(0.1, 0.3), (0.2, 0.6), (0.3, 0.9)])
+    got = {(r.poly_id, r.rule) for r in polygons.geometry_violations(spark.createDataFrame([e for one in [*rings, two_gaps, flat] for e in one], EDGES)).collect()}
+    assert got == {(99, "open-ring"), (98, "zero-area")}
