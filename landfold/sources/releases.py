@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def inventory_summary(df: DataFrame) -> DataFrame:
-    """One row: files, bytes and a hash that does not depend on row order or partitioning."""
-    row = F.conv(F.substring(F.sha2(F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    """One row: files, bytes and a hash over every column that does not depend on row order or partitioning."""
+    row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.coalesce(F.sum(row), F.lit(0)).cast("string"), 256).alias("digest"))
 
 
@@ -20,32 +22,33 @@ def write_manifest(df: DataFrame, path: str) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, expected_previous: str | None = None) -> str:
-    """Write a release under its digest, verify what was written, then switch the pointer.
+    """Write a release into a folder of its own, verify what was written, then switch the pointer.
 
-    A reader sees the old release or the new one whole. The switch is refused when the pointer is
-    not the expected previous release.
+    A reader sees the old release or the new one whole, also when the same content is published
+    again. The switch is refused when the pointer is not the expected previous release.
     """
     spark = df.sparkSession
     digest = inventory_summary(df).first()["digest"]
-    target = f"{root}/releases/{digest}"
-    df.write.mode("overwrite").parquet(target)
+    folder = f"{digest}-{uuid.uuid4().hex[:12]}"
+    target = f"{root}/releases/{folder}"
+    df.write.mode("error").parquet(target)
     if inventory_summary(spark.read.parquet(target)).first()["digest"] != digest:
         raise ValueError("written release differs from its digest")
     now = current_release(spark, root)
     if now != expected_previous and expected_previous is not None or (expected_previous is None and now is not None and now != digest):
         raise ValueError(f"pointer is at {now}, not at {expected_previous}")
     version = len(_pointers(spark, root)) + 1
-    spark.createDataFrame([(version, digest)], "version long, digest string").coalesce(1).write.mode("error").json(f"{root}/pointer/v={version:08d}")
+    spark.createDataFrame([(version, digest, folder)], "version long, digest string, folder string").coalesce(1).write.mode("error").json(f"{root}/pointer/v={version:08d}")
     return digest
 
 
-def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str, str]]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(path):
         return []
-    rows = spark.read.schema("version long, digest string").json(f"{root}/pointer/*").collect()
-    return sorted((r["version"], r["digest"]) for r in rows)
+    rows = spark.read.schema("version long, digest string, folder string").json(f"{root}/pointer/*").collect()
+    return sorted((r["version"], r["digest"], r["folder"]) for r in rows)
 
 
 def current_release(spark: SparkSession, root: str) -> str | None:
@@ -54,5 +57,9 @@ def current_release(spark: SparkSession, root: str) -> str | None:
     return seen[-1][1] if seen else None
 
 
+def _current_folder(spark: SparkSession, root: str) -> str:
+    return _pointers(spark, root)[-1][2]
+
+
 def read_release(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/releases/{current_release(spark, root)}")
+    return spark.read.parquet(f"{root}/releases/{_current_folder(spark, root)}")

@@ -45,31 +45,34 @@ def presence(spark: SparkSession, folder: str, grace: str, minimum: str) -> Data
     return run_to_end(s.select("key", F.col("w.start").alias("start"), end.alias("end"), "events"))
 
 
+#: a user's candidates are those of one hour of events
+FRAME_MS = 3_600_000.0
+
+
+def _folded(spark: SparkSession, folder: str, fold, **columns) -> DataFrame:
+    return run_to_end(state.folded(events(spark, folder).select("key", "ts", "at", "event_id", *[c.alias(n) for n, c in columns.items()]), fold))
+
+
 def hysteresis(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "ts", "at", "event_id", (F.col("value") * 6).alias("distance"))
-    return run_to_end(state.keyed(e, ["distance"], state.hysteresis_step(), "member boolean"))
+    return _folded(spark, folder, state.Membership(), distance=F.col("value") * 6)
 
 
 def dwell_choice(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "ts", "at", "event_id", F.col("event_type").alias("cand"), F.col("value").alias("score"))
-    return run_to_end(state.keyed(e, ["cand", "score"], state.dwell_step(), "choice string"))
+    return _folded(spark, folder, state.Choice(FRAME_MS, 2.5 * FRAME_MS, 9 * FRAME_MS), cand=F.col("event_type"), score=F.col("value"))
 
 
 def adaptive_level(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "ts", "at", "event_id", F.col("value").alias("ms"))
-    return run_to_end(state.keyed(e, ["ms"], state.level_step(block=18), "level string, share double"))
+    return _folded(spark, folder, state.QualityLevel(block=18), ms=F.col("value"))
 
 
 def stable_order(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder).select("key", "ts", "at", "event_id", F.col("event_type").alias("cand"), F.col("value").alias("score"))
-    return run_to_end(state.keyed(e, ["cand", "score"], state.order_step(), "ranking string"))
+    return _folded(spark, folder, state.Ranking(FRAME_MS), cand=F.col("event_type"), score=F.col("value"))
 
 
 def violation_feed(spark: SparkSession, folder: str) -> DataFrame:
-    """New assets checked on arrival, reported once per content within the watermark of their arrival."""
-    d = read_table(spark, folder, "documents").withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "10 minutes")
+    """Assets checked as they arrive, each content reported once: the stream is stateless and the sink's table is keyed."""
     path = F.concat(F.when(F.col("doc_id") % 5 == 0, "/").otherwise(""), "source", F.lit("/"), F.col("doc_id"))
-    d = d.select("arrived", path.alias("path"), F.sha2("text", 256).alias("sha256"))
+    d = read_table(spark, folder, "documents").select(path.alias("path"), F.sha2("text", 256).alias("sha256"))
     rule = F.when(~safe_path("path"), "bad-path").when(~valid_sha256("sha256"), "bad-sha256")
-    v = d.withColumn("rule", rule).where("rule is not null and sha256 is not null").dropDuplicatesWithinWatermark(["sha256"])
-    return run_to_end(v.select("sha256", "rule"))
+    found = run_to_end(d.withColumn("rule", rule).where("rule is not null and sha256 is not null").select("sha256", "rule"))
+    return found.groupBy("sha256").agg(F.min("rule").alias("rule"))

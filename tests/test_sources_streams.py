@@ -69,7 +69,7 @@ def test_hysteresis_stream_over_disordered_files(spark, tmp_path):
         folder = tmp_path / "t" / "events.parquet"
         spark.createDataFrame(part, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(folder))
     e = runs.events(spark, str(tmp_path / "t")).select("key", "ts", "at", "event_id", (F.col("value") * 6).alias("distance"))
-    got = runs.run_to_end(state.keyed(e, ["distance"], state.hysteresis_step(), "member boolean"))
+    got = runs.run_to_end(state.folded(e, state.Membership()))
     batch = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").select(
         F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), "event_id", (F.col("value") * 6).alias("distance"))
     want = {(r.key, r.event_id): r.member for r in tm.hysteresis(batch).collect()}
@@ -77,11 +77,57 @@ def test_hysteresis_stream_over_disordered_files(spark, tmp_path):
     assert len(seen) == 100 and all(want[k] == v for k, v in seen.items())
 
 
-def test_level_and_order_steps():
-    step, m = state.level_step("high"), {}
-    out = [step(m, (i * 100_000, i, 30.0)) for i in range(400)]
-    assert [o for o in out if o][0] == ("balanced", 1.0)
-    order, m = state.order_step(), {}
-    assert [order(m, (i, i, c, s))[0] for i, (c, s) in enumerate([("a", 10), ("b", 11), ("b", 13)])] == ["a", "a|b", "b|a"]
-    dwell, m = state.dwell_step(), {}
-    assert [dwell(m, (t * 1000, t, c, s))[0] for t, c, s in ((1000, "a", 10), (1400, "a", 10), (1600, "a", 10), (1700, "b", 12), (3000, "b", 12), (3100, "b", 20), (3700, "b", 20))] == ["", "", "a", "a", "a", "a", "b"]
+def answers(fold, rows):
+    """What the fold says on rows (ms, candidate, score), frame by frame."""
+    memory, out = None, []
+    for start in sorted({r[0] * 1000 // fold.frame * fold.frame for r in rows}):
+        held = [(r[0] * 1000, k, *r[1:]) for k, r in enumerate(rows) if r[0] * 1000 // fold.frame * fold.frame == start]
+        memory, said = fold(memory, state.Frame(start, held[-1][1], held))
+        out.append(said[0])
+    return out
+
+
+def test_choice_commits_keeps_and_clears():
+    fold = state.Choice(100, 500, 1800)
+    steady = [(t, "a", 10.0) for t in range(0, 700, 100)]
+    assert answers(fold, steady) == [""] * 5 + ["a", "a"]
+    better = steady + [(t, c, s) for t in range(700, 1400, 100) for c, s in (("a", 10.0), ("b", 12.0))]
+    assert answers(fold, better)[-1] == "a"
+    best = steady + [(t, c, s) for t in range(700, 1400, 100) for c, s in (("a", 10.0), ("b", 20.0))]
+    assert answers(fold, best)[-1] == "b"
+    assert answers(fold, steady + [(21_000, "c", 1.0)])[-1] == ""
+    assert answers(fold, steady + [(1_500, "a", 1.0)])[-1] == "a"
+
+
+def test_ranking_forgets_who_left_and_swaps_only_clear_winners():
+    fold = state.Ranking(100)
+    rows = [(0, "a", 10.0), (100, "a", 10.0), (100, "b", 11.0), (200, "a", 10.0), (200, "b", 13.0), (300, "c", 1.0), (900, "a", 5.0), (900, "c", 5.5)]
+    assert answers(fold, rows) == ["a", "a|b", "b|a", "c", "c|a"]
+
+
+def test_level_falls_rises_and_starts_anew():
+    fold, memory, said = state.QualityLevel("high", block=10), None, []
+    for k in range(3000):
+        memory, out = fold(memory, state.Frame(k * 100_000, k, [(k * 100_000, k, 30.0 if k < 400 else 5.0)]))
+        said += [out] if out else []
+    assert said[0] == ("balanced", 1.0) and said[1] == ("smooth", 1.0) and said[-1][0] == "high"
+    memory, out = fold(memory, state.Frame(10**12, 1, [(10**12, 1, 5.0)]))
+    assert memory[0] == "high" and memory[3] == 1
+
+
+def test_streams_forget_idle_keys_and_equal_the_fold(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=20 * i), i % 4, "abc"[i % 3], float((i * 37) % 100), "") for i in range(200)]
+    for part in (rows[:70], rows[70:140], rows[140:]):
+        spark.createDataFrame(part, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t" / "events.parquet"))
+    for run, fold in ((runs.dwell_choice, state.Choice(runs.FRAME_MS, 2.5 * runs.FRAME_MS, 9 * runs.FRAME_MS)), (runs.stable_order, state.Ranking(runs.FRAME_MS))):
+        got = {(r.key, r.event_id): r[2] for r in run(spark, str(tmp_path / "t")).collect()}
+        assert len(got) > 100
+        for user in range(4):
+            memory = None
+            own = [(int(ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6), i, e, v) for i, ts, u, e, v, _ in rows if u == user]
+            for start in sorted({r[0] // fold.frame for r in own}):
+                held = [r for r in own if r[0] // fold.frame == start]
+                memory, said = fold(memory, state.Frame(start * fold.frame, held[-1][1], held))
+                if (user, held[-1][1]) in got:
+                    assert got[user, held[-1][1]] == said[0]
