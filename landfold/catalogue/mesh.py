@@ -106,7 +106,7 @@ def _(t):
     return m.correction_proof(t.tri, removed, m.apply_corrections(t.tri, removed))
 
 
-RAYS = """rays AS (SELECT tri_idx AS ray_id, (x1+x2+x3)/3+6 AS ox, (y1+y2+y3)/3+24 AS oy, (z1+z2+z3)/3+8 AS oz, -6e0/26 AS dx, -24e0/26 AS dy, -8e0/26 AS dz FROM tri WHERE tri_idx%3=0),
+RAYS = """rays AS (SELECT tri_idx AS ray_id, (x1+x2+x3)/3+6 AS ox, (y1+y2+y3)/3+24 AS oy, (z1+z2+z3)/3+8 AS oz, -6e0/26 AS dx, -24e0/26 AS dy, -8e0/26 AS dz FROM tri),
 rt AS (SELECT r.*, t.tile_id, t.tri_idx, x1,y1,z1, x2-x1 AS e1x, y2-y1 AS e1y, z2-z1 AS e1z, x3-x1 AS e2x, y3-y1 AS e2y, z3-z1 AS e2z FROM rays r JOIN tri t ON least(x1,x2,x3)<=ox AND greatest(x1,x2,x3)>=ox-30 AND least(z1,z2,z3)<=oz AND greatest(z1,z2,z3)>=oz-30),
 dt AS (SELECT *, dy*e2z-dz*e2y AS px, dz*e2x-dx*e2z AS py, dx*e2y-dy*e2x AS pz, ox-x1 AS sx, oy-y1 AS sy, oz-z1 AS sz FROM rt),
 dd AS (SELECT *, e1x*px+e1y*py+e1z*pz AS det, sy*e1z-sz*e1y AS qx, sz*e1x-sx*e1z AS qy, sx*e1y-sy*e1x AS qz FROM dt),
@@ -115,7 +115,7 @@ hit AS (SELECT ray_id, tile_id, tri_idx, (e2x*qx+e2y*qy+e2z*qz)/det AS dist FROM
 
 def hits(t):
     mid = {a: (F.col(f"{a}1") + F.col(f"{a}2") + F.col(f"{a}3")) / 3 for a in "xyz"}
-    rays = t.tri.where("tri_idx%3=0").select(F.col("tri_idx").alias("ray_id"), *[(mid[a] + b).alias(f"o{a}") for a, b in zip("xyz", (6, 24, 8))],
+    rays = t.tri.select(F.col("tri_idx").alias("ray_id"), *[(mid[a] + b).alias(f"o{a}") for a, b in zip("xyz", (6, 24, 8))],
                                              *[F.lit(-b / 26).alias(f"d{a}") for a, b in zip("xyz", (6, 24, 8))])
     return m.ray_hits(rays, t.tri, 80.0)
 

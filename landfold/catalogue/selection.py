@@ -68,8 +68,7 @@ def _(t):
 
 @query("t8_view_score")
 def _(t):
-    k = F.col("c_custkey")
-    poses = t.road_seg.where("seq = 0 and line_id % 10 = line_id div 10 % 10").select(
+    poses = t.road_seg.where("seq = 0").select(
         F.col("line_id").alias("pose_id"), F.col("x1").alias("ex"), F.lit(60.0).alias("ey"), F.col("z1").alias("ez"),
         *[F.lit(float(v)).alias(n) for n, v in zip(("rx", "ry", "rz", "ux", "uy", "uz", "fx", "fy", "fz"), (1, 0, 0, 0, 0.8, -0.6, 0, -0.6, -0.8))])
     boxes = t.domains.select(F.col("poly_id").alias("box_id"), (F.col("cx") - F.col("r")).alias("min_x"), F.col("min_y"), (F.col("cz") - F.col("r")).alias("min_z"),

@@ -72,7 +72,7 @@ def _(t):
     return s.payload_compare(tiles, "owner", ["bytes"])
 
 
-@query("e31_qa_sample")
+@query("e31_qa_sample", "SELECT * FROM pts ORDER BY sha256(concat('20250327|', CAST(pt_id AS VARCHAR))), pt_id LIMIT 2500")
 def _(t):
     return s.qa_sample(t.pts, 2500, 20250327, "pt_id")
 

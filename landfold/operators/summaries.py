@@ -98,7 +98,8 @@ def payload_compare(df: DataFrame, key: str, measures: list[str], levels=("high"
 
 def qa_sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows without replacement, the same ones for the same seed on any cluster."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    draw = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]), 256)
+    return df.orderBy(draw, *key).limit(n)
 
 
 def count_bounds(domains: DataFrame) -> DataFrame:
