@@ -175,33 +175,45 @@ def encode_long(docs: DataFrame, codec: Codec, id_col: str, text_col: str, chunk
 def digests(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text",
             chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """One row per input row: id_col, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text."""
-    whole = decode(encode_short(docs, codec, id_col, text_col, chunk_chars + overlap), codec)
-    short = whole.select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                         F.sha2("bytes", 256).alias("decoded_sha256"))
+    rows = _rows(docs, id_col, text_col).where(F.length("text") <= chunk_chars + overlap)
     pieces = encode_long(docs, codec, id_col, text_col, chunk_chars, overlap)
-    parts = decode(pieces, codec).repartition("row_id").sortWithinPartitions("row_id", "piece")
+    parts = pieces.repartition("row_id").sortWithinPartitions("row_id", "piece")
     kind = docs.schema[id_col].dataType.simpleString()
 
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of one chunk: encoded and decoded in the same task, where only the digests leave it."""
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                counts, digests = [], ([], [])
+                for text in texts[a:b]:
+                    ids = codec.ids(text).tobytes()
+                    counts.append(len(ids) // 4)
+                    digests[0].append(hashlib.sha256(ids).hexdigest())
+                    digests[1].append(hashlib.sha256(codec.text_bytes(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(digests[0]), pa.array(digests[1])], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digests over the pieces of a row in order; none of them is held."""
         now = None
 
         def out():
             row, key, n, a, b = now
-            return pa.RecordBatch.from_arrays([key, pa.array([n], pa.int64()), pa.array([a.hexdigest()]), pa.array([b.hexdigest()])],
-                                              [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            return pa.RecordBatch.from_arrays([key, pa.array([n], pa.int64()), pa.array([a.hexdigest()]), pa.array([b.hexdigest()])], names)
 
         for batch in batches:
-            for i, (row, ids, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row_id", "ids", "bytes")))):
+            for i, (row, ids) in enumerate(zip(batch.column("row_id").to_pylist(), batch.column("ids").to_pylist())):
                 if now is None or now[0] != row:
                     if now:
                         yield out()
                     now = [row, batch.slice(i, 1).column(id_col), 0, hashlib.sha256(), hashlib.sha256()]
                 now[2] += len(ids) // 4
                 now[3].update(ids)
-                now[4].update(raw)
+                now[4].update(codec.text_bytes(ids))
         if now:
             yield out()
 
-    long = parts.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return short.unionByName(long)
+    return rows.mapInArrow(at_once, schema).unionByName(parts.mapInArrow(run, schema))
