@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landfold.llm.common import U64, Words, block_count, slices
+from landfold.llm.common import SLICE_TEXTS, U64, Words, block_count, slices
 
 K, ABOVE = 5, 0.5
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -150,7 +150,7 @@ def _blocks(buckets: int, width: U64):
                 ids += all_ids[a:b]
                 learn += flags[a:b]
                 chars += sum(len(t or "") for t in texts[a:b])
-                if chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS - 10_000:
+                if chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS - SLICE_TEXTS:
                     yield flush()
         if ids:
             yield flush()

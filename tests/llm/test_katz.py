@@ -106,3 +106,18 @@ def test_query_holds_out_its_fold(spark):
     assert len(rows) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows)
     held = [(r.score, r.base_score) for r in rows if r.held_out]
     assert sum(a for a, _ in held) > sum(b for _, b in held)
+
+
+def test_many_short_texts_in_one_partition(spark):
+    docs = spark.range(0, 45000, 1, 1).selectExpr("id as doc_id", "CASE WHEN id % 3 = 0 THEN 'a b' ELSE 'b' END as text", "id % 2 = 0 as learn")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    try:
+        rows = katz.score(docs).groupBy("n_tokens").agg({"score": "min", "*": "count"}).collect()
+        spread = katz.score(docs).groupBy("n_tokens").agg({"score": "max"}).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = Plain(["a b" if i % 3 == 0 else "b" for i in range(0, 45000, 2)])
+    assert {r.n_tokens: r["count(1)"] for r in rows} == {3: 15000, 2: 30000}
+    for low, high in zip(sorted(rows, key=lambda r: r.n_tokens), sorted(spread, key=lambda r: r.n_tokens)):
+        want = plain.score("a b" if low.n_tokens == 3 else "b")
+        assert low["min(score)"] == pytest.approx(want) and high["max(score)"] == pytest.approx(want)
