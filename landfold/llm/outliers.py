@@ -9,7 +9,7 @@ by the estimate of its language, and a small language by that of all rows.
 
 Every step is one pass over the small table of vectors: moments combine before the shuffle, and the share of nearest
 rows is an exact percentile over binned distances, of which a few thousand exist. Only a group's numbers are joined
-back. Rows that fail the base rules take no part in the estimates.
+back, sent to all tasks while the groups are few enough, so that a hot group's rows stay where they are. Rows that fail the base rules take no part in the estimates.
 
 Null texts have no words and fail the base rules; null languages and sources form groups of their own. Repeated rows
 count each. An empty table gives no rows. Further columns of the input are not read.
@@ -17,6 +17,8 @@ count each. An empty table gives no rows. Further columns of the input are not r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ FLOORS = (0.5, 0.07, 0.05, 0.2, 0.2)
 P = len(FLOORS)
 LATTICE = 1024
 BINS = 64
+#: numbers of so many groups (under 20 MB) are sent to every task; of more, they meet the rows by a shuffle
+SENT_GROUPS = 40_000
 KEY = ["level", "k_lang", "k_source"]
 UPPER = [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -104,10 +108,10 @@ def _moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return got.select(*keys, *[F.expr(f"z{i} + a{i}").alias(f"m{i}") for i in range(P)], *cov)
 
 
-def estimates(members: DataFrame) -> DataFrame:
-    """KEY and ESTIMATE columns: the estimate of least determinant per group; members: KEY and x0..x4."""
+def estimates(members: DataFrame, sent: Callable[[DataFrame], DataFrame] = lambda groups: groups) -> DataFrame:
+    """KEY and ESTIMATE columns: the estimate of least determinant per group; members: KEY and x0..x4; sent: how groups are joined."""
     medians = cut_lineage(members.groupBy(*KEY).agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"z{i}") for i in range(P)]))
-    centred = members.join(medians, KEY)
+    centred = members.join(sent(medians), KEY)
     spread = centred.groupBy(*KEY).agg(*[F.percentile(F.expr(f"abs(x{i} - z{i})"), F.lit(0.5)).alias(f"d{i}") for i in range(P)])
     diagonal = [F.expr(f"{1.4826 ** 2}D * d{i} * d{i} + {FLOORS[i] ** 2}D" if i == j else "0D").alias(f"c_{i}_{j}") for i, j in UPPER]
     robust = medians.join(spread, KEY).select(*KEY, F.lit(0).alias("start"), *[F.col(f"z{i}").alias(f"m{i}") for i in range(P)], *diagonal)
@@ -115,9 +119,9 @@ def estimates(members: DataFrame) -> DataFrame:
     now = cut_lineage(_factor(robust.unionByName(classic)).select(*KEY, "start", *ESTIMATE))
     both = [*KEY, "start"]
     for _ in range(STEPS):
-        near = _distance(members.join(now, KEY)).withColumn("bin", F.expr(f"cast(floor({BINS} * ln(1 + d2)) as int)"))
+        near = _distance(members.join(sent(now), KEY)).withColumn("bin", F.expr(f"cast(floor({BINS} * ln(1 + d2)) as int)"))
         reach = near.groupBy(*both).agg(F.percentile("bin", F.lit(COVERAGE)).alias("reach"))
-        rows = near.join(reach, both).where("bin <= reach").withColumns({f"z{i}": F.col(f"m{i}") for i in range(P)})
+        rows = near.join(sent(reach), both).where("bin <= reach").withColumns({f"z{i}": F.col(f"m{i}") for i in range(P)})
         now = cut_lineage(_factor(_moments(rows, both, CONSISTENCY)).select(*both, *ESTIMATE))
     best = now.groupBy(*KEY).agg(F.min_by(F.struct(*ESTIMATE), F.struct("log_det", "start")).alias("best"))
     return best.select(*KEY, "best.*")
@@ -135,9 +139,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
         F.when(own | wide, F.col("lang")).otherwise("").alias("k_lang"), F.when(own, F.col("source")).otherwise("").alias("k_source")))
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), (F.col("lang") if k < 2 else F.lit("")).alias("k_lang"), (F.col("source") if k < 1 else F.lit("")).alias("k_source")) for k in range(3)]))
     xs = [f"x{i}" for i in range(P)]
-    members = sound.select(levels.alias("key"), *xs).select("key.*", *xs).join(choice.select(*KEY).distinct(), KEY)
-    known = estimates(members)
-    judged = _distance(rows.join(choice, ["lang", "source"], "left").join(known, KEY, "left"))
+    sent = F.broadcast if choice.count() <= SENT_GROUPS else lambda groups: groups
+    members = sound.select(levels.alias("key"), *xs).select("key.*", *xs).join(sent(choice.select(*KEY).distinct()), KEY)
+    known = estimates(members, sent)
+    judged = _distance(rows.join(sent(choice), ["lang", "source"], "left").join(sent(known), KEY, "left"))
     kept = ~F.col("base_failed") & (F.col("d2") <= cutoff)
     return judged.select(*rows.drop(*xs).columns, "level", F.when(~F.col("base_failed"), F.col("d2")).alias("d2"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
