@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -187,20 +186,23 @@ def _refresh(index: LineIndex, holders: DataFrame, touched: DataFrame) -> LineIn
     return LineIndex(holders, references, _repaired(filters, references, index.min_docs), index.shards, index.min_chars, index.min_docs)
 
 
+def _one_filter(shard: pa.Scalar, made: Cuckoo | None) -> pa.Table:
+    cells = None if made is None else made.cells.tobytes()
+    return pa.table({"shard": pa.array([shard.as_py()], pa.int32()), "cells": pa.array([cells], pa.binary())})
+
+
 def _turned(filters: DataFrame, crossed: DataFrame) -> DataFrame:
     """Filters after keys have entered and left; cells are null where they did not fit."""
-    def turn(old: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
-        shard = int((old if len(old) else moves)["shard"].iloc[0])
-        enters = moves["enters"].to_numpy(bool)
-        k1, k2 = moves["k1"].to_numpy(np.int64), moves["k2"].to_numpy(np.int64)
+    def turn(key: tuple, old: pa.Table, moves: pa.Table) -> pa.Table:
+        enters = moves.column("enters").to_numpy()
+        k1, k2 = moves.column("k1").to_numpy(), moves.column("k2").to_numpy()
         if not len(old):
-            return pd.DataFrame({"shard": [shard], "cells": [built(k1[enters], k2[enters]).cells.tobytes()]})
-        held = Cuckoo.read(old["cells"].iloc[0])
+            return _one_filter(key[0], built(k1[enters], k2[enters]))
+        held = Cuckoo.read(old.column("cells")[0].as_py())
         held.remove(k1[~enters], k2[~enters])
-        fits = held.add(k1[enters], k2[enters])
-        return pd.DataFrame({"shard": [shard], "cells": [held.cells.tobytes() if fits else None]})
+        return _one_filter(key[0], held if held.add(k1[enters], k2[enters]) else None)
 
-    return cut_lineage(filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(turn, FILTERS))
+    return cut_lineage(filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(turn, FILTERS))
 
 
 def _repaired(filters: DataFrame, references: DataFrame, min_docs: int) -> DataFrame:
@@ -209,12 +211,11 @@ def _repaired(filters: DataFrame, references: DataFrame, min_docs: int) -> DataF
     if full.isEmpty():
         return filters
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        made = built(rows["k1"].to_numpy(np.int64), rows["k2"].to_numpy(np.int64), 2)
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "cells": [made.cells.tobytes()]})
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        return _one_filter(key[0], built(rows.column("k1").to_numpy(), rows.column("k2").to_numpy(), 2))
 
     shared = references.where(F.col("n_docs") >= min_docs).join(full, "shard", "left_semi").select("shard", *PAIR)
-    return cut_lineage(filters.where("cells is not null").unionByName(shared.groupBy("shard").applyInPandas(build, FILTERS)))
+    return cut_lineage(filters.where("cells is not null").unionByName(shared.groupBy("shard").applyInArrow(build, FILTERS)))
 
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
