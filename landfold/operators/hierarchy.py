@@ -46,7 +46,7 @@ def nearest_of_type(entities: DataFrame, *types: str, chain: DataFrame | None =
             if now.where("above is not null").isEmpty():
                 break
             ahead = now.select(F.col("entity_id").alias("above"), F.col("above").alias("further"), *[F.col(f"`{t}`").alias(f"next_{t}") for t in types])
-            now = cut_lineage(now.join(ahead, "above", "left").select("entity_id", *[F.coalesce(F.col(f"`{t}`"), F.col(f"`next_{t}`")).alias(t) for t in types], F.col("further").alias("above")))
+            now = cut_lineage(now.join(ahead, "above", "left").select("entity_id", *[F.coalesce(F.col(f"`{t}`"), F.col(f"`next_{t}`")).alias(t) for t in types], F.col("further").alias("above")), replaces=now)
         return now.drop("above")
     typed = chain.join(entities.select(F.col("entity_id").alias("ancestor_id"), "type"), "ancestor_id")
     return typed.groupBy("entity_id").agg(*[

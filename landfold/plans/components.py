@@ -32,7 +32,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = cut_lineage(edges.where("u <> v").select("u", "v").distinct())
     mark = None
     while True:
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(_large_star(e)), replaces=e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -94,13 +94,13 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
         taken.append(win.select("scenario", "group_id", "paid"))
         used = win.groupBy("scenario").agg(F.sum("paid").alias("used"), F.count("*").alias("n"))
         left = cut_lineage(left.join(used, "scenario", "left").select(
-            "scenario", (F.col("remaining") - F.coalesce("used", F.lit(0))).alias("remaining"), (F.col("slots") - F.coalesce("n", F.lit(0))).alias("slots")))
+            "scenario", (F.col("remaining") - F.coalesce("used", F.lit(0))).alias("remaining"), (F.col("slots") - F.coalesce("n", F.lit(0))).alias("slots")), replaces=left)
         if items is not None:
             new = cut_lineage(items.join(win.select("scenario", "group_id"), ["scenario", "group_id"], "left_semi").select("scenario", "item_id").distinct())
             owned = new if owned is None else cut_lineage(owned.unionByName(new))
         rest = judged.where("not fits and not hopeless and struct(ord, group_id) <> first").select(*todo.columns)
         rest = rest.join(left.where("slots is null or slots > 0").select("scenario"), "scenario", "left_semi")
-        todo = cut_lineage(rest)
+        todo = cut_lineage(rest, replaces=todo)
         if todo.isEmpty():
             break
     return reduce(DataFrame.unionByName, taken)

@@ -40,13 +40,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write the rows to a table in the shared checkpoint folder and read them back.
 
     Survives the loss of executors, ends the lineage, and gives the next plan
     true sizes; a checkpointed RDD would also carry the old plan's constraints
-    along, which grow with every round of a loop.
+    along, which grow with every round of a loop. replaces: the cut table of the
+    round before, which nothing else reads; it is deleted once this one is written.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/landfold-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/landfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if replaces is not None and (old := replaces.__dict__.get("cut_path")):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["cut_path"] = path
+    return out
