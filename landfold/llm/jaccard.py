@@ -9,12 +9,12 @@ at a Jaccard similarity of 0.8 or more, so a linked document shares at least 80
 2. Equal texts become one class; only classes left by step 1 go on, with their whole sets.
 3. The classes' shingles get their document frequency and are ordered by it. The first 20 % + 1 of a set, its prefix,
    holds a shingle of any partner. Inverted lists are made of the prefixes.
-4. Each class is verified against the one list head that it shares most lists with. That joins nearly all of a group of
-   copies in one linear pass. Lists whose members are all joined already are dropped.
-5. Classes that meet in the lists left are searched together, in tasks of bounded size: short inverted lists are merged,
-   candidates that can still reach the overlap T are probed in the L longest lists by binary search (DivideSkip), and
-   those that reach T link. A group too large for a task is cut in parts and every two parts meet in one task. Pairs in
-   one component already are not searched.
+4. Classes that meet in the lists, directly or by others, form a group; linked classes are always in one. All pairs of a
+   group are searched in tasks of bounded size: short inverted lists are merged, candidates that can still reach the
+   overlap T are probed in the L longest lists (DivideSkip), and those that reach T link. A group too large for a task is
+   cut in parts: a part meets itself in one task and every other part in one more, so that each pair has one owner.
+5. A task returns one row per class and not its pairs: how many documents its partners there have, and one of its
+   component there. A document's links are the sum of these and the other documents of its class.
 
 Null and empty texts and texts without words have an empty set and link with nothing. Repeated rows are copies like
 others. A null doc_id is no component's id unless no member has one. An empty table gives no rows. Further columns of
@@ -245,105 +245,111 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def head_links(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v): classes that link with the head of the lists they share most with."""
-    heads = lists.groupBy("token").agg(F.min("cid").alias("head"))
-    meets = lists.join(heads, "token").where("cid <> head").groupBy("cid", "head").agg(F.count("*").alias("lists"))
-    best = meets.groupBy("cid").agg(F.max_by("head", F.struct("lists", "head")).alias("head"))
-    pairs = best.join(sets.select("cid", F.col("tokens").alias("a")), "cid").join(sets.select(F.col("cid").alias("head"), F.col("tokens").alias("b")), "head")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [linked(np.frombuffer(a, U64), np.frombuffer(b, U64), percent) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
-            yield batch.select(["cid", "head"]).rename_columns(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("cid", "head", "a", "b").mapInArrow(verify, "u bigint, v bigint")
-
-
-def divide_skip(sets: list[np.ndarray], label: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (i, j) between sets of different labels, enough of them to join every component; labels follow the links.
+def partners(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set i all sets j of another side that link with it; each pair comes once.
 
     Sets are taken by growing size, each a query against those before it. Lists hold places in that order.
     """
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])), np.int64)
     size = np.array([len(sets[i]) for i in order])
-    label = np.unique(label[order], return_inverse=True)[1]
-    tokens = np.concatenate([sets[i] for i in order]) if order else np.zeros(0, U64)
+    side = np.asarray(side)[order]
+    tokens = np.concatenate([sets[i] for i in order]) if len(order) else np.zeros(0, U64)
     place = np.repeat(np.arange(len(order)), size)
     by_token = np.argsort(tokens, kind="stable")
-    vocabulary, starts = np.unique(tokens[by_token], return_index=True)
-    ends, entries = np.append(starts[1:], len(tokens)), place[by_token]
-    links = []
-    for q, i in enumerate(order):
-        if not size[q]:
-            continue
-        rows = np.searchsorted(vocabulary, sets[i])
-        low = starts[rows]
-        smallest = np.searchsorted(size, needed(int(size[q]), percent))
-        high = low + np.array([np.searchsorted(entries[a:b], q) for a, b in zip(low, ends[rows])])
-        length = high - low
+    vocabulary, rank, width = np.unique(tokens, return_inverse=True, return_counts=True)
+    starts, entries = np.cumsum(width) - width, place[by_token]
+    nth = np.empty(len(tokens), np.int64)  # how many earlier sets hold the same shingle
+    nth[by_token] = np.arange(len(tokens)) - np.repeat(starts, width)
+    first = np.cumsum(size) - size
+    for q, i in enumerate(order.tolist()):
+        own = slice(first[q], first[q] + size[q])
+        low, length = starts[rank[own]], nth[own]
         keep = length > 0
-        low, high, length = low[keep], high[keep], length[keep]
+        low, length = low[keep], length[keep]
         least = int(needed(int(size[q]), percent))
-        if len(length) < least:
+        if len(length) < max(1, least):
             continue
         by_length = np.argsort(length, kind="stable")
         long = min(least - 1, int(least / (0.01 * np.log2(max(2, length.max())) + 1)))
         cut = len(length) - long
         short, probed = by_length[:cut], by_length[cut:]
         flat = np.repeat(low[short] - np.concatenate([[0], np.cumsum(length[short])[:-1]]), length[short]) + np.arange(length[short].sum())
-        merged, counts = np.unique(entries[flat], return_counts=True)
-        may = (counts >= least - long) & (merged >= smallest) & (label[merged] != label[q])
-        merged, counts = merged[may], counts[may]
+        counts = np.bincount(entries[flat], minlength=q)
+        smallest = np.searchsorted(size, least)
+        merged = np.flatnonzero((counts >= least - long) & (np.arange(q) >= smallest) & (side[:q] != side[q]))
+        counts = counts[merged]
         for left, k in enumerate(probed[::-1]):
             if not len(merged):
                 break
-            one = entries[low[k]:high[k]]
-            spot = np.minimum(np.searchsorted(one, merged), len(one) - 1)
-            counts = counts + (one[spot] == merged)
+            one = entries[low[k]:low[k] + length[k]]
+            if len(one) < 16 * len(merged):
+                held = np.zeros(q, bool)
+                held[one] = True
+                counts = counts + held[merged]
+            else:
+                counts = counts + (one[np.minimum(np.searchsorted(one, merged), len(one) - 1)] == merged)
             may = counts + (long - left - 1) >= least
             merged, counts = merged[may], counts[may]
-        for other, both in zip(merged.tolist(), counts.tolist()):
-            if label[other] != label[q] and 100 * both >= percent * (size[q] + size[other] - both):
-                links.append((i, order[other]))
-                label[label == label[other]] = label[q]
-    return links
+        found = merged[100 * counts >= percent * (size[q] + size[merged] - counts)]
+        if len(found):
+            yield i, order[found]
+
+
+def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """All links (i, j) between sets of different sides."""
+    return [(i, j) for i, found in partners(sets, side, percent) for j in found.tolist()]
+
+
+def cell_links(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Per set the weight of its partners, and a set of its component: the links of a cell in space linear in its sets."""
+    total, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for i, found in partners(sets, side, percent):
+        total[i] += weight[found].sum()
+        total[found] += weight[i]
+        met = np.unique(label[np.append(found, i)])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return total, label
 
 
 def group_links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v) links inside groups; groups: (cid, component, label). Large groups are cut in parts, of which every two meet."""
+    """(cid, v, links) per class and cell: a class of its component (itself if it has none) and the documents it links with there; groups: (cid, component, weight)."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     bins = block_count(groups.sparkSession, groups, PART // 2, 1)
     sized = groups.join(sizes, "component").withColumn("parts", F.ceil(F.col("members") / PART).cast("int"))
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    cells = F.expr("transform(sequence(0, parts - 1), x -> concat_ws('-', component, least(x, part), greatest(x, part)))")
-    small = F.array(F.concat(F.lit("bin-"), F.pmod(F.xxhash64("component"), F.lit(bins))))
-    placed = sized.withColumn("part", part).select("cid", "label", F.explode(F.when(F.col("parts") > 1, cells).otherwise(small)).alias("cell"))
+    cells = F.expr("transform(sequence(0, parts - 1), x -> struct(concat_ws('-', component, least(x, part), greatest(x, part)) as cell, x <> part as across))")
+    small = F.array(F.struct(F.concat(F.lit("bin-"), F.pmod(F.xxhash64("component"), F.lit(bins))).alias("cell"), F.lit(False).alias("across")))
+    placed = sized.withColumn("part", part).select("cid", "weight", "part", F.explode(F.when(F.col("parts") > 1, cells).otherwise(small)).alias("at")).select("cid", "weight", "part", "at.*")
 
     def search(group: pa.Table) -> pa.Table:
-        cid = group.column("cid").to_pylist()
-        found = divide_skip([np.frombuffer(x, U64) for x in group.column("tokens").to_pylist()], group.column("label").to_numpy(), percent)
-        return pa.Table.from_pydict({"u": [cid[i] for i, _ in found], "v": [cid[j] for _, j in found]}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        cid = group.column("cid").to_numpy()
+        side = group.column("part").to_numpy() if group.column("across")[0].as_py() else np.arange(len(cid))
+        total, label = cell_links([np.frombuffer(x, U64) for x in group.column("tokens").to_pylist()], side, group.column("weight").to_numpy(), percent)
+        return pa.Table.from_pydict({"cid": cid, "v": cid[label], "links": total}, pa.schema([("cid", pa.int64()), ("v", pa.int64()), ("links", pa.int64())]))
 
-    return placed.join(sets.select("cid", "tokens"), "cid").groupBy("cell").applyInArrow(search, "u bigint, v bigint")
+    return placed.join(sets.select("cid", "tokens"), "cid").groupBy("cell").applyInArrow(search, "cid bigint, v bigint, links bigint")
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, c1, c2), one row per input row; c1 and c2 are equal for equal texts."""
+    """(doc_id, n_shingles, component_id, n_links, c1, c2), one row per input row; c1 and c2 are equal for equal texts.
+
+    n_links: the other rows that the row links with, those of equal text among them.
+    """
     every = cut_lineage(support(docs, percent))
-    classes = cut_lineage(every.where("linkable").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
+    classes = cut_lineage(every.where("linkable").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("weight")).withColumn("cid", F.monotonically_increasing_id()))
     sets = cut_lineage(class_sets(docs, classes))
     lists = cut_lineage(prefixes(sets, percent))
+    heads = lists.groupBy("token").agg(F.min("cid").alias("head"), F.count("*").alias("held")).where("held > 1").select("token", "head")
+    meets = cut_lineage(lists.join(heads, "token").select("cid", "head").distinct())
+    members = meets.select(F.col("cid").alias("id")).distinct()
+    groups = connected(members, meets.select(F.col("cid").alias("u"), F.col("head").alias("v"))).withColumnRenamed("id", "cid").join(classes.select("cid", "weight"), "cid")
+    found = cut_lineage(group_links(cut_lineage(groups), sets, percent))
+    sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
     ids = classes.select(F.col("cid").alias("id"))
-    first = cut_lineage(head_links(lists, sets, percent))
-    label = cut_lineage(connected(ids, first).select(F.col("id").alias("cid"), F.col("component").alias("label")))
-    named = lists.join(label, "cid")
-    mixed = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("cid").alias("head")).where("a <> b").select("token", "head")
-    rest = cut_lineage(named.join(mixed, "token").select("cid", "label", "head").distinct())
-    members = rest.select("cid", "label").distinct()
-    groups = connected(members.select(F.col("cid").alias("id")), rest.select(F.col("cid").alias("u"), F.col("head").alias("v"))).withColumnRenamed("id", "cid").join(members, "cid")
-    links = first.unionByName(group_links(cut_lineage(groups), sets, percent))
-    joined = connected(ids, cut_lineage(links)).join(classes.withColumnRenamed("cid", "id"), "id")
+    joined = connected(ids, found.select(F.col("cid").alias("u"), "v")).join(classes.withColumnRenamed("cid", "id"), "id").join(sums.withColumnRenamed("cid", "id"), "id", "left")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = joined.join(least, "component").select("c1", "c2", "component_id")
-    return every.join(named, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "c1", "c2")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
+    named = joined.join(least, "component").select("c1", "c2", "component_id", n_links.alias("n_links"))
+    return every.join(named, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+                                                          F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "c1", "c2")

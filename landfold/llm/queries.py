@@ -61,6 +61,11 @@ def op7_t_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component and how many other documents it links with, equal texts among them."""
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that a later one holds, after indexing all of them."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -87,7 +92,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_ordinal_quality, op3_bounded_ring, op4_robust_outliers, op5_katz_backoff, op6_byte_bpe, op7_t_occurrence, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
+    f.__name__: f for f in (op1_token_counts, op2_ordinal_quality, op3_bounded_ring, op4_robust_outliers, op5_katz_backoff, op6_byte_bpe, op7_t_occurrence, op7_link_counts, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
 }
 
 OP8_SQL = r"""

@@ -118,3 +118,41 @@ def test_empty_table_and_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in QUERIES["op7_t_occurrence"](spark, sf).collect()), key=repr)
     assert got == brute(docs)
+
+
+def link_counts(docs):
+    """(doc_id, links) by brute force over rows."""
+    sets = []
+    for _, text in docs:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append({tuple(w[j:j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    n = [0] * len(docs)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                n[i] += 1
+                n[j] += 1
+    return sorted(((i, k) for (i, _), k in zip(docs, n)), key=repr)
+
+
+@pytest.mark.parametrize("part", [4096, 8])
+def test_every_link_is_counted(spark, monkeypatch, part):
+    monkeypatch.setattr(J, "PART", part)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    docs = corpus(part + 1, 200)
+    for k in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        docs.append((20000 + k, " ".join(words)))
+    got = sorted(((r.doc_id, r.n_links) for r in J.join(frame(spark, docs)).collect()), key=repr)
+    assert got == link_counts(docs)
+
+
+def test_link_query_counts_every_link(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(((r.doc_id, r.n_links) for r in QUERIES["op7_link_counts"](spark, sf).collect()), key=repr)
+    assert got == link_counts(docs)
