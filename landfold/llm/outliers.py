@@ -2,9 +2,11 @@
 
 Each text gives statistics of its words and lines, then a vector of transformed statistics. Per (language, source) a
 minimum-covariance-determinant estimate is found by concentration steps: keep the COVERAGE of rows nearest to the
-present centre, take their mean and covariance, and repeat; of two starts (medians with absolute deviations; mean and
-covariance of all) the smaller determinant wins. Rows whose squared Mahalanobis distance exceeds CUTOFF are rejected.
-Each variance gets a floor, since most statistics are zero on most texts. A group of fewer than MIN_ROWS rows is judged
+present centre, take their mean and covariance, and repeat until the determinant settles, STEPS times at most; of two starts
+(medians with absolute deviations; mean and covariance of all) the smaller determinant wins. COVERAGE is the limit of
+(n + p + 1) / 2n, so that the estimate holds with nearly half of a group's rows bad. Rows whose squared Mahalanobis
+distance exceeds CUTOFF are rejected. Each variance gets a floor, since most statistics are zero on most texts; the
+floors let each statistic alone exceed CUTOFF. A group of fewer than MIN_ROWS rows is judged
 by the estimate of its language, and a small language by that of all rows.
 
 Every step is one pass over the small table of vectors: moments combine before the shuffle, and the share of nearest
@@ -18,6 +20,7 @@ count each. An empty table gives no rows. Further columns of the input are not r
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +28,15 @@ from pyspark.sql import functions as F
 from landfold.session import cut_lineage
 
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
-COVERAGE = 0.75
-STEPS = 3
+COVERAGE = 0.5
+STEPS = 20
+SETTLED = 1e-9
 MIN_ROWS = 100
-#: fixed values: chi-square with 5 degrees of freedom at 0.9999, and the factor that makes the covariance of the nearest 75 % consistent
+#: fixed values: chi-square with 5 degrees of freedom at 0.9999, and the factor that makes the covariance of the nearest half consistent
 CUTOFF = 25.745
-CONSISTENCY = 1.41
+CONSISTENCY = 1.914
 #: ln(1 + words), ln(mean word length), square roots of the shares of symbols, repeated lines and repeated words; and their least deviations
-FLOORS = (0.5, 0.07, 0.05, 0.2, 0.2)
+FLOORS = (0.5, 0.07, 0.05, 0.12, 0.12)
 P = len(FLOORS)
 LATTICE = 1024
 BINS = 64
@@ -117,13 +121,19 @@ def estimates(members: DataFrame, sent: Callable[[DataFrame], DataFrame] = lambd
     robust = medians.join(spread, KEY).select(*KEY, F.lit(0).alias("start"), *[F.col(f"z{i}").alias(f"m{i}") for i in range(P)], *diagonal)
     classic = _moments(centred, KEY, 1.0).withColumn("start", F.lit(1))
     now = cut_lineage(_factor(robust.unionByName(classic)).select(*KEY, "start", *ESTIMATE))
-    both = [*KEY, "start"]
+    both, settled = [*KEY, "start"], []
     for _ in range(STEPS):
         near = _distance(members.join(sent(now), KEY)).withColumn("bin", F.expr(f"cast(floor({BINS} * ln(1 + d2)) as int)"))
         reach = near.groupBy(*both).agg(F.percentile("bin", F.lit(COVERAGE)).alias("reach"))
         rows = near.join(sent(reach), both).where("bin <= reach").withColumns({f"z{i}": F.col(f"m{i}") for i in range(P)})
-        now = cut_lineage(_factor(_moments(rows, both, CONSISTENCY)).select(*both, *ESTIMATE))
-    best = now.groupBy(*KEY).agg(F.min_by(F.struct(*ESTIMATE), F.struct("log_det", "start")).alias("best"))
+        moved = _factor(_moments(rows, both, CONSISTENCY)).select(*both, *ESTIMATE)
+        before = now.select(*both, F.col("log_det").alias("before"))
+        moved = cut_lineage(moved.join(sent(before), both).withColumn("same", F.expr(f"abs(log_det - before) <= {SETTLED}D")).drop("before"))
+        settled.append(moved.where("same").drop("same"))
+        now = moved.where("not same").drop("same")
+        if now.isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, settled, now).groupBy(*KEY).agg(F.min_by(F.struct(*ESTIMATE), F.struct("log_det", "start")).alias("best"))
     return best.select(*KEY, "best.*")
 
 

@@ -1,5 +1,6 @@
 """Base statistics against a plain count, verdicts against labels and the SQL twin."""
 
+import random
 import re
 from collections import Counter
 
@@ -49,3 +50,30 @@ def test_query_matches_sql(spark):
     cols = [d[0] for d in cur.description]
     ours = QUERIES["op4_robust_outliers"](spark, sf).select(*cols).collect()
     assert sorted(map(tuple, ours)) == sorted(cur.fetchall())
+
+
+def plain_text(rng, symbols=0.0):
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(rng.randrange(80, 160))]
+    words = [w[:-1] + "#" * (1 + len(w) // 4) if rng.random() < symbols else w for w in words]
+    return "\n".join(" ".join(words[i:i + 8]) for i in range(0, len(words), 8))
+
+
+def kept_ids(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    rows = outliers.judge(df).collect()
+    assert not any(r.base_failed for r in rows)
+    return {r.doc_id for r in rows if r.kept}
+
+
+def test_repeated_lines_alone_reject(spark):
+    rng = random.Random(1)
+    texts = [plain_text(rng) for _ in range(200)]
+    unique = plain_text(rng).split("\n")[:10]
+    texts.append("\n".join(line for x in unique for line in (x, "repeat")))  # 9 of 20 lines are repeated, no words in threes are
+    assert kept_ids(spark, texts) == set(range(200))
+
+
+def test_source_with_forty_percent_bad_rows(spark):
+    rng = random.Random(2)
+    texts = [plain_text(rng) for _ in range(180)] + [plain_text(rng, 0.95) for _ in range(120)]
+    assert kept_ids(spark, texts) == set(range(180))
