@@ -8,7 +8,8 @@ is the response and the others are revisit records without payload.
 The reader takes (path, content) rows, as Spark's binaryFile source gives them, compressed by record or plain. A record
 must have a version line, headers, its full block and matching digests. Where that fails, the reader searches for the
 next gzip member or version line from which a whole record can be read, goes on there, and logs the bytes between as a
-gap with the reason.
+gap with the reason. A member is inflated as far as it goes and searched the same way, so its other records are kept; its
+inner gaps name their inner bytes. A record that ends just where a broken member ends is part of the gap.
 
 Null html is an empty payload; a null url has no target; pages without page_id are always responses. Rows that repeat a
 page_id and payload are all responses if that id is the largest. An empty table gives no archive and no records.
@@ -119,25 +120,34 @@ def write(pages: DataFrame, folder: str | None = None, least: int = REVISIT_BYTE
     return folder, cut_lineage(with_revisits(pages, least).mapInArrow(run, "path string, records bigint, bytes bigint"))
 
 
-def _inflated(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The contents of the gzip member at this place, and where it ends; its checksum and length are tested."""
+def _inflated(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The contents of the gzip member at this place as far as they inflate, where it ends, and why it is not whole."""
     unpack, parts, now = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
             step = data[now:now + STEP]
             if not step:
-                raise Damaged("member is cut off")
+                return b"".join(parts), now, "member is cut off"
+            whole = unpack.copy()
             parts.append(unpack.decompress(step))
             now += len(step)
     except zlib.error as broken:
-        raise Damaged(f"member: {broken}") from None
-    return b"".join(parts), now - len(unpack.unused_data)
+        for k in range(len(step)):  # what the last step gives before the damage
+            try:
+                parts.append(whole.decompress(step[k:k + 1]))
+            except zlib.error:
+                break
+        return b"".join(parts), now, f"member: {broken}"
+    return b"".join(parts), now - len(unpack.unused_data), None
 
 
 def _one(raw: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record whose version line is at this place."""
-    head = bytes(raw[at:at + STEP])
-    stop = head.find(b"\r\n\r\n")
+    size = STEP
+    head = bytes(raw[at:at + size])
+    while (stop := head.find(b"\r\n\r\n")) < 0 and head.startswith(b"WARC/1.") and at + size < len(raw):
+        size *= 4
+        head = bytes(raw[at:at + size])
     if not head.startswith(b"WARC/1.") or stop < 0:
         raise Damaged("no version line" if stop >= 0 or not head.startswith(b"WARC/1.") else "headers do not end")
     headers = {}
@@ -176,19 +186,44 @@ def _fields(headers: dict[str, str], block: bytes) -> dict:
             "payload_digest": hexed, "payload_bytes": size, "payload": payload}
 
 
-def _read_at(data: memoryview, at: int) -> tuple[list[dict], int]:
-    """The records of the gzip member, or the plain record, at this place, and its end."""
+def _inner(raw: bytes) -> Iterator[dict]:
+    """Records of inflated bytes, and the gaps between them with their inner offsets."""
+    at = 0
+    while at < len(raw):
+        end, why = at, None
+        while True:
+            try:
+                headers, block, after = _one(raw, end)
+                row = {"kind": "record", **_fields(headers, block)}
+                break
+            except Damaged as broken:
+                why = why or str(broken)
+                end = raw.find(b"WARC/1.", end + 1)
+                if end < 0:
+                    row, end, after = None, len(raw), len(raw)
+                    break
+        if why:
+            yield {"kind": "gap", "reason": why, "inner": (at, end)}
+        if row:
+            yield row
+        at = after
+
+
+def _read_at(data: memoryview, at: int) -> tuple[list[dict], int, str | None]:
+    """The records and inner gaps of the gzip member, or the plain record, at this place, its end, and why it is not whole."""
     if bytes(data[at:at + 2]) != b"\x1f\x8b":
         headers, block, end = _one(data, at)
-        return [_fields(headers, block)], end
-    raw, end = _inflated(data, at)
-    found, inner = [], 0
-    while inner < len(raw):
-        headers, block, inner = _one(raw, inner)
-        found.append(_fields(headers, block))
-    if not found:
-        raise Damaged("member is empty")
-    return found, end
+        return [{"kind": "record", **_fields(headers, block)}], end, None
+    raw, end, why = _inflated(data, at)
+    found = list(_inner(raw))
+    if why and found and found[-1]["kind"] == "record":  # it ends where the member breaks, so nothing shows that its member went on well
+        found.pop()
+    if not any(x["kind"] == "record" for x in found):
+        raise Damaged(why or (found[0]["reason"] if found else "member is empty"))
+    for x in found:
+        if x["kind"] == "gap":
+            x["reason"] += " at inner bytes {}-{}".format(*x.pop("inner"))
+    return found, end, why
 
 
 def _candidates(content: bytes, at: int) -> Iterator[int]:
@@ -203,25 +238,31 @@ def _candidates(content: bytes, at: int) -> Iterator[int]:
                 ahead[k] = content.find(m, here + 1)
 
 
+def _resume(content: bytes, data: memoryview, at: int) -> int:
+    """The next place from which something can be read, or the end."""
+    for end in _candidates(content, at):
+        try:
+            _read_at(data, end)
+            return end
+        except Damaged:
+            continue
+    return len(data)
+
+
 def salvaged(content: bytes) -> Iterator[dict]:
-    """Records and gaps of one archive in order; together they cover it."""
+    """Records and gaps of one archive in order; together they cover it. Gaps inside a member have its place and name their inner bytes."""
     data, at = memoryview(content), 0
     while at < len(data):
         try:
-            records, end = _read_at(data, at)
-        except Damaged as why:
-            for end in _candidates(content, at + 1):
-                try:
-                    _read_at(data, end)
-                    break
-                except Damaged:
-                    continue
-            else:
-                end = len(data)
-            yield {"kind": "gap", "start": at, "end": end, "reason": str(why)}
-        else:
-            for one in records:
-                yield {"kind": "record", "start": at, "end": end, **one}
+            found, end, why = _read_at(data, at)
+        except Damaged as broken:
+            found, why = [], str(broken)
+        if why:
+            end = _resume(content, data, at + 1)
+        for one in found:
+            yield {"start": at, "end": end, **one}
+        if why:
+            yield {"kind": "gap", "start": at, "end": end, "reason": why}
         at = end
 
 

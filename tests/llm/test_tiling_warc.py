@@ -164,3 +164,18 @@ def test_warc_query_matches_sql(spark):
     cols = [d[0] for d in cur.description]
     ours = QUERIES["op9_warc_salvage"](spark, sf).select(*cols).collect()
     assert sorted(map(tuple, ours), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
+def test_long_headers_and_members_of_several_records_are_salvaged():
+    long = W.record(1, "data:" + "x" * 200_000, b"page", None)
+    assert [r["kind"] for r in W.salvaged(W.member(long))] == ["record"]
+    rng = random.Random(5)
+    several = [W.record(k, f"u{k}", rng.randbytes(3000), None) for k in range(5)]
+    broken = several[2].replace(b"WARC-Block-Digest: sha1:", b"WARC-Block-Digest: sha1:A")
+    found = list(W.salvaged(W.member(b"".join([*several[:2], broken, *several[3:]]))))
+    assert [r.get("record_id") for r in found] == [W.page_urn(0), W.page_urn(1), None, W.page_urn(3), W.page_urn(4)]
+    assert "inner bytes" in found[2]["reason"]
+    packed = W.member(b"".join(several))
+    found = list(W.salvaged(packed[:-2000] + W.member(long)))
+    assert [r["record_id"] for r in found if r["kind"] == "record"] == [W.page_urn(k) for k in (0, 1, 2, 3, 1)]
+    assert any(r["kind"] == "gap" for r in found)
