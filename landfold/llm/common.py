@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -83,6 +84,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes from starts to ends."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(_byte_values()[data] * power[: len(data)])])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+
+
+def pieces(raw: bytes, breaks: re.Pattern[bytes], size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about so many bytes, each but the first beginning with a break, so that no word is cut."""
+    start = 0
+    while len(raw) - start > size and (found := breaks.search(raw, start + size)):
+        yield raw[start:found.start()]
+        start = found.start()
+    yield raw[start:] if start else raw
+
+
 class Words:
     """The words of some texts: a 64-bit hash, the last two bytes and the text's number for each, and each text's first word.
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import bpe, jaccard, katz, lengths, linededup, ordinal, outliers, ring, tiling, warc
+from landfold.llm import bpe, jaccard, katz, lengths, linededup, mixing, ordinal, outliers, phrases, ring, subsets, tiling, warc
 from landfold.llm.common import table
+from landfold.session import cut_lineage
 
 SHARDS = 16
 
@@ -91,8 +92,29 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "covered", "item_words", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+def op11_prefix_free_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two and three words of each language."""
+    return phrases.collocations(phrases.frequent_runs(table(spark, sf_dir, "documents", "text", "lang")))
+
+
+def op12_gray_code_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes at each step of all 120 orders, per source."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    marks = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    rows = subsets.with_duplicates(cut_lineage(subsets.measured(docs)))
+    masked = rows.select("doc_id", "part", subsets.mask_of(subsets.failures(rows)).alias("mask"))
+    return subsets.audit(subsets.cells(cut_lineage(masked), marks))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with how many of its words the mix takes."""
+    mixed = mixing.taken(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_ordinal_quality, op3_bounded_ring, op4_robust_outliers, op5_katz_backoff, op6_byte_bpe, op7_t_occurrence, op7_link_counts, op8_line_dedup, op9_warc_salvage, op10_string_tiling)
+    f.__name__: f for f in (op1_token_counts, op2_ordinal_quality, op3_bounded_ring, op4_robust_outliers, op5_katz_backoff, op6_byte_bpe, op7_t_occurrence, op7_link_counts, op8_line_dedup, op9_warc_salvage, op10_string_tiling,
+                                op11_prefix_free_phrases, op12_gray_code_audit, op13_source_mix)
 }
 
 OP8_SQL = r"""
@@ -109,4 +131,5 @@ k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to FROM k"""
 
-ORACLES: dict[str, str] = {"op4_robust_outliers": outliers.oracle(), "op8_line_dedup": OP8_SQL, "op9_warc_salvage": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_robust_outliers": outliers.oracle(), "op8_line_dedup": OP8_SQL, "op9_warc_salvage": OP9_SQL,
+                           "op11_prefix_free_phrases": phrases.ORACLE, "op12_gray_code_audit": subsets.ORACLE, "op13_source_mix": mixing.ORACLE}
