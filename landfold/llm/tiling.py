@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,10 @@ def open_starts(marked: np.ndarray, length: int) -> np.ndarray:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int, closed: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(place in doc, place in item, length) of the tiles; closed: words of doc that match nothing."""
+    """(place in doc, place in item, length) of the tiles; closed: words of doc that match nothing.
+
+    The longest run that is unmarked in both texts comes first, the earliest in doc and then in item among equals.
+    """
     width = max(len(doc), len(item))
     padded = [np.concatenate([x, np.zeros(width - len(x), U64)]) for x in (doc, item)]
     runs = [Runs(x) for x in padded]
@@ -73,6 +77,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int, closed: np.ndarray | No
         hit = np.isin(hashes[0], hashes[1])
         for d, h in zip(places[0][hit].tolist(), hashes[0][hit].tolist()):
             for i in where[h]:
+                if d and i and doc[d - 1] == item[i - 1] and not marked[0][d - 1] and not marked[1][i - 1]:
+                    continue  # part of the match that begins a word earlier
                 n = 0
                 while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and not marked[0][d + n] and not marked[1][i + n]:
                     n += 1
@@ -82,10 +88,19 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int, closed: np.ndarray | No
         if longest > 2 * length:
             length = longest
             continue
-        for n, d, i in sorted(matches):
-            if not marked[0][d:d - n].any() and not marked[1][i:i - n].any():
+        heapify(matches)
+        while matches:
+            n, d, i = heappop(matches)
+            taken = marked[0][d:d - n] | marked[1][i:i - n]
+            if not taken.any():
                 marked[0][d:d - n] = marked[1][i:i - n] = True
                 found.append((d, i, -n))
+                continue
+            # what longer tiles have left of a match waits for its turn
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+            for x, y in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+                if y - x >= length:
+                    heappush(matches, (x - y, d + x, i + x))
         if length == least:
             return found
         length = max(least, length // 2)
