@@ -67,9 +67,41 @@ def _(t):
     return h.owners_at(t.lod_node, 2)
 
 
-@query("g7_complete_frontier", "SELECT node_id, available AND node_id%2=0 AS terminal FROM lod_node n WHERE NOT EXISTS (SELECT 1 FROM lod_node c WHERE c.parent_id=n.node_id)")
+#: lost nodes leave dangling children; two nodes name each other and so hang off no root
+STAGED = """SELECT node_id, CASE WHEN node_id=40 THEN 161 WHEN node_id=161 THEN 40 ELSE parent_id END AS parent_id, available,
+    CASE WHEN node_id%31=12 THEN 1e0 ELSE 0e0 END AS error FROM lod_node WHERE node_id%97<>11"""
+
+
+def strict_sql(nodes: str, cut: str, coarse: str, level: int) -> str:
+    """The cut from the rule itself: every node is followed from its top, and a branch stops where the rule says so."""
+    return f"""nd AS ({nodes}), inn AS (SELECT DISTINCT parent_id AS node_id FROM nd WHERE parent_id IS NOT NULL),
+ tr AS (SELECT n.*, i.node_id IS NOT NULL AS inr FROM nd n LEFT JOIN inn i ON i.node_id=n.node_id),
+ wk AS (SELECT node_id, available, error, inr, parent_id AS dang, CAST(NULL AS BIGINT) AS miss, 0 AS depth, CASE WHEN {level}=0 THEN node_id END AS owner_id, NOT inr OR {cut} AS ends
+   FROM tr WHERE parent_id IS NULL OR parent_id NOT IN (SELECT node_id FROM nd)
+  UNION ALL SELECT c.node_id, c.available, c.error, c.inr, w.dang, CASE WHEN w.miss IS NULL AND NOT w.available THEN w.node_id ELSE w.miss END, w.depth+1,
+   CASE WHEN w.depth+1={level} THEN c.node_id ELSE w.owner_id END, NOT c.inr OR {cut.replace("available", "c.available").replace("error", "c.error")} FROM tr c JOIN wk w ON c.parent_id=w.node_id AND NOT w.ends),
+ under AS (SELECT node_id FROM wk UNION SELECT n.node_id FROM tr n JOIN under u ON n.parent_id=u.node_id),
+ fr AS (SELECT node_id, owner_id, CASE WHEN dang IS NOT NULL THEN 'dangling-ancestor' WHEN miss IS NOT NULL THEN 'missing-ancestor' WHEN NOT available THEN 'missing-node' WHEN {coarse} THEN 'coarse-leaf' END AS reason,
+   CASE WHEN dang IS NOT NULL THEN dang WHEN miss IS NOT NULL THEN miss WHEN NOT available OR {coarse} THEN node_id END AS failing_id FROM wk WHERE ends
+  UNION ALL SELECT node_id, NULL, 'cycle', NULL FROM tr WHERE NOT inr AND node_id NOT IN (SELECT node_id FROM under))"""
+
+
+@query("g7_complete_frontier", f"""WITH RECURSIVE {strict_sql(STAGED, "FALSE", "error<>0", 3)} SELECT node_id, owner_id, failing_id, reason, reason IS NULL AS terminal FROM fr""")
 def _(t):
-    return h.complete_frontier(t.lod_node.withColumn("error", (F.col("node_id") % 2).cast("double")))
+    return h.complete_frontier(t.sql(STAGED), owner_level=3)
+
+
+COARSE = STAGED.replace("CASE WHEN node_id%31=12 THEN 1e0 ELSE 0e0 END", "CASE WHEN node_id<5 THEN 16e0 WHEN node_id<85 THEN 4e0 WHEN node_id%3=0 THEN 1e0 ELSE 2e0 END")
+
+
+@query("g7_cut_at_error", f"""WITH RECURSIVE {strict_sql(COARSE, "(available AND error<=1e0)", "FALSE", 2)} SELECT node_id, owner_id, failing_id, reason, reason IS NULL AS terminal FROM fr""")
+def _(t):
+    return h.complete_frontier(t.sql(COARSE), 1.0, 2)
+
+
+@query("g7_frontier_owners", f"""WITH RECURSIVE {strict_sql(STAGED, "FALSE", "error<>0", 3)} SELECT owner_id, count(*) AS nodes, count(reason) AS failed, count(reason)=0 AS complete, min(failing_id) AS first_failing FROM fr WHERE owner_id IS NOT NULL GROUP BY 1""")
+def _(t):
+    return h.frontier_owners(h.complete_frontier(t.sql(STAGED), owner_level=3))
 
 
 @query("g8_uncovered_leaves", """WITH RECURSIVE below AS (SELECT node_id FROM lod_node WHERE node_id%29=5 UNION SELECT n.node_id FROM lod_node n JOIN below b ON n.parent_id=b.node_id)

@@ -180,11 +180,79 @@ def owners_at(nodes: DataFrame, level: int) -> DataFrame:
     )
 
 
-def complete_frontier(nodes: DataFrame, terminal_error: float = 0.0) -> DataFrame:
-    """Leaves whose every ancestor chain is intact, with a flag for a leaf that is missing or not terminal."""
-    inner = nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
-    leaves = nodes.join(inner, "node_id", "left_anti")
-    return leaves.select("node_id", (F.col("available") & (F.col("error") == terminal_error)).alias("terminal"))
+def complete_frontier(nodes: DataFrame, threshold: float = 0.0, owner_level: int | None = None) -> DataFrame:
+    """(node_id, owner_id, failing_id, reason, terminal): the cut of each tree at an error threshold, and what breaks it.
+
+    Top-down: at a threshold above 0 an available node that is fine enough ends its branch; otherwise the branch goes on
+    to the leaves, which at threshold 0 must have error 0. reason is NULL for a terminal row, else the first that holds of
+    dangling-ancestor (failing_id: the unknown parent), missing-ancestor (failing_id: the one nearest the root),
+    missing-node and coarse-leaf (failing_id: the row itself) or cycle (a leaf that no root reaches; failing_id NULL).
+    owner_id: the ancestor of owner_level, NULL above it. Each level is one join, and what it carries is of fixed size.
+    """
+    ids = nodes.select(F.col("node_id").alias("parent_id")).distinct()
+    tree = nodes.select("node_id", "parent_id", "available", "error")
+    inner = tree.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    tree = cut_lineage(tree.join(inner, "node_id", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
+    fine = F.col("available") & (F.col("error") <= threshold) if threshold > 0 else F.lit(False)
+    ends = ~F.col("inner") | fine
+
+    def owner(depth, above):
+        return F.when(depth == owner_level, F.col("node_id")).otherwise(above) if owner_level is not None else F.lit(None).cast(above_type)
+
+    above_type = nodes.schema["node_id"].dataType
+    unknown = tree.where("parent_id is not null").join(ids, "parent_id", "left_anti").withColumn("dangling", F.col("parent_id"))
+    tops = tree.where("parent_id is null").withColumn("dangling", F.lit(None).cast(above_type)).unionByName(unknown)
+    start = tops.select("node_id", "available", "error", "inner", "dangling", F.lit(None).cast(above_type).alias("missing"), F.lit(0).alias("depth"),
+                        owner(F.lit(0), F.lit(None).cast(above_type)).alias("owner_id"), ends.alias("ends"))
+
+    def step(level, children):
+        up = level.where("not ends").select(F.col("node_id").alias("parent_id"), "dangling", "depth", F.col("owner_id").alias("above"),
+                                            F.coalesce("missing", F.when(~F.col("available"), F.col("node_id"))).alias("missing"))
+        down = children.join(up, "parent_id")
+        return down.select("node_id", "available", "error", "inner", "dangling", "missing", (F.col("depth") + 1).alias("depth"),
+                           owner(F.col("depth") + 1, F.col("above")).alias("owner_id"), ends.alias("ends"))
+
+    walked = descend(start, tree, step)
+    cut = walked.where("ends")
+    coarse = (F.col("error") != 0) if threshold == 0 else F.lit(False)
+    reason = (F.when(F.col("dangling").isNotNull(), "dangling-ancestor").when(F.col("missing").isNotNull(), "missing-ancestor")
+              .when(~F.col("available"), "missing-node").when(coarse, "coarse-leaf"))
+    failing = F.coalesce("dangling", "missing", F.when(~F.col("available") | coarse, F.col("node_id")))
+    out = cut.select("node_id", "owner_id", failing.alias("failing_id"), reason.alias("reason"))
+    # a leaf that hangs off a cycle is below no node that was walked
+    loose = tree.where("not inner").join(walked.select("node_id"), "node_id", "left_anti")
+    if threshold > 0:
+        covered = descend(cut.select("node_id"), tree, lambda f, c: c.join(f.select(F.col("node_id").alias("parent_id")), "parent_id").select("node_id").distinct())
+        loose = loose.join(covered, "node_id", "left_anti")
+    loose = loose.select("node_id", F.lit(None).cast(above_type).alias("owner_id"), F.lit(None).cast(above_type).alias("failing_id"), F.lit("cycle").alias("reason"))
+    return out.unionByName(loose).withColumn("terminal", F.col("reason").isNull())
+
+
+def frontier_owners(cut: DataFrame) -> DataFrame:
+    """(owner_id, nodes, failed, complete, first_failing) of each owner of a cut: complete if every row is terminal."""
+    return cut.where("owner_id is not null").groupBy("owner_id").agg(
+        F.count("*").alias("nodes"), F.count("reason").alias("failed"), F.bool_and("terminal").alias("complete"),
+        F.min(F.when(F.col("reason").isNotNull(), F.col("failing_id"))).alias("first_failing"),
+    )
+
+
+def stage_violations(nodes: DataFrame, staged: DataFrame, planned: DataFrame, owner_level: int) -> DataFrame:
+    """(rule, key): a staged set of leaves against the strict cut of its tree and the counts planned per owner.
+
+    nodes: a tree as for complete_frontier; staged: node_id; planned: owner_id, leaves.
+    """
+    cut = cut_lineage(complete_frontier(nodes, 0.0, owner_level))
+    want, have = cut.select("node_id"), staged.select("node_id").distinct()
+    twice = staged.groupBy("node_id").count().where("count > 1")
+    counts = planned.join(frontier_owners(cut), "owner_id", "full").where("not (leaves <=> nodes)")
+    parts = [
+        cut.where("not terminal").select(F.concat(F.lit("frontier-"), "reason").alias("rule"), F.col("node_id").alias("key")),
+        want.join(have, "node_id", "left_anti").select(F.lit("leaf-not-staged").alias("rule"), F.col("node_id").alias("key")),
+        have.join(want, "node_id", "left_anti").select(F.lit("staged-outside-frontier").alias("rule"), F.col("node_id").alias("key")),
+        twice.select(F.lit("staged-twice").alias("rule"), F.col("node_id").alias("key")),
+        counts.select(F.lit("owner-leaf-count").alias("rule"), F.col("owner_id").alias("key")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def uncovered(nodes: DataFrame, selected: DataFrame) -> DataFrame:
