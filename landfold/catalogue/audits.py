@@ -7,32 +7,82 @@ from landfold.catalogue.hierarchy import REL, relations
 from landfold.catalogue.linkage import CLASSES
 from landfold.catalogue.raster import CELLS, GRID, STEP, dem_rows, dem_sql
 from landfold.catalogue.scalars import NAMES, TRIAGE, triage_input
-from landfold.catalogue.spatial import CENTROID, SEG_T, rings_sql, FOLDS
+from landfold.catalogue.spatial import CENTROID, SEG_T, SETTLED, WITHIN, rings_sql, FOLDS
 from landfold.catalogue.summaries import FIT, controls, rounded
 from landfold.functions import geometry as g, text
 from landfold.operators import audits, hierarchy as h, linkage as l, mesh as m, polygons, raster as r, scoring, summaries as s
 
 
-@query("k1_attribution_cascade", f"""WITH {dem_sql("triangle")}, {rings_sql()}, inside AS (SELECT pt_id, poly_id FROM rings GROUP BY pt_id, poly_id HAVING {FOLDS["include_outer"]}),
-{"area AS (SELECT poly_id, sum(CASE WHEN ring=0 THEN abs(a) ELSE -abs(a) END) AS net FROM (SELECT poly_id, ring, sum(x1*z2-x2*z1)/2 AS a FROM poly_edge GROUP BY 1,2) q GROUP BY 1)"},
-p AS (SELECT q.*, d.h AS ground, CASE WHEN q.pt_id%50=0 THEN 'building:'||(q.pt_id%97) END AS ex, (q.pt_id%10)/9e0>=6e-1 AS flat FROM pts q LEFT JOIN dem d ON d.pt_id=q.pt_id),
-f AS (SELECT *, coalesce(flat AND abs(y-ground)<=125e-2, FALSE) AS lk, coalesce(flat AND abs(y-ground)<=2, FALSE) AS nr FROM p),
-sf AS (SELECT pt_id, arg_min(i.poly_id, (a.net, i.poly_id)) AS poly FROM inside i JOIN area a ON a.poly_id=i.poly_id WHERE i.poly_id%4=1 GROUP BY 1),
-ft AS (SELECT i.pt_id, min(entity_id) AS lo, max(entity_id) AS hi FROM inside i JOIN domains d ON d.poly_id=i.poly_id JOIN pts q ON q.pt_id=i.pt_id WHERE i.poly_id%2=0 AND q.y>=d.min_y-5e-1 GROUP BY 1),
-rg AS (SELECT i.pt_id, min(entity_id) AS lo, max(entity_id) AS hi FROM inside i JOIN domains d ON d.poly_id=i.poly_id JOIN pts q ON q.pt_id=i.pt_id WHERE i.poly_id%4=3 AND q.y BETWEEN d.min_y-5e-1 AND d.max_y+5e-1 GROUP BY 1),
-nl AS (SELECT p.pt_id, s.entity_id, pow(p.x-s.x1-{SEG_T}*(s.x2-s.x1),2)+pow(p.z-s.z1-{SEG_T}*(s.z2-s.z1),2) AS d2 FROM pts p JOIN road_seg s ON s.show_ground AND p.x BETWEEN least(s.x1,s.x2)-4 AND greatest(s.x1,s.x2)+4 AND p.z BETWEEN least(s.z1,s.z2)-4 AND greatest(s.z1,s.z2)+4),
-rd AS (SELECT pt_id, arg_min(entity_id, (d2, entity_id)) AS road FROM nl WHERE d2<16 GROUP BY 1)
-SELECT f.pt_id, CASE WHEN ex IS NOT NULL THEN ex WHEN (lk OR nr) AND poly IS NOT NULL THEN 'outdoor:'||poly WHEN NOT lk AND ft.lo IS NOT NULL THEN CASE WHEN ft.lo=ft.hi THEN ft.lo END WHEN NOT lk AND rg.lo IS NOT NULL THEN CASE WHEN rg.lo=rg.hi THEN rg.lo END WHEN (lk OR nr) AND road IS NOT NULL THEN road END AS entity_id,
-CASE WHEN ex IS NOT NULL THEN 'explicit-source-owner' WHEN (lk OR nr) AND poly IS NOT NULL THEN 'source-outdoor-domain-near-ground' WHEN NOT lk AND ft.lo IS NOT NULL THEN CASE WHEN ft.lo=ft.hi THEN 'source-footprint-and-height' ELSE 'ambiguous-source-footprints' END
- WHEN NOT lk AND rg.lo IS NOT NULL THEN CASE WHEN rg.lo=rg.hi THEN 'source-range-footprint-and-height' ELSE 'ambiguous-source-ranges' END WHEN (lk OR nr) AND road IS NOT NULL THEN 'source-road-near-ground' WHEN lk THEN 'unassigned-ground' ELSE 'unassigned-visible-surface' END AS method
-FROM f LEFT JOIN sf ON sf.pt_id=f.pt_id LEFT JOIN ft ON ft.pt_id=f.pt_id LEFT JOIN rg ON rg.pt_id=f.pt_id LEFT JOIN rd ON rd.pt_id=f.pt_id""")
+#: one table of domains of all kinds
+KIND = "CASE WHEN poly_id%16=2 THEN 'association' WHEN poly_id%4=1 THEN 'surface' WHEN poly_id%2=0 THEN 'footprint' ELSE 'range' END"
+OF_KIND = f"""SELECT poly_id, {KIND} AS kind, concat(CASE {KIND} WHEN 'association' THEN 'assoc:' WHEN 'surface' THEN 'outdoor:' ELSE 'building:' END, poly_id) AS entity_id, min_y, max_y,
+    CASE WHEN poly_id%6=0 THEN 4e-1 END AS tolerance, CASE WHEN poly_id%4=0 THEN concat('building:', poly_id+(SELECT m+m%2 FROM world)) END AS shared_with FROM domains"""
+
+
+def cascade_sql(points: str) -> str:
+    """Owner and method of the rows of points (pt_id, x, y, z, ny, ex, role, obj, ground, kept), kind by kind."""
+    return f"""{rings_sql(pad="4e-1", points=points)}, kd AS ({OF_KIND}), dm AS ({SETTLED.format("kd")}),
+area AS (SELECT poly_id, sum(CASE WHEN ring=0 THEN abs(a) ELSE -abs(a) END) AS net FROM (SELECT poly_id, ring, sum(x1*z2-x2*z1)/2 AS a FROM poly_edge GROUP BY 1,2) q GROUP BY 1),
+f AS (SELECT *, coalesce(ny>=6e-1,FALSE) AND (coalesce(abs(y-ground)<=125e-2,FALSE) OR kept) AS lk, coalesce(ny>=6e-1,FALSE) AND (coalesce(abs(y-ground)<=2,FALSE) OR kept) AS nr FROM {points}),
+held AS (SELECT r.pt_id, r.poly_id FROM rings r JOIN dm ON dm.poly_id=r.poly_id GROUP BY r.pt_id, r.poly_id HAVING {WITHIN}),
+c AS (SELECT f.pt_id, d.*, net FROM held h JOIN dm d ON d.poly_id=h.poly_id JOIN area a ON a.poly_id=h.poly_id JOIN f ON f.pt_id=h.pt_id WHERE ex IS NULL AND
+  CASE kind WHEN 'association' THEN role='baseline' AND y BETWEEN min_y AND max_y WHEN 'surface' THEN nr WHEN 'footprint' THEN NOT lk AND y>=min_y-5e-1
+   ELSE NOT lk AND y BETWEEN min_y-5e-1 AND max_y+5e-1 AND CASE WHEN obj IS NULL THEN role IN ('baseline','photogrammetry') ELSE obj IN (d.poly_id%3, (d.poly_id+1)%3) END END),
+asn AS (SELECT pt_id, arg_min(entity_id, poly_id) AS who FROM c WHERE kind='association' GROUP BY 1),
+sf AS (SELECT pt_id, arg_min(entity_id, (net, poly_id)) AS who FROM c WHERE kind='surface' GROUP BY 1),
+ft AS (SELECT pt_id, min(entity_id) AS lo, max(entity_id) AS hi FROM c WHERE kind='footprint' AND NOT EXISTS (SELECT 1 FROM c o WHERE o.kind='footprint' AND o.pt_id=c.pt_id AND o.shared_with=c.entity_id AND o.entity_id<>c.entity_id) GROUP BY 1),
+rg AS (SELECT pt_id, min(entity_id) AS lo, max(entity_id) AS hi FROM c WHERE kind='range' GROUP BY 1),
+nl AS (SELECT p.pt_id, s.entity_id, pow(p.x-s.x1-{SEG_T}*(s.x2-s.x1),2)+pow(p.z-s.z1-{SEG_T}*(s.z2-s.z1),2) AS d2 FROM f p JOIN road_seg s ON p.nr AND p.ex IS NULL AND s.show_ground AND p.x BETWEEN least(s.x1,s.x2)-4 AND greatest(s.x1,s.x2)+4 AND p.z BETWEEN least(s.z1,s.z2)-4 AND greatest(s.z1,s.z2)+4),
+rd AS (SELECT pt_id, arg_min(entity_id, (d2, entity_id)) AS who FROM nl WHERE d2<16 GROUP BY 1),
+told AS (SELECT f.pt_id, CASE WHEN ex IS NOT NULL THEN ex WHEN asn.who IS NOT NULL THEN asn.who WHEN sf.who IS NOT NULL THEN sf.who WHEN ft.lo IS NOT NULL THEN CASE WHEN ft.lo=ft.hi THEN ft.lo END WHEN rg.lo IS NOT NULL THEN CASE WHEN rg.lo=rg.hi THEN rg.lo END ELSE rd.who END AS entity_id,
+ CASE WHEN ex IS NOT NULL THEN 'explicit-source-owner' WHEN asn.who IS NOT NULL THEN 'local-source-representation-association' WHEN sf.who IS NOT NULL THEN 'source-outdoor-domain-near-ground'
+  WHEN ft.lo IS NOT NULL THEN CASE WHEN ft.lo=ft.hi THEN 'source-footprint-and-height' ELSE 'ambiguous-source-footprints' END
+  WHEN rg.lo IS NOT NULL THEN CASE WHEN rg.lo=rg.hi THEN 'source-range-footprint-and-height' ELSE 'ambiguous-source-ranges' END WHEN rd.who IS NOT NULL THEN 'source-road-near-ground' WHEN lk THEN 'unassigned-ground' ELSE 'unassigned-visible-surface' END AS method
+ FROM f LEFT JOIN asn ON asn.pt_id=f.pt_id LEFT JOIN sf ON sf.pt_id=f.pt_id LEFT JOIN ft ON ft.pt_id=f.pt_id LEFT JOIN rg ON rg.pt_id=f.pt_id LEFT JOIN rd ON rd.pt_id=f.pt_id)"""
+
+
+def of_kind(t):
+    d = t.sql(OF_KIND)
+    return d.withColumns({"roles": F.array(F.lit("baseline")), "source_object_ids": F.array(F.col("poly_id") % 3, (F.col("poly_id") + 1) % 3)})
+
+
+@query("k1_attribution_cascade", f"""WITH {dem_sql("triangle")}, pk AS (SELECT q.*, d.h AS ground, (q.pt_id%10)/9e0 AS ny, CASE WHEN q.pt_id%50=0 THEN 'building:'||(q.pt_id%97) END AS ex, ['baseline','photogrammetry','exterior'][q.pt_id%3+1] AS role,
+ CASE WHEN q.pt_id%5=0 THEN q.pt_id%3 END AS obj, q.pt_id%71=0 AS kept FROM pts q LEFT JOIN dem d ON d.pt_id=q.pt_id), {cascade_sql("pk")} SELECT pt_id, entity_id, method FROM told""")
+def _(t):
+    n = dem_rows(t)
+    k = F.col("pt_id")
+    role = F.get(F.array(F.lit("baseline"), F.lit("photogrammetry"), F.lit("exterior")), (k % 3).cast("int"))
+    p = t.pts.withColumns({"ny": (k % 10) / 9, "explicit_id": F.when(k % 50 == 0, F.concat(F.lit("building:"), k % 97)), "role": role,
+                           "source_object_id": F.when(k % 5 == 0, k % 3), "preserved": k % 71 == 0})
+    ground = r.sample_dem(t.pts, t.dem_cell, STEP, n, n, "triangle", name="ground")
+    return audits.attribute_cascade(p, ground, t.poly_edge, of_kind(t), t.road_seg, 0.4)
+
+
+#: hits along rays of four points each; near ones lie a hundredth apart
+HITS = """SELECT pt_id, CAST(floor(pt_id/4e0) AS BIGINT) AS ray_id, ((pt_id*7)%12)/1e2 AS dist, x, y, z, (pt_id%10)/1e1 AS ny, CASE WHEN pt_id%4=0 THEN 'photogrammetry' WHEN pt_id%4=1 THEN 'exterior' ELSE 'baseline' END AS role,
+    CASE WHEN pt_id%9=0 THEN pt_id%(SELECT count(*) FROM part) END AS source_object_id, CASE WHEN pt_id%13=0 THEN concat('floor:', pt_id%97) WHEN pt_id%13=5 THEN concat('space:', pt_id) WHEN pt_id%13=7 THEN 'nobody' END AS bound_id FROM pts"""
+OBJECT = "CASE WHEN p_partkey%7=0 THEN NULL WHEN p_partkey%3=0 THEN 'building:'||p_partkey%50 ELSE 'bundle:'||p_partkey%20 END"
+
+
+@query("k1_pick_entities", f"""WITH {dem_sql("triangle")}, hits AS ({HITS}), smp AS (SELECT h.*, m.mask_id, m.r, m.g, m.b, m.a FROM hits h JOIN mask_cell m ON m.row_no=floor(h.z/8) AND m.col_no=floor(h.x/8)),
+ spared AS (SELECT DISTINCT pt_id FROM smp WHERE mask_id=4 AND r>127 AND abs(y-g-b/256e0)<=125e-2 AND ny>=6e-1),
+ dis AS (SELECT pt_id FROM smp WHERE r>127 AND ((role='photogrammetry' AND mask_id=0 AND y BETWEEN 0 AND 40 AND pt_id NOT IN (SELECT pt_id FROM spared)) OR (role='exterior' AND mask_id=2 AND y BETWEEN 5 AND 30))),
+ obj AS (SELECT p_partkey AS source_object_id, {OBJECT} AS owner FROM part),
+ seen AS (SELECT h.*, CASE WHEN e.entity_id IS NOT NULL THEN e.entity_id END AS who, e.type FROM hits h LEFT JOIN obj o ON o.source_object_id=h.source_object_id LEFT JOIN entities e ON e.entity_id=coalesce(h.bound_id, o.owner) WHERE h.pt_id NOT IN (SELECT pt_id FROM dis)),
+ front AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY dist, pt_id) AS place, min(dist) OVER (PARTITION BY ray_id) AS first FROM seen),
+ bd AS (SELECT ray_id, pt_id, who, row_number() OVER (PARTITION BY ray_id ORDER BY CASE WHEN type IN ('space','facility','connector') THEN 0 WHEN type='floor' THEN 1 ELSE 2 END, dist, pt_id) AS rk FROM front WHERE who IS NOT NULL AND dist<=first+2e-2),
+ pk AS (SELECT f.pt_id, f.ray_id, x, y, z, ny, role, source_object_id AS obj, b.who AS ex, coalesce(b.pt_id, f.pt_id) AS hit_id, d.h AS ground, f.pt_id IN (SELECT pt_id FROM spared) AS kept
+  FROM front f LEFT JOIN bd b ON b.ray_id=f.ray_id AND b.rk=1 LEFT JOIN dem d ON d.pt_id=f.pt_id WHERE place=1), {cascade_sql("pk")}
+SELECT ray_id, hit_id, t.entity_id, t.method FROM told t JOIN pk ON pk.pt_id=t.pt_id""")
 def _(t):
     n = dem_rows(t)
-    p = t.pts.withColumns({"ny": (F.col("pt_id") % 10) / 9, "explicit_id": F.when(F.col("pt_id") % 50 == 0, F.concat(F.lit("building:"), F.col("pt_id") % 97))})
+    k = F.col("p_partkey")
+    objects = t.part.select(k.alias("source_object_id"), F.concat(F.lit("bundle:"), k % 20).alias("bundle_id"), F.when(k % 7 == 0, "source-photogrammetry-gap-surface").otherwise("plain").alias("role"), F.lit("plain").alias("ownership"))
+    over = t.part.where("p_partkey%3=0").select(k.alias("source_object_id"), F.concat(F.lit("building:"), k % 50).alias("entity_id"), F.lit(0).alias("ord"))
+    rules = t.spark.createDataFrame([("photogrammetry", 0, 0.0, 40.0, True, False, 0.0), ("exterior", 2, 5.0, 30.0, False, False, 0.0)],
+                                    "role string, mask_id long, min_y double, max_y double, replacement boolean, encoded boolean, clearance double")
     ground = r.sample_dem(t.pts, t.dem_cell, STEP, n, n, "triangle", name="ground")
-    ranges = t.domains.where("poly_id%4=3").withColumn("source_object_ids", F.array().cast("array<bigint>"))
-    e = t.poly_edge
-    return audits.attribute_cascade(p, ground, e.where("poly_id%4=1"), e.where("poly_id%2=0"), t.domains, e.where("poly_id%4=3"), ranges, t.road_seg)
+    return audits.pick_entities(t.sql(HITS), t.mask_cell, rules, 8.0, 4, objects, over, t.entities, ground, t.poly_edge, of_kind(t), t.road_seg, 0.4)
 
 
 @query("k2_entity_search", f"""SELECT 'building:'||ent_no AS entity_id, list_contains(ns,'体育馆5') AS exact FROM (SELECT ent_no, list_transform(list_filter([name,alias,en,hant,hans], lambda v: v IS NOT NULL), lambda v: trim(regexp_replace(lower(translate(v,'{text.TRADITIONAL}寳','{text.SIMPLIFIED}宝')),'\\s+',' ','g'))) AS ns FROM ({NAMES}) q) z WHERE contains(array_to_string(ns,' '),'体育馆5')""")

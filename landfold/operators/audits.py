@@ -12,32 +12,55 @@ from landfold.operators import attribution, hierarchy, linkage, mesh, polygons,
 from landfold.plans.gridjoin import box_pairs
 
 
-def attribute_cascade(points: DataFrame, ground: DataFrame, surfaces: DataFrame, footprints: DataFrame, footprint_domains: DataFrame,
-                      ranges: DataFrame, range_domains: DataFrame, roads: DataFrame) -> DataFrame:
+#: kinds of domain in the order in which they are asked
+KINDS = ("association", "surface", "footprint", "range")
+
+
+def attribute_cascade(points: DataFrame, ground: DataFrame, edges: DataFrame, domains: DataFrame, roads: DataFrame, most_tolerance: float = 0.0) -> DataFrame:
     """Owner and method of each visible hit, in fixed precedence; an ambiguity ends the search.
 
-    explicit owner, outdoor surface near the ground, single or ambiguous footprint, single or ambiguous
-    range, road near the ground, unassigned. points: pt_id, x, y, z, ny, explicit_id; ground: pt_id, ground.
+    explicit owner, association of the surface's role, outdoor surface near the ground (smallest first), single or
+    ambiguous footprint, single or ambiguous range, road near the ground, unassigned. points: pt_id, x, y, z, ny,
+    explicit_id, role, source_object_id, preserved (on ground that a mask keeps); ground: pt_id, ground; domains: poly_id,
+    entity_id, kind, min_y, max_y, tolerance, shared_with, roles, source_object_ids; edges are those of all kinds.
+
+    Points meet the boxes of all kinds once, where kind, height, role and object are tested; what is inside folds with
+    the roads and the points themselves by pt_id.
     """
     p = points.join(ground, "pt_id", "left")
     gap = F.abs(F.col("y") - F.col("ground"))
-    flat = F.col("ny") >= 0.6
-    p = p.withColumns({"like": F.coalesce(flat & (gap <= 1.25), F.lit(False)), "near": F.coalesce(flat & (gap <= 2), F.lit(False))})
-    open_ = p.where("explicit_id is null")
-    surface = attribution.smallest_containing(open_.where("like or near"), surfaces).select("pt_id", F.concat(F.lit("outdoor:"), F.col("poly_id")).alias("surface"))
-    solid = open_.where("not like")
-    foot = attribution.attribute_points(solid, footprints, footprint_domains).select("pt_id", F.col("entity_id").alias("foot"), F.col("method").alias("foot_method"))
-    rng = attribution.attribute_ranges(solid.withColumn("source_object_id", F.lit(None).cast("bigint")), ranges, range_domains).select(
-        "pt_id", F.col("entity_id").alias("rng"), F.col("method").alias("rng_method"))
-    road = attribution.nearest_line(open_.where("like or near"), roads).select("pt_id", F.col("entity_id").alias("road"))
-    j = p
-    for part in (surface, foot, rng, road):
-        j = j.join(part, "pt_id", "left")
-    rules: list[tuple[Column, Column, Column | str]] = [
-        (F.col("explicit_id").isNotNull(), F.col("explicit_id"), F.lit("explicit-source-owner")),
+    flat = F.coalesce(F.col("ny") >= 0.6, F.lit(False))
+    like = flat & (F.coalesce(gap <= 1.25, F.lit(False)) | F.coalesce("preserved", F.lit(False)))
+    p = p.withColumns({"like": like, "near": like | F.coalesce(flat & (gap <= 2), F.lit(False))})
+    open_ = p.where("explicit_id is null").select("pt_id", "x", "y", "z", "like", "near", "role", "source_object_id")
+    y, kind = F.col("y"), F.col("kind")
+    listed = F.when(F.col("source_object_id").isNull(), F.col("role").isin("baseline", "photogrammetry")).otherwise(F.array_contains("source_object_ids", F.col("source_object_id")))
+    keep = (
+        ((kind == "association") & F.array_contains("roles", F.col("role")) & y.between(F.col("min_y"), F.col("max_y")))
+        | ((kind == "surface") & F.col("near")) | ((kind == "footprint") & ~F.col("like") & (y >= F.col("min_y") - 0.5))
+        | ((kind == "range") & ~F.col("like") & y.between(F.col("min_y") - 0.5, F.col("max_y") + 0.5) & listed)
+    )
+    hits = polygons.domain_hits(open_, edges, attribution.settled_envelopes(domains), keep, most_tolerance).join(polygons.poly_area(edges).select("poly_id", "net_area"), "poly_id")
+    rank = F.when(kind == "surface", F.struct("net_area", "poly_id")).otherwise(F.struct(F.lit(0.0).alias("net_area"), "poly_id"))
+    hits = hits.withColumns({"rank": rank, "shared_with": F.when(kind == "footprint", F.col("shared_with"))})
+    found = attribution.without_shared(hits, ["pt_id", "kind"], ["rank"])
+    road = attribution.nearest_line(open_.where("near"), roads).select("pt_id", F.lit("road").alias("kind"), "entity_id")
+    own = p.select("pt_id", F.lit("point").alias("kind"), F.col("explicit_id").alias("entity_id"), "like")
+    rows = found.unionByName(road, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
+
+    def of(k, value):
+        return F.when(F.col("kind") == k, F.col(value))
+
+    best = [F.min_by(of(k, "entity_id"), of(k, "rank")).alias(k) for k in ("association", "surface")]
+    ends = [f(of(k, "entity_id")).alias(f"{k}_{n}") for k in ("footprint", "range") for n, f in (("lo", F.min), ("hi", F.max))]
+    j = rows.groupBy("pt_id").agg(F.max(of("point", "entity_id")).alias("explicit"), F.max("like").alias("like"), F.max(of("road", "entity_id")).alias("road"), *best, *ends)
+    single = {k: F.when(F.col(f"{k}_lo") == F.col(f"{k}_hi"), F.col(f"{k}_lo")) for k in ("footprint", "range")}
+    rules: list[tuple[Column, Column, Column]] = [
+        (F.col("explicit").isNotNull(), F.col("explicit"), F.lit("explicit-source-owner")),
+        (F.col("association").isNotNull(), F.col("association"), F.lit("local-source-representation-association")),
         (F.col("surface").isNotNull(), F.col("surface"), F.lit("source-outdoor-domain-near-ground")),
-        (F.coalesce(F.col("foot_method") != "unassigned", F.lit(False)), F.col("foot"), F.col("foot_method")),
-        (F.coalesce(F.col("rng_method") != "unassigned", F.lit(False)), F.col("rng"), F.col("rng_method")),
+        *[(F.col(f"{k}_lo").isNotNull(), single[k], F.when(single[k].isNotNull(), f"source-{k}-footprint-and-height" if k == "range" else "source-footprint-and-height").otherwise(f"ambiguous-source-{k}s"))
+          for k in ("footprint", "range")],
         (F.col("road").isNotNull(), F.col("road"), F.lit("source-road-near-ground")),
         (F.col("like"), F.lit(None), F.lit("unassigned-ground")),
     ]
@@ -48,6 +71,31 @@ def attribute_cascade(points: DataFrame, ground: DataFrame, surfaces: DataFrame,
     return j.select("pt_id", owner.alias("entity_id"), method.otherwise("unassigned-visible-surface").alias("method"))
 
 
+def pick_entities(hits: DataFrame, cells: DataFrame, mask_rules: DataFrame, size: float, ground_mask: int, objects: DataFrame, overrides: DataFrame, entities: DataFrame,
+                  ground: DataFrame, edges: DataFrame, domains: DataFrame, roads: DataFrame, most_tolerance: float = 0.0, near: float = 0.02) -> DataFrame:
+    """(ray_id, hit_id, entity_id, method) of each ray that meets a visible surface.
+
+    hits: pt_id, ray_id, dist, x, y, z, ny, role, source_object_id, bound_id (an owner recorded on the surface). A hit
+    that a mask of its role discards is looked through; the first one left decides, so an unassigned surface hides what
+    is behind it. Owners recorded on hits up to `near` behind the first come before all else, rooms before floors before
+    the rest; a surface's source object has its override or its bundle as owner. All else is attribute_cascade() at the
+    first hit.
+    """
+    seen = raster.visible_points(hits, cells, mask_rules, size, ground_mask)
+    owner = linkage.object_owner(objects, overrides)
+    seen = seen.join(owner, "source_object_id", "left").withColumn("owner", F.coalesce("bound_id", "owner"))
+    seen = seen.join(entities.select(F.col("entity_id").alias("owner"), "type"), "owner", "left").withColumn("owner", F.when(F.col("type").isNotNull(), F.col("owner")))
+    first = seen.groupBy("ray_id").agg(F.min(F.struct("dist", "pt_id")).alias("first"))
+    close = seen.where("owner is not null").join(first, "ray_id").where(F.col("dist") <= F.col("first.dist") + near)
+    order = F.when(F.col("type").isin("space", "facility", "connector"), 0).when(F.col("type") == "floor", 1).otherwise(2)
+    bound = close.groupBy("ray_id").agg(F.min(F.struct(order.alias("order"), "dist", "pt_id", "owner")).alias("bound"))
+    kept = raster.mask_samples(seen, cells, size).where((F.col("mask_id") == ground_mask) & raster.preserved_ground()).select("pt_id").distinct().withColumn("preserved", F.lit(True))
+    at = first.select("ray_id", F.col("first.pt_id").alias("pt_id")).join(seen.drop("ray_id", "owner", "type"), "pt_id").join(bound, "ray_id", "left").join(kept, "pt_id", "left")
+    points = at.select("pt_id", "x", "y", "z", "ny", "role", "source_object_id", "preserved", F.col("bound.owner").alias("explicit_id"))
+    told = attribute_cascade(points, ground, edges, domains, roads, most_tolerance)
+    return told.join(at.select("pt_id", "ray_id", F.coalesce("bound.pt_id", "pt_id").alias("hit_id")), "pt_id").select("ray_id", "hit_id", "entity_id", "method")
+
+
 def search_entities(entities: DataFrame, text: str, category: Column | None = None) -> DataFrame:
     """Entities whose names in any script hold the text, exact names first, then source order. entities: entity_id, ord, name, aliases."""
     t = F.lit(text)

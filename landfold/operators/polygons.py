@@ -50,9 +50,16 @@ def _on_edge_strict(px: Column, pz: Column) -> Column:
     )
 
 
-def ring_facts(points: DataFrame, edges: DataFrame, pad: float = BAND, pt: str = "pt_id") -> DataFrame:
-    """Per point, part and ring near it: crossing parity, strict boundary hit, squared distance."""
-    cand = points_in_boxes(points.select(pt, "x", "z"), ring_boxes(edges, pad))
+def ring_facts(points: DataFrame, edges: DataFrame, pad: float = BAND, pt: str = "pt_id", attributes: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
+    """Per point, part and ring near it: crossing parity, strict boundary hit, squared distance.
+
+    keep, over the points' columns and the attributes (one row per poly_id), drops pairs before any edge is met.
+    """
+    boxes = ring_boxes(edges, pad)
+    if keep is None:
+        cand = points_in_boxes(points.select(pt, "x", "z"), boxes)
+    else:
+        cand = points_in_boxes(points, boxes.join(attributes, "poly_id")).where(keep)
     cand = cand.select(pt, "x", "z", "poly_id", "part").withColumn("slab", _slab(F.col("z"), SLAB))
     pairs = cand.join(slab_edges(edges, pad), ["poly_id", "part", "slab"])
     px, pz = F.col("x"), F.col("z")
@@ -63,6 +70,22 @@ def ring_facts(points: DataFrame, edges: DataFrame, pad: float = BAND, pt: str =
     )
 
 
+def domain_hits(points: DataFrame, edges: DataFrame, domains: DataFrame, keep: Column, most_tolerance: float = 0.0, pt: str = "pt_id") -> DataFrame:
+    """(pt, columns of domains) for each point inside a domain's outline or within its tolerance of it, and in no hole.
+
+    domains: one row per poly_id; a column tolerance, if there is one, is at most most_tolerance, NULL for none. keep is
+    tested where boxes meet points, so that only pairs that may count go on to the edges.
+    """
+    attributes = domains.withColumn("tolerance", F.col("tolerance") if "tolerance" in domains.columns else F.lit(None).cast("double"))
+    near, outer = F.col("d2") <= BAND * BAND, F.col("ring") == 0
+    parts = ring_facts(points, edges, max(most_tolerance, BAND), pt, attributes, keep).groupBy(pt, "poly_id", "part").agg(
+        F.max(outer & (F.col("odd") | near)).alias("hit"), F.min(F.when(outer, F.col("d2"))).alias("off"),
+        F.max(~outer & (F.col("odd") | near)).alias("cut"),
+    )
+    found = parts.where("not cut").join(attributes, "poly_id")
+    return found.where(F.col("hit") | (F.col("off") <= F.col("tolerance") * F.col("tolerance"))).select(pt, *domains.columns)
+
+
 def point_in_polygon(points: DataFrame, edges: DataFrame, boundary: str = "include_outer", pt: str = "pt_id") -> DataFrame:
     """(point, polygon) pairs with the point inside.
 
