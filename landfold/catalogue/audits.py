@@ -91,16 +91,6 @@ def _(t):
     return audits.search_entities(e, "體育館5")
 
 
-@query("k4_registry_report", f"""WITH {REL}, rep AS (SELECT 'rep:'||(p_partkey-p_partkey%200%2) AS rep_id, 'building:'||(p_partkey%((SELECT count(*) FROM supplier)+3)) AS entity_id FROM part)
-SELECT 'relation-target_id' AS rule, target_id AS key FROM rel WHERE target_id NOT IN (SELECT entity_id FROM entities) UNION ALL SELECT 'representation-without-entity', rep_id FROM rep WHERE entity_id NOT IN (SELECT entity_id FROM entities)
-UNION ALL SELECT 'duplicate-representation', rep_id FROM rep GROUP BY rep_id HAVING count(*)>1""")
-def _(t):
-    n = t.supplier.count() + 3
-    k = F.col("p_partkey")
-    rep = t.part.select(F.concat(F.lit("rep:"), k - k % 200 % 2).alias("rep_id"), F.concat(F.lit("building:"), k % n).alias("entity_id"))
-    return audits.registry_report(t.entities, relations(t), rep)
-
-
 @query("k5_floater_audit", f"""WITH {meshq.comp_sql('tile')}, {meshq.STATS}, vc AS (SELECT v.*, c.component FROM vert v JOIN comp c ON c.tri_idx=v.tri_idx), sh AS (SELECT DISTINCT x.component FROM vc x JOIN vert y ON x.qx=y.qx AND x.qy=y.qy AND x.qz=y.qz AND x.tile_id<>y.tile_id),
 pr AS (SELECT cx-r AS x0, cx+r AS x9, cz-r AS z0, cz+r AS z9, min_y AS y0, max_y AS y9 FROM domains WHERE poly_id%2=0)
 SELECT {meshq.TIDY} FROM stats s WHERE {meshq.GATE} AND component NOT IN (SELECT component FROM sh) AND NOT EXISTS (SELECT 1 FROM pr WHERE s.min_x<=x9 AND x0<=s.max_x AND s.min_z<=z9 AND z0<=s.max_z AND s.min_y<=y9 AND y0<=s.max_y) ORDER BY round(s.area,6), round(s.gap_p05,6), component LIMIT 20""")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landfold.functions.text import normalize_search, search_names
-from landfold.operators import attribution, hierarchy, linkage, mesh, polygons, raster
+from landfold.operators import attribution, linkage, mesh, polygons, raster
 from landfold.plans.gridjoin import box_pairs
 
 
@@ -122,14 +120,6 @@ def floater_audit(tri: DataFrame, ground: DataFrame, protected: DataFrame, top:
     return lone.join(shielded, "component", "left_anti").orderBy("area", "gap_p05", "component").limit(top)
 
 
-def registry_report(entities: DataFrame, relations: DataFrame, representations: DataFrame) -> DataFrame:
-    """All registry violations as (rule, key): tree, relations, representations without owner or duplicated, one-child chains."""
-    orphan = representations.join(entities.select("entity_id"), "entity_id", "left_anti").select(F.lit("representation-without-entity").alias("rule"), F.col("rep_id").alias("key"))
-    twice = representations.groupBy("rep_id").count().where("count > 1").select(F.lit("duplicate-representation").alias("rule"), F.col("rep_id").alias("key"))
-    blank = entities.where("trim(name) = ''").select(F.lit("blank-name").alias("rule"), F.col("entity_id").alias("key"))
-    return reduce(DataFrame.unionByName, [hierarchy.hierarchy_violations(entities, relations), orphan, twice, blank])
-
-
 def identity_audit(edges: DataFrame, step: float, overlap_limit: float = 0.005) -> DataFrame:
     """Pairs of domains that share more than the allowed part of the smaller one, by cells of the given step."""
     cells = raster.cells_in_polygons(edges, step)
