@@ -36,9 +36,9 @@ def _(t):
     return r.tile_summary(r.tile_grid(t.dem_cell, n=25))
 
 
-def dem_sql(mode="bilinear", step="8e0", dem="dem_cell", rows=DIM, cols=DIM, name="dem"):
+def dem_sql(mode="bilinear", step="8e0", dem="dem_cell", rows=DIM, cols=DIM, name="dem", points="pts"):
     h = ("(a*(1-u)+b*u)*(1-v)+(d*(1-u)+e*u)*v" if mode == "bilinear" else "CASE WHEN a+b+d+e IS NULL THEN NULL WHEN u+v<=1 THEN a+(b-a)*u+(d-a)*v ELSE e+(d-e)*(1-u)+(b-e)*(1-v) END")
-    return f"""{name}_k AS (SELECT pt_id, x/{step} AS c, z/{step} AS r, least(CAST(floor(x/{step}) AS BIGINT),{cols}-2) AS c0, least(CAST(floor(z/{step}) AS BIGINT),{rows}-2) AS r0 FROM pts),
+    return f"""{name}_k AS (SELECT pt_id, x/{step} AS c, z/{step} AS r, least(CAST(floor(x/{step}) AS BIGINT),{cols}-2) AS c0, least(CAST(floor(z/{step}) AS BIGINT),{rows}-2) AS r0 FROM {points}),
  {name} AS (SELECT pt_id, {h} AS h FROM (SELECT k.pt_id, c-c0 AS u, r-r0 AS v, a.h AS a, b.h AS b, d.h AS d, e.h AS e FROM {name}_k k
   LEFT JOIN {dem} a ON a.row_no=r0 AND a.col_no=c0 LEFT JOIN {dem} b ON b.row_no=r0 AND b.col_no=c0+1 LEFT JOIN {dem} d ON d.row_no=r0+1 AND d.col_no=c0 LEFT JOIN {dem} e ON e.row_no=r0+1 AND e.col_no=c0+1
   WHERE c>=0 AND r>=0 AND c<={cols}-1 AND r<={rows}-1) q)"""

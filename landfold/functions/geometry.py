@@ -49,6 +49,13 @@ def normalise(a: Vec) -> Vec:
     return a[0] / n, a[1] / n, a[2] / n
 
 
+def basis(fx, fy, fz) -> list[Column]:
+    """Right, up and forward of a view along (fx, fy, fz), as columns rx..rz, ux..uz, fx..fz; straight up or down has none."""
+    f = normalise((col(fx), col(fy), col(fz)))
+    r = normalise(cross(f, (F.lit(0.0), F.lit(1.0), F.lit(0.0))))
+    return [c.alias(f"{n}{a}") for n, v in (("r", r), ("u", cross(r, f)), ("f", f)) for a, c in zip("xyz", v)]
+
+
 def corners(prefix: str = "") -> tuple[Vec, Vec, Vec]:
     """The three corners of a triangle row with columns x1 y1 z1 .. z3."""
     return tuple(tuple(F.col(f"{prefix}{axis}{i}") for axis in "xyz") for i in (1, 2, 3))
