@@ -130,17 +130,3 @@ def _(t):
     # Distinct levels per floor by two plain groupings, not a distinct set per floor.
     per = f.groupBy("floor_id", "z").agg(F.count("*").alias("n"), F.count("name").alias("named"), F.count(F.when(F.col("hidden"), 1)).alias("hidden"))
     return per.groupBy("floor_id").agg(F.sum("n").alias("features"), F.sum("named").alias("named"), F.sum("hidden").alias("hidden"), F.count("*").alias("levels"))
-
-
-@query("d37_body_interface", """WITH a AS (SELECT row_no, col_no, max(CASE WHEN mask_id=0 THEN g END) AS ya, max(CASE WHEN mask_id=1 THEN g END) AS yb FROM mask_cell WHERE mask_id IN (0,1) GROUP BY 1,2)
-SELECT count(CASE WHEN ya IS NOT NULL AND yb IS NOT NULL THEN 1 END)*64e0 AS shared_area, count(CASE WHEN yb IS NULL THEN 1 END)*64e0 AS only_a, count(CASE WHEN ya IS NULL THEN 1 END)*64e0 AS only_b, min(ya-yb) AS min_step, max(ya-yb) AS max_step, round(avg(ya-yb),6) AS mean_step FROM a""")
-def _(t):
-    cells = lambda i: t.mask_cell.where(f"mask_id={i}").select("row_no", "col_no", F.col("g").alias("y"))
-    return r.body_interface(cells(0), cells(1), 8.0)
-
-
-@query("e34_slice_support", """WITH top AS (SELECT mask_id, max(g) AS hi, min(g) AS lo FROM mask_cell GROUP BY 1), c AS (SELECT m.mask_id, row_no, col_no, q FROM mask_cell m JOIN top t ON t.mask_id=m.mask_id, (VALUES (25e-2),(5e-1),(75e-2)) s(q) WHERE m.g >= t.lo+q*(t.hi-t.lo) AND m.mask_id=3)
-SELECT mask_id AS body, q AS slice, count(*) AS cells, count(*)*64e0 AS area FROM c GROUP BY 1,2""")
-def _(t):
-    s = r.slice_support(t.mask_cell.where("mask_id=3").select(F.col("mask_id").alias("body"), "row_no", "col_no", F.col("g").cast("double").alias("y")), 8.0)
-    return s.select("body", "slice", "cells", "area")

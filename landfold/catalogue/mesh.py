@@ -147,10 +147,3 @@ def _(t):
 @query("e29_hit_histogram", f"WITH {RAYS}, {comp_sql()} SELECT c.component, count(*) AS hits, count(DISTINCT h.tri_idx) AS faces FROM hit h JOIN comp c ON c.tri_idx=h.tri_idx GROUP BY 1")
 def _(t):
     return m.hit_histogram(hits(t), m.components(t.tri))
-
-
-@query("d30_clearance", f"""WITH {comp_sql()}, {STATS}, p AS (SELECT a.component AS a, b.component AS b, greatest(0e0,b.min_x-a.max_x,a.min_x-b.max_x) AS gx, greatest(0e0,b.min_y-a.max_y,a.min_y-b.max_y) AS gy, greatest(0e0,b.min_z-a.max_z,a.min_z-b.max_z) AS gz, a.min_y AS ay, b.max_y AS "by" FROM stats a JOIN stats b ON a.component<>b.component)
-SELECT a, round(min(sqrt(gx*gx+gy*gy+gz*gz)),6) AS separation, min(CASE WHEN gx=0 AND gz=0 AND "by"<=ay THEN ay-"by" END) AS gap_below, count(*) AS near FROM p WHERE sqrt(gx*gx+gy*gy+gz*gz)<=20 GROUP BY a""")
-def _(t):
-    s = m.component_stats(t.tri, m.components(t.tri), ground(t))
-    return m.clearance(s, s, 20.0).withColumn("separation", F.round("separation", 6))

@@ -187,16 +187,3 @@ def hit_histogram(hits: DataFrame, comp: DataFrame) -> DataFrame:
     """Hits and distinct faces per component."""
     faces = hits.groupBy("tri_idx").agg(F.count("*").alias("n")).join(comp, "tri_idx")
     return faces.groupBy("component").agg(F.sum("n").alias("hits"), F.count("*").alias("faces"))
-
-
-def clearance(comp_boxes: DataFrame, other_boxes: DataFrame, reach: float) -> DataFrame:
-    """Least box-to-box separation of each component to others within the reach (a lower bound of the distance)."""
-    a = comp_boxes.select(F.col("component").alias("a"), *[F.col(f"{m}_{x}").alias(f"a{m}{x}") for m in ("min", "max") for x in "xyz"]).withColumns({
-        "ax0": F.col("aminx") - reach, "az0": F.col("aminz") - reach, "ax1": F.col("amaxx") + reach, "az1": F.col("amaxz") + reach})
-    b = other_boxes.select(F.col("component").alias("b"), *[F.col(f"{m}_{x}").alias(f"b{m}{x}") for m in ("min", "max") for x in "xyz"]).withColumns({
-        "bx0": F.col("bminx"), "bz0": F.col("bminz"), "bx1": F.col("bmaxx"), "bz1": F.col("bmaxz")})
-    p = box_pairs(a, b, base=32.0).where("a <> b")
-    gap = {x: F.greatest(F.lit(0.0), F.col(f"bmin{x}") - F.col(f"amax{x}"), F.col(f"amin{x}") - F.col(f"bmax{x}")) for x in "xyz"}
-    p = p.withColumn("d", F.sqrt(sum((g * g for g in gap.values()), F.lit(0.0)))).where(F.col("d") <= reach)
-    below = F.when((gap["x"] == 0) & (gap["z"] == 0) & (F.col("bmaxy") <= F.col("aminy")), F.col("aminy") - F.col("bmaxy"))
-    return p.groupBy("a").agg(F.min("d").alias("separation"), F.min(below).alias("gap_below"), F.count("*").alias("near"))

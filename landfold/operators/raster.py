@@ -346,28 +346,3 @@ def seam_diffs(vertices: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Lattice vertices of several tiles whose heights differ by the tolerance or more."""
     v = vertices.groupBy("row_no", "col_no").agg(F.count("*").alias("tiles"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("tiles > 1")
     return v.withColumn("differs", F.col("hi") - F.col("lo") >= tolerance)
-
-
-def body_interface(a: DataFrame, b: DataFrame, pixel: float) -> DataFrame:
-    """Contact of two bodies by their top cells (row_no, col_no, y): shared area, area of each alone, and the level steps."""
-    j = a.withColumnRenamed("y", "ya").join(b.withColumnRenamed("y", "yb"), ["row_no", "col_no"], "full_outer")
-    step = F.col("ya") - F.col("yb")
-    area = lambda test: (F.count(F.when(test, 1)) * F.lit(pixel * pixel))
-    return j.agg(area(step.isNotNull()).alias("shared_area"), area(F.col("yb").isNull()).alias("only_a"), area(F.col("ya").isNull()).alias("only_b"),
-                 F.min(step).alias("min_step"), F.max(step).alias("max_step"), F.round(F.avg(step), 6).alias("mean_step"))
-
-
-def slice_support(cells: DataFrame, pixel: float, slices=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Support of each body above given shares of its height: cells, area and connected parts. cells: body, row_no, col_no, y."""
-    from landfold.plans.components import connected
-
-    span = cells.groupBy("body").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    c = cells.join(span, "body").withColumn("slice", F.explode(F.array(*[F.lit(float(s)) for s in slices])))
-    c = c.where(F.col("y") >= F.col("lo") + F.col("slice") * (F.col("hi") - F.col("lo"))).select("body", "slice", "row_no", "col_no").distinct()
-    node = F.struct("body", "slice", "row_no", "col_no")
-    near = [c.select(node.alias("u"), F.struct("body", "slice", (F.col("row_no") + dr).alias("row_no"), (F.col("col_no") + dc).alias("col_no")).alias("v")) for dr, dc in ((0, 1), (1, 0))]
-    edges = near[0].unionByName(near[1]).join(c.select(node.alias("v")), "v", "left_semi").select("u", "v")
-    comp = connected(c.select(node.alias("id")), edges).select(F.col("component.body").alias("body"), F.col("component.slice").alias("slice"), "component").distinct()
-    parts = comp.groupBy("body", "slice").agg(F.count("*").alias("parts"))
-    size = c.groupBy("body", "slice").agg(F.count("*").alias("cells"), (F.count("*") * F.lit(pixel * pixel)).alias("area"))
-    return size.join(parts, ["body", "slice"])
