@@ -9,7 +9,7 @@ from landfold.catalogue.hierarchy import STAGED, strict_sql
 from landfold.catalogue.predicates import OCC, sight
 from landfold.catalogue.scalars import NORMAL
 from landfold.functions import geometry as g
-from landfold.operators import frames, hierarchy as h, linkage as l, mesh as m, occlusion, polygons, raster as r, selection as sel, shaping
+from landfold.operators import audits, frames, hierarchy as h, linkage as l, mesh as m, occlusion, polygons, raster as r, selection as sel, shaping
 from landfold.session import checkpoint_dir
 from landfold.sources import releases, scans
 
@@ -33,16 +33,28 @@ def _(t):
     return scans.read_registry(t.spark, path).groupBy("type").agg(F.count("*").alias("n"), F.count("parent_id").alias("with_parent"))
 
 
-@query("a3_geojson_scan", "SELECT poly_id, ring, count(*)+1 AS vertices, min(x1) AS min_x, max(z1) AS max_y FROM poly_edge WHERE ring=0 GROUP BY 1,2")
+#: rings of the features: the outline, a hole in every third, and a second part with a hole in every fifth, which makes it a MultiPolygon
+RINGS = {(0, 0): 1.0, (0, 1): 0.25, (1, 0): 0.5, (1, 1): 0.125}
+LOOP = [(1, 0), (.75, .75), (0, 1), (-.75, .75), (-1, 0), (-.75, -.75), (0, -1), (.75, -.75), (1, 0)]
+
+
+@query("a3_geojson_scan", """WITH p AS (SELECT * FROM domains, (VALUES (0,0,1e0),(0,1,25e-2),(1,0,5e-1),(1,1,125e-3)) v(part,ring,k) WHERE (part=0 OR poly_id%5=0) AND (ring=0 OR poly_id%3=0)),
+ x AS (SELECT *, cx+part*200+dx*k*r AS x, cz+dz*k*r AS y FROM p, (VALUES (0,1e0,0e0),(1,75e-2,75e-2),(2,0e0,1e0),(3,-75e-2,75e-2),(4,-1e0,0e0),(5,-75e-2,-75e-2),(6,0e0,-1e0),(7,75e-2,-75e-2),(8,1e0,0e0)) l(seq,dx,dz))
+SELECT poly_id, CASE WHEN poly_id%5=0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, CAST(seq AS INTEGER) AS seq, x, y FROM x""")
 def _(t):
     path = scratch(t, "features")
-    xy = lambda dx, dz: F.concat(F.lit("["), (F.col("cx") + dx * F.col("r")).cast("string"), F.lit(","), (F.col("cz") + dz * F.col("r")).cast("string"), F.lit("]"))
-    loop = [(1, 0), (.75, .75), (0, 1), (-.75, .75), (-1, 0), (-.75, -.75), (0, -1), (.75, -.75), (1, 0)]
-    doc = F.concat(F.lit('{"crs":{"properties":{"name":"EPSG:2326"}},"features":[{"properties":{"id":"'), "poly_id", F.lit('"},"geometry":{"type":"Polygon","coordinates":[['),
-                   F.concat_ws(",", *[xy(a, b) for a, b in loop]), F.lit("]]}}]}"))
+
+    def ring(part, k):
+        at = lambda dx, dz: F.concat(F.lit("["), (F.col("cx") + 200 * part + dx * k * F.col("r")).cast("string"), F.lit(","), (F.col("cz") + dz * k * F.col("r")).cast("string"), F.lit("]"))
+        return F.concat(F.lit("["), F.concat_ws(",", *[at(a, b) for a, b in LOOP]), F.lit("]"))
+
+    part = {n: F.concat(F.lit("["), F.concat_ws(",", ring(n, RINGS[n, 0]), F.when(F.col("poly_id") % 3 == 0, ring(n, RINGS[n, 1]))), F.lit("]")) for n in (0, 1)}
+    many = F.col("poly_id") % 5 == 0
+    shape = F.when(many, F.concat(F.lit('"MultiPolygon","coordinates":['), part[0], F.lit(","), part[1], F.lit("]"))).otherwise(F.concat(F.lit('"Polygon","coordinates":'), part[0]))
+    doc = F.concat(F.lit('{"crs":{"properties":{"name":"EPSG:2326"}},"features":[{"properties":{"id":"'), "poly_id", F.lit('"},"geometry":{"type":'), shape, F.lit("}}]}"))
     t.domains.select(doc.alias("value")).write.text(path)
     f = scans.read_geojson(t.spark, path, "EPSG:2326", multi_line=False)
-    return f.groupBy(F.col("properties")["id"].cast("bigint").alias("poly_id"), "ring").agg(F.count("x").alias("vertices"), F.min("x").alias("min_x"), F.max("y").alias("max_y"))
+    return f.select(F.col("properties")["id"].cast("bigint").alias("poly_id"), "kind", "part", "ring", "seq", "x", "y")
 
 
 @query("a4_gml_scan", "SELECT line_id*2+seq AS id, CAST(v AS INTEGER) AS seq, CASE WHEN v=0 THEN x1 ELSE x2 END AS x, CASE WHEN v=0 THEN z1 ELSE z2 END AS y FROM road_seg, range(0,2) q(v)")
@@ -53,9 +65,10 @@ def _(t):
     return scans.read_gml(t.spark, path, "member", "id long, posList string", multi_line=False).select("id", "seq", "x", "y")
 
 
-@query("a9_write_manifest", "SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM inv_a")
+@query("a9_write_manifest", """WITH r AS (SELECT bytes, CAST('0x'||substr(sha256('{"bytes":'||bytes||',"path":"'||path||'","sha256":"'||sha256||'"}'), 1, 15) AS BIGINT) AS part FROM inv_a)
+SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(CAST(sum(CAST(part AS HUGEINT)) AS VARCHAR)) AS digest FROM r""")
 def _(t):
-    return releases.write_manifest(t.inv_a, scratch(t, "summary")).select("files", "bytes")
+    return releases.write_manifest(t.inv_a, scratch(t, "summary"))
 
 
 @query("a10_publish", "SELECT path, bytes, sha256 FROM inv_a")
@@ -65,15 +78,17 @@ def _(t):
     return releases.read_release(t.spark, root)
 
 
-@query("k6_remnant_audit", f"""WITH {meshq.comp_sql('tile')}, {NORMAL}, ce AS (SELECT n.*, CAST(floor((x1+x2+x3)/3/8e0) AS BIGINT) AS col_no, CAST(floor((z1+z2+z3)/3/8e0) AS BIGINT) AS row_no FROM n), held AS (SELECT DISTINCT tri_idx FROM ce JOIN mask_cell m ON m.mask_id=0 AND m.row_no=ce.row_no AND m.col_no=ce.col_no WHERE m.r>127 AND (y1+y2+y3)/3<=60)
-SELECT c.component, count(*) AS faces, round(sum(sqrt(nx*nx+ny*ny+nz*nz)/2),6) AS area FROM comp c JOIN n ON n.tri_idx=c.tri_idx WHERE c.tri_idx%13<>4 AND c.tri_idx NOT IN (SELECT tri_idx FROM held) GROUP BY 1""")
+#: the corners and the middle of each face, and what the masks say there
+PROBES = "pb AS (SELECT tri_idx, u.x, u.y, u.z, ny/sqrt(nx*nx+ny*ny+nz*nz) AS up FROM n, LATERAL (SELECT unnest([struct_pack(x := x1, y := y1, z := z1), struct_pack(x := x2, y := y2, z := z2), struct_pack(x := x3, y := y3, z := z3), struct_pack(x := (x1+x2+x3)/3, y := (y1+y2+y3)/3, z := (z1+z2+z3)/3)]) AS u) q)"
+
+
+@query("k6_remnant_audit", f"""WITH {meshq.comp_sql('tile')}, {NORMAL}, {PROBES}, sm AS (SELECT p.*, m.* FROM pb p JOIN mask_cell m ON m.row_no=CAST(floor(z/8e0) AS BIGINT) AND m.col_no=CAST(floor(x/8e0) AS BIGINT)),
+held AS (SELECT DISTINCT tri_idx FROM sm WHERE r>127 AND y>=CASE WHEN a=255 THEN 0e0 ELSE greatest(0e0,CAST(a AS DOUBLE)) END AND y<=60), kept AS (SELECT DISTINCT tri_idx FROM sm WHERE r>127 AND abs(y-g-b/256e0)<=125e-2 AND abs(up)>=6e-1)
+SELECT c.component, count(*) AS faces, round(sum(sqrt(nx*nx+ny*ny+nz*nz)/2),6) AS area FROM comp c JOIN n ON n.tri_idx=c.tri_idx WHERE c.tri_idx%13<>4 AND c.tri_idx NOT IN (SELECT tri_idx FROM held) AND c.tri_idx NOT IN (SELECT tri_idx FROM kept) GROUP BY 1""")
 def _(t):
     comp = m.components(t.tri, scope=["tile_id"])
     left = m.apply_corrections(t.tri, t.tri.where("tri_idx%13=4"))
-    mid = left.select("tri_idx", *[((F.col(f"{a}1") + F.col(f"{a}2") + F.col(f"{a}3")) / 3).alias(a) for a in "xyz"])
-    held = r.mask_samples(mid, t.mask_cell.where("mask_id=0"), 8.0).where((F.col("r") > 127) & (F.col("y") <= 60)).select("tri_idx")
-    rest = left.join(held, "tri_idx", "left_anti").join(comp, "tri_idx")
-    return rest.groupBy("component").agg(F.count("*").alias("faces"), F.round(F.sum(g.face_area()), 6).alias("area"))
+    return audits.remnants(left, comp, t.mask_cell, 8.0, cap=60.0)
 
 
 @query("k7_viewport_audit", f"WITH {meshq.RAYS}, {meshq.comp_sql()}, b AS (SELECT ray_id, min(dist) AS block FROM hit WHERE tri_idx%4=1 GROUP BY 1), v AS (SELECT h.ray_id, h.tri_idx, row_number() OVER (PARTITION BY h.ray_id ORDER BY h.dist, h.tri_idx) AS rn FROM hit h LEFT JOIN b ON b.ray_id=h.ray_id WHERE h.tri_idx%4<>1 AND (block IS NULL OR dist<block)) SELECT c.component, count(*) AS hits, count(DISTINCT v.tri_idx) AS faces FROM v JOIN comp c ON c.tri_idx=v.tri_idx WHERE rn=1 GROUP BY 1")

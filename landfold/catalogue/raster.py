@@ -1,5 +1,7 @@
 """Terrain grids, masks and rasterised triangles."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from landfold.catalogue import query
@@ -7,6 +9,8 @@ from landfold.catalogue.scalars import NORMAL
 from landfold.catalogue.spatial import inside_sql
 from landfold.functions import geometry as g
 from landfold.operators import polygons, raster as r
+from landfold.session import checkpoint_dir
+from landfold.sources import releases
 
 STEP = 8.0
 DIM = "(SELECT side FROM demdim)"
@@ -36,6 +40,36 @@ def _(t):
     return r.tile_summary(r.tile_grid(t.dem_cell, n=25))
 
 
+#: every cell with the tiles of 25 by 25 that it is in, as core or halo
+TILED = """td AS (SELECT row_no, col_no, h, tr, tc, row_no BETWEEN tr*25 AND tr*25+24 AND col_no BETWEEN tc*25 AND tc*25+24 AS core FROM dem_cell, range(-1,2) x(dr), range(-1,2) y(dc), LATERAL (SELECT CAST(floor(row_no/25e0) AS BIGINT)+dr AS tr, CAST(floor(col_no/25e0) AS BIGINT)+dc AS tc) l
+ WHERE row_no BETWEEN tr*25-1 AND tr*25+25 AND col_no BETWEEN tc*25-1 AND tc*25+25), tiled AS (SELECT * FROM td t WHERE EXISTS (SELECT 1 FROM td o WHERE o.tr=t.tr AND o.tc=t.tc AND o.core AND o.h IS NOT NULL))"""
+
+
+def exported(t):
+    return releases.export_tiles(r.tile_grid(t.dem_cell, n=25), f"{checkpoint_dir(t.spark).rstrip('/')}/landfold-tiles-{uuid.uuid4().hex}")
+
+
+@query("a8_tile_export", f"WITH {TILED} SELECT tr AS tile_row, tc AS tile_col, row_no, col_no, h, core FROM tiled")
+def _(t):
+    return exported(t).select("tile_row", "tile_col", "row_no", "col_no", "h", "core")
+
+
+#: faults planted in exported tiles: a wrong height in all, one in the halo alone, a lost cell, a hole, a cell that is not there
+PLANTED = """SELECT tile_row, tile_col, row_no, CASE WHEN (row_no*137+col_no)%2003=11 THEN col_no+100000 ELSE col_no END AS col_no, core,
+    CASE WHEN (row_no*131+col_no)%1009=7 THEN h+25e-2 WHEN NOT core AND (row_no*17+col_no*5)%401=3 THEN h-5e-1 WHEN (row_no*139+col_no)%1511=1 THEN NULL ELSE h END AS h
+    FROM {0} WHERE NOT ((row_no*149+col_no)%1201=5 AND core)"""
+
+
+@query("k12_tile_check", f"""WITH {TILED}, ok AS (SELECT tr AS tile_row, tc AS tile_col, * EXCLUDE (tr, tc) FROM tiled), bad AS ({PLANTED.format("ok")}),
+ j AS (SELECT b.*, d.h AS truth, d.row_no IS NOT NULL AS known FROM bad b LEFT JOIN dem_cell d ON d.row_no=b.row_no AND d.col_no=b.col_no)
+SELECT CASE WHEN NOT known THEN 'outside-grid' WHEN (h IS NULL)<>(truth IS NULL) THEN 'no-data-differs' ELSE 'cell-differs' END AS rule, tile_row, tile_col, row_no, col_no, abs(h-truth) AS difference FROM j WHERE NOT known OR (h IS NULL)<>(truth IS NULL) OR h<>truth
+UNION ALL SELECT 'seam-differs', CAST(floor(row_no/25e0) AS BIGINT), CAST(floor(col_no/25e0) AS BIGINT), row_no, col_no, max(h)-min(h) FROM bad GROUP BY row_no, col_no HAVING max(h)>min(h)
+UNION ALL SELECT 'cell-missing', CAST(floor(row_no/25e0) AS BIGINT), CAST(floor(col_no/25e0) AS BIGINT), row_no, col_no, NULL FROM dem_cell d WHERE h IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.row_no=d.row_no AND b.col_no=d.col_no AND b.core)""")
+def _(t):
+    exported(t).createOrReplaceTempView("landfold_tiles")
+    return r.tile_violations(t.spark.sql(PLANTED.format("landfold_tiles")), t.dem_cell, n=25)
+
+
 def dem_sql(mode="bilinear", step="8e0", dem="dem_cell", rows=DIM, cols=DIM, name="dem", points="pts"):
     h = ("(a*(1-u)+b*u)*(1-v)+(d*(1-u)+e*u)*v" if mode == "bilinear" else "CASE WHEN a+b+d+e IS NULL THEN NULL WHEN u+v<=1 THEN a+(b-a)*u+(d-a)*v ELSE e+(d-e)*(1-u)+(b-e)*(1-v) END")
     return f"""{name}_k AS (SELECT pt_id, x/{step} AS c, z/{step} AS r, least(CAST(floor(x/{step}) AS BIGINT),{cols}-2) AS c0, least(CAST(floor(z/{step}) AS BIGINT),{rows}-2) AS r0 FROM {points}),

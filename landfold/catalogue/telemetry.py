@@ -37,9 +37,16 @@ def _(t):
     return tm.retry_schedule(a)
 
 
-@query("l1_latency_windows_stream", "SELECT date_trunc('hour',ts) AS start, count(*) AS n, max(latency_ms) AS max FROM frames GROUP BY 1 HAVING date_trunc('hour',ts)+INTERVAL 1 HOUR <= (SELECT max(ts)-INTERVAL 10 MINUTE FROM frames)")
+@query("l1_latency_windows_stream", """SELECT date_trunc('hour',ts) AS start, count(*) AS n, max(latency_ms) AS max, quantile_disc(latency_ms,5e-1) AS p50, quantile_disc(latency_ms,95e-2) AS p95 FROM frames GROUP BY 1
+HAVING date_trunc('hour',ts)+INTERVAL 1 HOUR <= (SELECT max(ts)-INTERVAL 10 MINUTE FROM frames)""")
 def _(t):
-    return runs.latency_windows(t.spark, t.sf_dir).select("start", "n", "max")
+    return runs.latency_windows(t.spark, t.sf_dir)
+
+
+@query("l5_presence_stream", f"""WITH {DIST}, st AS (SELECT *, CASE WHEN us-lag(us) OVER (PARTITION BY key ORDER BY us, event_id)<7200000000 THEN 0 ELSE 1 END AS st FROM ev), g AS (SELECT *, sum(st) OVER (PARTITION BY key ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM st)
+SELECT key, make_timestamp(min(us)) AS start, make_timestamp(greatest(max(us)+7200000000, min(us)+28800000000)) AS "end", count(*) AS events FROM g GROUP BY key, isl HAVING max(us)+7200000000 <= (SELECT CAST(floor(max(us)/1000e0) AS BIGINT)*1000-600000000 FROM ev)""")
+def _(t):
+    return runs.presence(t.spark, t.sf_dir, "2 hours", "8 hours")
 
 
 # A stream has answered for every row the watermark has passed.
@@ -66,6 +73,7 @@ def _(t):
     return runs.stable_order(t.spark, t.sf_dir)
 
 
-@query("l8_violation_feed_stream", "SELECT sha256(text) AS sha256, CASE WHEN min(doc_id)%5=0 THEN 'bad-path' ELSE 'bad-size' END AS rule FROM documents WHERE doc_id%5=0 AND text IS NOT NULL GROUP BY text")
+@query("l8_violation_feed_stream", """WITH a AS (SELECT CASE WHEN event_id%5=0 THEN '../' ELSE '' END||event_type||'/'||event_id AS path, substr(sha256(CAST(event_id AS VARCHAR)), 1, CASE WHEN event_id%7=3 THEN 63 ELSE 64 END) AS sha256, event_id AS k FROM events)
+SELECT path, sha256, 'bad-path' AS rule FROM a WHERE k%5=0 UNION ALL SELECT path, sha256, 'bad-sha256' FROM a WHERE k%7=3 UNION ALL SELECT path, sha256, 'bad-size' FROM a WHERE k%11=4""")
 def _(t):
     return runs.violation_feed(t.spark, t.sf_dir)

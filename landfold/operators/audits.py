@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landfold.functions.geometry import face_area, face_normal, normalise
 from landfold.functions.text import normalize_search, search_names
 from landfold.operators import attribution, linkage, mesh, polygons, raster
 from landfold.plans.gridjoin import box_pairs
@@ -120,6 +121,21 @@ def floater_audit(tri: DataFrame, ground: DataFrame, protected: DataFrame, top:
     return lone.join(shielded, "component", "left_anti").orderBy("area", "gap_p05", "component").limit(top)
 
 
+def remnants(tri: DataFrame, comp: DataFrame, cells: DataFrame, size: float, floor: float = 0.0, cap: float = 255.0) -> DataFrame:
+    """(component, faces, area) of the faces that no mask takes and no mask's ground band keeps.
+
+    A face is probed at its corners and its middle against all masks; one probe held by one mask is enough to take it
+    out, and one on preserved ground, if the face is flat, to keep it out of the report.
+    """
+    flat = F.abs(normalise(face_normal())[1])
+    corners = [F.struct(*[F.col(f"{a}{i}").alias(a) for a in "xyz"]) for i in (1, 2, 3)]
+    middle = F.struct(*[((F.col(f"{a}1") + F.col(f"{a}2") + F.col(f"{a}3")) / 3).alias(a) for a in "xyz"])
+    probes = tri.select("tile_id", "tri_idx", flat.alias("ny"), F.inline(F.array(*corners, middle)))
+    met = raster.mask_samples(probes, cells, size).where(raster.mask_hit(floor=floor, cap=cap) | raster.preserved_ground())
+    rest = tri.join(met.select("tile_id", "tri_idx").distinct(), ["tile_id", "tri_idx"], "left_anti").join(comp, "tri_idx")
+    return rest.groupBy("component").agg(F.count("*").alias("faces"), F.round(F.sum(face_area()), 6).alias("area"))
+
+
 def identity_audit(edges: DataFrame, step: float, overlap_limit: float = 0.005) -> DataFrame:
     """Pairs of domains that share more than the allowed part of the smaller one, by cells of the given step."""
     cells = raster.cells_in_polygons(edges, step)

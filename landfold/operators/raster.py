@@ -37,6 +37,30 @@ def tile_summary(tiled: DataFrame) -> DataFrame:
     ).where("core_cells > 0").withColumn("skipped", F.col("valid") == 0)
 
 
+def tile_violations(tiles: DataFrame, cells: DataFrame, n: int = 250, halo: int = 1, limit: float = 0.0) -> DataFrame:
+    """(rule, tile_row, tile_col, row_no, col_no, difference): exported tiles against the grid they were cut from, and against each other.
+
+    cell-differs and no-data-differs: a tile's cell and the source's; outside-grid: a cell that the source does not have;
+    not-in-tile: a cell that lies neither in its tile nor in the halo; seam-differs: a cell that several tiles hold with
+    different heights (at the tile that owns it); cell-missing: a valid cell of the source that no tile owns. Cells meet
+    once on (row_no, col_no); a cell lies in four tiles at most.
+    """
+    n_, at = F.lit(n), ["row_no", "col_no"]
+    home = [F.floor(F.col(c) / n_).cast("bigint") for c in at]
+    source = cells.select(*at, F.col("h").alias("truth"), F.lit(True).alias("known"))
+    held = tiles.select(*at, "tile_row", "tile_col", "core", "h").join(source, at, "full")
+    off = F.abs(F.col("h") - F.col("truth"))
+    inside = [F.col(c).between(F.col(t) * n - halo, (F.col(t) + 1) * n - 1 + halo) for c, t in zip(at, ("tile_row", "tile_col"))]
+    found = F.col("tile_row").isNotNull()
+    rule = (F.when(found & F.col("known").isNull(), "outside-grid").when(found & ~(inside[0] & inside[1]), "not-in-tile")
+            .when(found & (F.col("h").isNull() != F.col("truth").isNull()), "no-data-differs").when(found & (off > limit), "cell-differs"))
+    single = held.select(rule.alias("rule"), "tile_row", "tile_col", *at, off.alias("difference")).where("rule is not null")
+    spread = held.groupBy(*at).agg(F.max("truth").alias("truth"), F.max("h").alias("hi"), F.min("h").alias("lo"), F.max(F.coalesce("core", F.lit(False))).alias("owned"))
+    seam = spread.where(F.col("hi") - F.col("lo") > limit).select(F.lit("seam-differs").alias("rule"), home[0].alias("tile_row"), home[1].alias("tile_col"), *at, (F.col("hi") - F.col("lo")).alias("difference"))
+    lost = spread.where("truth is not null and not owned").select(F.lit("cell-missing").alias("rule"), home[0].alias("tile_row"), home[1].alias("tile_col"), *at, F.lit(None).cast("double").alias("difference"))
+    return single.unionByName(seam).unionByName(lost)
+
+
 def sample_dem(points: DataFrame, dem: DataFrame, step: float, rows: int, columns: int, mode: str = "bilinear", name: str = "h") -> DataFrame:
     """Height at each point (pt_id, x, z) from its four cell corners; NULL outside or next to no-data.
 

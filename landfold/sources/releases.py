@@ -63,3 +63,19 @@ def _current_folder(spark: SparkSession, root: str) -> str:
 
 def read_release(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/releases/{_current_folder(spark, root)}")
+
+
+def export_tiles(tiled: DataFrame, path: str) -> DataFrame:
+    """Write the tiles that own a valid cell, each in a folder of its own with its halo, and read them back.
+
+    tiled: from tile_grid(). Rows are clustered by tile before they are written, so a tile is one sorted file (or a few,
+    where the writer's file size limit says so) and a reader of one tile lists one folder.
+    """
+    filled = tiled.where("core and h is not null").select("tile_row", "tile_col").distinct()
+    rows = tiled.join(filled, ["tile_row", "tile_col"], "left_semi").repartition("tile_row", "tile_col").sortWithinPartitions("tile_row", "tile_col", "row_no", "col_no")
+    rows.write.partitionBy("tile_row", "tile_col").mode("error").parquet(path)
+    return read_tiles(tiled.sparkSession, path, tiled.schema)
+
+
+def read_tiles(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
