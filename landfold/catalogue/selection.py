@@ -102,17 +102,50 @@ def _(t):
     return sel.tiles_for_domains(dom, tiles, 10.0)
 
 
-def choices(t):
-    k = F.col("group_id")
-    return t.budget_group.select("scenario", "group_id", "score", (k % 19 == 0).alias("protected"), (k % 4 == 1).alias("near"), (k % 3 != 0).alias("wants_fine"),
-                                 F.col("cost").alias("high_cost"), (F.col("cost") * 2 + k % 7).alias("fine_cost"))
-
-
-@query("t5_tiered_budget")
+#: ranked groups of a scenario with the box of their mask; every seventh has none
+CHOICE = """SELECT scenario, group_id, score, group_id%19=0 AS protected, group_id%4=1 AS near, group_id%3<>0 AS wants_fine, cost AS high_cost, cost*2+group_id%7 AS fine_cost,
+    CASE WHEN group_id%7<>2 THEN group_id*13%40 END AS x0, CASE WHEN group_id%7<>2 THEN group_id*29%30 END AS z0, CASE WHEN group_id%7<>2 THEN group_id*13%40+group_id%5+1 END AS x1, CASE WHEN group_id%7<>2 THEN group_id*29%30+group_id%4+1 END AS z1 FROM budget_group"""
+BUDGET, MASKS, IN_USE = 9000, 14, 300
+
+
+def walk_sql(name: str, start: str, cand: str) -> str:
+    """One tier as a walk by rank: at each step the set's price with the next group, at its cost and at its fallback."""
+    box = ", ".join(f"{f}(w.{c}, c.{c}) AS n{c}" for c, f in (("x0", "least"), ("z0", "least"), ("x1", "greatest"), ("z1", "greatest")))
+    return f"""{name}_c AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, group_id) AS rn FROM ({cand}) q),
+{name} AS (SELECT scenario, CAST(0 AS BIGINT) AS i, spent, masks, x0, z0, x1, z1, CAST(NULL AS BIGINT) AS group_id, CAST(NULL AS BIGINT) AS paid FROM {start}
+ UNION ALL SELECT scenario, i+1, CASE WHEN pay IS NULL THEN spent ELSE spent+pay END, CASE WHEN pay IS NULL THEN masks ELSE nm END, CASE WHEN pay IS NULL THEN x0 ELSE nx0 END, CASE WHEN pay IS NULL THEN z0 ELSE nz0 END,
+  CASE WHEN pay IS NULL THEN x1 ELSE nx1 END, CASE WHEN pay IS NULL THEN z1 ELSE nz1 END, gid, pay
+  FROM (SELECT *, CASE WHEN nm>{MASKS} THEN NULL WHEN spent+cost+u+greatest(u,{IN_USE})<={BUDGET} THEN cost WHEN spent+fallback+u+greatest(u,{IN_USE})<={BUDGET} THEN fallback END AS pay
+   FROM (SELECT *, CASE WHEN nm=0 THEN 1 ELSE (nx1-nx0)*(nz1-nz0) END AS u FROM (SELECT w.*, c.group_id AS gid, c.cost, c.fallback, w.masks+CASE WHEN c.x0 IS NULL THEN 0 ELSE 1 END AS nm, {box} FROM {name} w JOIN {name}_c c ON c.scenario=w.scenario AND c.rn=w.i+1) q0) q1) q2),
+{name}_s AS (SELECT scenario, arg_max(struct_pack(a := spent, b := masks, c := x0, d := z0, e := x1, f := z1), i) AS s FROM {name} GROUP BY 1),
+{name}_e AS (SELECT scenario, s.a AS spent, s.b AS masks, s.c AS x0, s.d AS z0, s.e AS x1, s.f AS z1 FROM {name}_s), {name}_w AS (SELECT scenario, group_id, paid FROM {name} WHERE paid IS NOT NULL)"""
+
+
+NONE = "CAST(NULL AS BIGINT)"
+IDS = "scenario, group_id, score"
+TIERS = f"""ch AS ({CHOICE}), s0 AS (SELECT DISTINCT scenario, CAST(0 AS BIGINT) AS spent, CAST(0 AS BIGINT) AS masks, {NONE} AS x0, {NONE} AS z0, {NONE} AS x1, {NONE} AS z1 FROM ch),
+{walk_sql("t1", "s0", f"SELECT {IDS}, fine_cost AS cost, {NONE} AS fallback, x0, z0, x1, z1 FROM ch WHERE protected")},
+{walk_sql("t2", "t1_e", f"SELECT {IDS}, high_cost AS cost, {NONE} AS fallback, x0, z0, x1, z1 FROM ch WHERE near AND group_id NOT IN (SELECT group_id FROM t1_w)")},
+{walk_sql("t3", "t2_e", f"SELECT {IDS}, fine_cost-high_cost AS cost, {NONE} AS fallback, {NONE} AS x0, {NONE} AS z0, {NONE} AS x1, {NONE} AS z1 FROM ch WHERE wants_fine AND group_id IN (SELECT group_id FROM t2_w)")},
+um AS (SELECT DISTINCT scenario FROM ch WHERE near AND group_id NOT IN (SELECT group_id FROM t1_w) AND (group_id NOT IN (SELECT group_id FROM t2_w) OR (wants_fine AND group_id NOT IN (SELECT group_id FROM t3_w)))),
+rs AS (SELECT *, NOT wants_fine OR (NOT near AND scenario IN (SELECT scenario FROM um)) AS plain FROM ch WHERE group_id NOT IN (SELECT group_id FROM t1_w) AND group_id NOT IN (SELECT group_id FROM t2_w)),
+{walk_sql("t4", "t3_e", f"SELECT {IDS}, CASE WHEN plain THEN high_cost ELSE fine_cost END AS cost, CASE WHEN NOT plain THEN high_cost END AS fallback, x0, z0, x1, z1 FROM rs")},
+new AS (SELECT scenario, group_id, paid, 'fine' AS level, 'protected' AS tier FROM t1_w UNION ALL SELECT n.scenario, n.group_id, n.paid+coalesce(u.paid,0), CASE WHEN u.paid IS NULL THEN 'high' ELSE 'fine' END, 'near' FROM t2_w n LEFT JOIN t3_w u ON u.scenario=n.scenario AND u.group_id=n.group_id
+ UNION ALL SELECT w.scenario, w.group_id, w.paid, CASE WHEN NOT r.plain AND w.paid=r.fine_cost THEN 'fine' ELSE 'high' END, 'distant' FROM t4_w w JOIN rs r ON r.scenario=w.scenario AND r.group_id=w.group_id)"""
+
+
+def limits(t):
+    return budgets(t, BUDGET).withColumn("current", F.lit(IN_USE))
+
+
+@query("t5_tiered_budget", f"WITH RECURSIVE {TIERS} SELECT scenario, group_id, paid, level, tier FROM new")
 def _(t):
-    return sel.tiered_budget(choices(t), budgets(t, 6000))
+    return sel.tiered_budget(t.sql(CHOICE), limits(t), MASKS)
 
 
-@query("t11_policy_replay")
+@query("t11_policy_replay", f"""WITH RECURSIVE {TIERS}, oc AS (SELECT scenario, group_id, CASE WHEN wants_fine THEN fine_cost ELSE high_cost END AS cost, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, group_id) AS rn FROM ch),
+ow AS (SELECT DISTINCT scenario, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS spent, {NONE} AS paid FROM ch UNION ALL SELECT w.scenario, w.i+1, w.spent+CASE WHEN w.spent+c.cost<={BUDGET} THEN c.cost ELSE 0 END, CASE WHEN w.spent+c.cost<={BUDGET} THEN c.cost END FROM ow w JOIN oc c ON c.scenario=w.scenario AND c.rn=w.i+1),
+o AS (SELECT scenario, count(*) AS g, CAST(sum(paid) AS BIGINT) AS b FROM ow WHERE paid IS NOT NULL GROUP BY 1), n AS (SELECT scenario, count(*) AS g, CAST(sum(paid) AS BIGINT) AS b FROM new GROUP BY 1)
+SELECT coalesce(o.scenario, n.scenario) AS scenario, o.g AS old_groups, o.b AS old_bytes, n.g AS new_groups, n.b AS new_bytes FROM o FULL JOIN n ON n.scenario=o.scenario""")
 def _(t):
-    return sel.policy_replay(choices(t), budgets(t, 6000))
+    return sel.policy_replay(t.sql(CHOICE), limits(t), MASKS)

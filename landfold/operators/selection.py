@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landfold.plans.greedy import greedy_budget
+from landfold.plans.greedy import BOX, greedy_boxed, greedy_budget
 from landfold.plans.gridjoin import box_pairs
 from landfold.session import cut_lineage
 
@@ -120,42 +120,45 @@ def tiles_for_domains(domains: DataFrame, tiles: DataFrame, guard: float = 10.0)
     return box_pairs(a, b, base=64.0).select("poly_id", "tile_id")
 
 
-def tiered_budget(choices: DataFrame, budgets: DataFrame) -> DataFrame:
+def tiered_budget(choices: DataFrame, budgets: DataFrame, slots: int) -> DataFrame:
     """Whole groups by tier under one budget: protected at full detail, near ones at base level, upgrades of those
     in place, then the distant rest at the wanted level or, failing that, at base level.
 
-    choices: scenario, group_id, score, protected, near, wants_fine, high_cost, fine_cost.
-    While some near group lacks what it wants, distant groups stay at base level.
+    choices: scenario, group_id, score, protected, near, wants_fine, high_cost, fine_cost and the box x0, z0, x1, z1 of the
+    group's mask in cells, NULL for none; budgets: scenario, budget, optionally current, the cells of the mask in use.
+    Every set pays for the one mask that covers all of its masks (plans/greedy.boxed_price). While some near group lacks
+    what it wants, distant groups stay at base level.
     """
-    left = budgets.select("scenario", F.col("budget").cast("bigint").alias("budget"))
+    none = F.lit(None).cast("bigint")
+    state = budgets.select("scenario", F.col("budget").cast("bigint").alias("budget"), (F.col("current").cast("bigint") if "current" in budgets.columns else F.lit(0).cast("bigint")).alias("current"),
+                           F.lit(0).cast("bigint").alias("spent"), F.lit(0).cast("bigint").alias("masks"), *[none.alias(c) for c in BOX])
+    ids = ["scenario", "group_id"]
 
-    def spend(groups, left):
-        won = cut_lineage(greedy_budget(groups, left))
-        used = won.groupBy("scenario").agg(F.sum("paid").alias("used"))
-        return won, cut_lineage(left.join(used, "scenario", "left").select("scenario", (F.col("budget") - F.coalesce("used", F.lit(0))).alias("budget")))
+    def spend(groups, state):
+        won, state = greedy_boxed(groups, state, slots)
+        return cut_lineage(won), state
 
-    ids = ["scenario", "group_id"]
-    base = lambda where, cost: choices.where(where).select(*ids, "score", F.col(cost).cast("bigint").alias("cost"))
-    kept, left = spend(base("protected", "fine_cost"), left)
-    near, left = spend(base("near", "high_cost").join(kept, ids, "left_anti"), left)
+    base = lambda where, cost: choices.where(where).select(*ids, "score", F.col(cost).alias("cost"), *BOX)
+    kept, state = spend(base("protected", "fine_cost"), state)
+    near, state = spend(base("near", "high_cost").join(kept, ids, "left_anti"), state)
     wish = choices.where("wants_fine").join(near.select(*ids), ids, "left_semi")
-    up, left = spend(wish.select(*ids, "score", (F.col("fine_cost") - F.col("high_cost")).cast("bigint").alias("cost")), left)
+    up, state = spend(wish.select(*ids, "score", (F.col("fine_cost") - F.col("high_cost")).alias("cost"), *[none.alias(c) for c in BOX]), state)
     reserved = kept.select(*ids).unionByName(near.select(*ids))
     unmet = choices.where("near").join(kept, ids, "left_anti").join(near.select(*ids, F.lit(True).alias("held")), ids, "left").join(
         up.select(*ids, F.lit(True).alias("fine")), ids, "left").where("held is null or (wants_fine and fine is null)").select("scenario").distinct().withColumn("unmet", F.lit(True))
     rest = choices.join(reserved, ids, "left_anti").join(unmet, "scenario", "left")
     high_only = ~F.col("wants_fine") | (~F.col("near") & F.col("unmet").isNotNull())
     rest = rest.select(*ids, "score", F.when(high_only, F.col("high_cost")).otherwise(F.col("fine_cost")).cast("bigint").alias("cost"),
-                       F.when(~high_only, F.col("high_cost")).cast("bigint").alias("fallback"), F.when(~high_only, F.lit(True)).alias("asks_fine"))
-    far, _ = spend(rest.drop("asks_fine"), left)
+                       F.when(~high_only, F.col("high_cost")).cast("bigint").alias("fallback"), F.when(~high_only, F.lit(True)).alias("asks_fine"), *BOX)
+    far, _ = spend(rest.drop("asks_fine"), state)
     far = far.join(rest.select(*ids, "cost", "asks_fine"), ids).select(*ids, "paid", F.when(F.col("asks_fine") & (F.col("paid") == F.col("cost")), "fine").otherwise("high").alias("level"), F.lit("distant").alias("tier"))
     ups = near.join(up.withColumnRenamed("paid", "more"), ids, "left").select(
         *ids, (F.col("paid") + F.coalesce("more", F.lit(0))).alias("paid"), F.when(F.col("more").isNotNull(), "fine").otherwise("high").alias("level"), F.lit("near").alias("tier"))
     return kept.select(*ids, "paid", F.lit("fine").alias("level"), F.lit("protected").alias("tier")).unionByName(ups).unionByName(far)
 
 
-def policy_replay(choices: DataFrame, budgets: DataFrame) -> DataFrame:
+def policy_replay(choices: DataFrame, budgets: DataFrame, slots: int) -> DataFrame:
     """Groups and bytes per scenario under always asking for full detail, and under the tiers."""
     full = choices.select("scenario", "group_id", "score", F.when(F.col("wants_fine"), F.col("fine_cost")).otherwise(F.col("high_cost")).cast("bigint").alias("cost"))
     sums = lambda df, p: df.groupBy("scenario").agg(F.count("*").alias(f"{p}_groups"), F.sum("paid").alias(f"{p}_bytes"))
-    return sums(greedy_budget(full, budgets), "old").join(sums(tiered_budget(choices, budgets), "new"), "scenario", "full_outer")
+    return sums(greedy_budget(full, budgets), "old").join(sums(tiered_budget(choices, budgets, slots), "new"), "scenario", "full_outer")

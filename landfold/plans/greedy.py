@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landfold.plans.ordered import running
@@ -104,3 +104,61 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
         if todo.isEmpty():
             break
     return reduce(DataFrame.unionByName, taken)
+
+
+BOX = ("x0", "z0", "x1", "z1")
+WIDEST, MOST_CELLS = 4096, 16 << 20
+
+
+def boxed_price(spent: Column, box: list[Column], masks: Column, current: Column, slots: int) -> Column:
+    """Bytes of a set of groups with the one mask that covers all of theirs; NULL if that mask may not be built.
+
+    The mask is the box of all masks, a byte a cell of the common lattice (1 without any), and stands twice while it is
+    built anew: once more its size, or that of the one in use if that is larger.
+    """
+    wide, high = box[2] - box[0], box[3] - box[1]
+    cells = F.when(F.coalesce(masks, F.lit(0)) == 0, F.lit(1)).when((masks <= slots) & (wide <= WIDEST) & (high <= WIDEST) & (wide * high <= MOST_CELLS), wide * high)
+    return spent + cells + F.greatest(cells, current)
+
+
+def greedy_boxed(groups: DataFrame, state: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """(scenario, group_id, paid) of the groups taken by rank, and the state after them, when all masks share one union.
+
+    groups: scenario, group_id, score, cost, optionally fallback (a lower cost to try at the same turn), and the mask's
+    box x0, z0, x1, z1 in whole cells, NULL for none; state: scenario, budget, current, spent, masks and the box so far.
+    The price of a set grows with the set: so a group that does not fit beside what is taken now never will, and of the
+    others all before the first that does not fit beside all earlier ones are taken. That first one's price at its turn
+    is then known too. Rounds and their cost are as for greedy_budget().
+    """
+    if "fallback" not in groups.columns:
+        groups = groups.withColumn("fallback", F.lit(None).cast("bigint"))
+    todo = cut_lineage(groups.where("cost is not null").dropDuplicates(["scenario", "group_id"]).select(
+        "scenario", "group_id", (-F.col("score").cast("double")).alias("ord"), F.col("cost").cast("bigint").alias("cost"), F.col("fallback").cast("bigint").alias("fallback"), *BOX))
+    taken = []
+
+    def hull(sign, a, b):
+        return (F.least if sign < 0 else F.greatest)(a, b)  # both skip NULLs
+
+    sides = list(zip(BOX, (-1, -1, 1, 1)))
+    while not todo.isEmpty():
+        held = state.select("scenario", "budget", "current", F.col("spent").alias("had"), F.col("masks").alias("had_masks"), *[F.col(c).alias(f"had_{c}") for c in BOX])
+        marked = todo.withColumns({"one": F.when(F.col("x0").isNotNull(), 1).otherwise(0).cast("bigint"), **{f"m_{c}": F.col(c) * s for c, s in sides}})
+        summed = running(marked, ["scenario"], ["ord", "group_id"], {"sum": ("sum", "cost"), "ones": ("sum", "one"), **{f"r_{c}": ("max", f"m_{c}") for c in BOX}}).join(held, "scenario")
+        upto = [hull(s, F.col(f"had_{c}"), F.col(f"r_{c}") * s) for c, s in sides]
+        beside = [hull(s, F.col(f"had_{c}"), F.col(c)) for c, s in sides]
+        low = F.least("cost", "fallback")
+        price = boxed_price(F.col("had") + F.col("sum"), upto, F.col("had_masks") + F.col("ones"), F.col("current"), slots)
+        alone = boxed_price(F.col("had") + low, beside, F.col("had_masks") + F.col("one"), F.col("current"), slots)
+        fits = lambda p: F.coalesce(p <= F.col("budget"), F.lit(False))
+        judged = cut_lineage(summed.withColumns({"stop": ~fits(price), "hopeless": ~fits(alone), "lowered": fits(price - F.col("cost") + low), "low": low}).select(*todo.columns, "one", "stop", "hopeless", "lowered", "low"))
+        at = F.struct("ord", "group_id")
+        first = judged.where("stop").groupBy("scenario").agg(F.min(at).alias("first"))
+        judged = judged.join(first, "scenario", "left").withColumn("before", F.col("first").isNull() | (at < F.col("first")))
+        win = judged.where("before").withColumn("paid", F.col("cost")).unionByName(judged.where((at == F.col("first")) & F.col("lowered")).withColumn("paid", F.col("low")))
+        win = cut_lineage(win.select("scenario", "group_id", "paid", "one", *BOX))
+        taken.append(win.select("scenario", "group_id", "paid"))
+        more = win.groupBy("scenario").agg(F.sum("paid").alias("more"), F.sum("one").alias("ones"), *[(F.min if s < 0 else F.max)(c).alias(f"w_{c}") for c, s in sides])
+        state = cut_lineage(state.join(more, "scenario", "left").select(
+            "scenario", "budget", "current", (F.col("spent") + F.coalesce("more", F.lit(0))).alias("spent"), (F.col("masks") + F.coalesce("ones", F.lit(0))).alias("masks"), *[hull(s, F.col(c), F.col(f"w_{c}")).alias(c) for c, s in sides]))
+        todo = cut_lineage(judged.where(~F.col("before") & ~F.col("hopeless") & (at != F.col("first"))).select(*todo.columns), replaces=todo)
+    return (reduce(DataFrame.unionByName, taken) if taken else todo.select("scenario", "group_id", F.col("cost").alias("paid"))), state

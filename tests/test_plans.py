@@ -147,42 +147,68 @@ def test_grid_joins_equal_brute_force(spark):
     assert sorted((r.p, r.b) for r in points_in_boxes(pdf, bdf).collect()) == want
 
 
-def brute_tiers(rows, budget):
-    left, out = budget, {}
+BOXES = ("x0", "z0", "x1", "z1")
+
+
+def price(spent, boxes, current, slots):
+    """Bytes of a set with its union mask, None if that may not be built."""
+    boxes = [b for b in boxes if b[0] is not None]
+    if len(boxes) > slots:
+        return None
+    wide, high = (max(b[k + 2] for b in boxes) - min(b[k] for b in boxes) for k in (0, 1)) if boxes else (1, 1)
+    return None if max(wide, high) > 4096 else spent + wide * high + max(wide * high, current)
+
+
+def brute_tiers(rows, budget, current, slots):
+    """The four passes over the ranked list, one group at a time."""
     by = sorted(rows, key=lambda r: (-r[1], r[0]))
-    for g, _, prot, near, fine, hc, fc in by:
-        if prot and fc <= left:
-            left, out[g] = left - fc, ("fine", fc)
-    for g, _, prot, near, fine, hc, fc in by:
-        if near and g not in out and hc <= left:
-            left, out[g] = left - hc, ("high", hc)
-    reserved = set(out)
-    for g, _, prot, near, fine, hc, fc in by:
-        if near and fine and out.get(g) == ("high", hc) and fc - hc <= left:
-            left, out[g] = left - (fc - hc), ("fine", fc)
-    protected = {g for g, _, prot, *_ in by if prot and g in out and out[g][0] == "fine"}
-    unmet = any(near and (g not in reserved or (fine and out[g][0] != "fine")) for g, _, prot, near, fine, hc, fc in by if g not in protected)
-    for g, _, prot, near, fine, hc, fc in by:
-        if g in reserved:
-            continue
-        if fine and not (not near and unmet):
-            if fc <= left:
-                left, out[g] = left - fc, ("fine", fc)
-                continue
-        if hc <= left:
-            left, out[g] = left - hc, ("high", hc)
-    return out
+    chosen: dict[int, tuple[str, int, tuple]] = {}
+
+    def fits(g, level, cost, box):
+        trial = {**chosen, g: (level, cost, box)}
+        total = price(sum(c for _, c, _ in trial.values()), [b for *_, b in trial.values()], current, slots)
+        return total is not None and total <= budget
+
+    def take(g, level, cost, box):
+        if ok := fits(g, level, cost, box):
+            chosen[g] = (level, cost, box)
+        return ok
+
+    for g, _, prot, near, fine, hc, fc, *box in by:
+        if prot:
+            take(g, "fine", fc, box)
+    kept = set(chosen)
+    for g, _, prot, near, fine, hc, fc, *box in by:
+        if near and g not in chosen:
+            take(g, "high", hc, box)
+    for g, _, prot, near, fine, hc, fc, *box in by:
+        if g in chosen and g not in kept and fine:
+            take(g, "fine", fc, box)
+    unmet = any(near and g not in kept and (g not in chosen or fine and chosen[g][0] != "fine") for g, _, _, near, fine, *_ in rows)
+    reserved = set(chosen)
+    for g, _, prot, near, fine, hc, fc, *box in by:
+        if g not in reserved and not (fine and not (not near and unmet) and take(g, "fine", fc, box)):
+            take(g, "high", hc, box)
+    return {g: (level, cost) for g, (level, cost, _) in chosen.items()}
 
 
 def test_tiers_equal_the_walk(spark):
     from landfold.operators.selection import tiered_budget
 
     rnd = random.Random(2)
-    cols = "scenario string, group_id long, score long, protected boolean, near boolean, wants_fine boolean, high_cost long, fine_cost long"
-    for share in (0.15, 0.6):
-        rows = [(i, rnd.randrange(50), rnd.random() < 0.1, rnd.random() < share, rnd.random() < 0.6, h := rnd.randrange(1, 30), h + rnd.randrange(1, 40)) for i in range(26)]
-        df = spark.createDataFrame([("s", *r) for r in rows], cols)
-        b = spark.createDataFrame([("s", 200)], "scenario string, budget long")
-        want = brute_tiers(rows, 200)
-        got = {r.group_id: (r.level, r.paid) for r in tiered_budget(df, b).collect()}
-        assert got == want
+    cols = "scenario string, group_id long, score long, protected boolean, near boolean, wants_fine boolean, high_cost long, fine_cost long, x0 long, z0 long, x1 long, z1 long"
+    sets = {}
+    for k, share in enumerate((0.15, 0.6, 0.3, 0.3)):
+        rows = []
+        for i in range(26):
+            x, z = rnd.randrange(12), rnd.randrange(9)
+            box = (x, z, x + rnd.randrange(1, 5), z + rnd.randrange(1, 5)) if rnd.random() < 0.8 else (None,) * 4
+            if k == 3 and i == 5:
+                box = (0, 0, 5000, 1)  # too wide for one mask
+            rows.append((i, rnd.randrange(50), rnd.random() < 0.1, rnd.random() < share, rnd.random() < 0.6, h := rnd.randrange(1, 30), h + rnd.randrange(1, 40), *box))
+        sets[f"s{k}"] = rows
+    df = spark.createDataFrame([(s, *r) for s, rows in sets.items() for r in rows], cols)
+    b = spark.createDataFrame([(s, 500) for s in sets], "scenario string, budget long").withColumn("current", F.lit(40))
+    got = tiered_budget(df, b, 9).collect()
+    for s, rows in sets.items():
+        assert {r.group_id: (r.level, r.paid) for r in got if r.scenario == s} == brute_tiers(rows, 500, 40, 9), s
