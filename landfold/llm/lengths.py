@@ -2,7 +2,8 @@
 
 Texts are reduced to a length where they are read; only (length, count) pairs are shuffled. The running sums are
 taken inside blocks of lengths and carried over the few block totals, so no task sees more than one block.
-Null texts count as empty: length 0. An empty table gives an empty histogram.
+Null texts count as empty: length 0. Repeated rows count each, and a very long text is encoded whole. An empty table gives an
+empty histogram. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from landfold.llm.bpe import Codec
 from landfold.llm.common import slices, text_or_empty
+from landfold.session import cut_lineage
 
 BLOCK = 1024
 
@@ -39,9 +41,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each distinct length L: documents and tokens of that length or more, all tokens left when texts are cut at L, and the share of documents up to L.
 
     docs_from, tokens_from: suffix sums. truncated_total: sum of min(length, L) over all documents.
-    docs_to, share_to: documents of at most L tokens, as a count and a share of all.
+    docs_to, share_to: documents of at most L tokens, as a count and a share of all. The histogram is written first: it is
+    read three times, and the texts once.
     """
-    h = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
+    h = cut_lineage(hist).select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("block", *[F.coalesce(F.sum(f"block_{c}").over(after), F.lit(0)).alias(f"later_{c}") for c in ("docs", "tokens")])

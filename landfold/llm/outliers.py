@@ -13,7 +13,7 @@ Every step is one pass over the small table of vectors: moments combine before t
 rows is an exact percentile over binned distances, of which a few thousand exist. Only a group's numbers are joined
 back, sent to all tasks while the groups are few enough, so that a hot group's rows stay where they are. Rows that fail the base rules take no part in the estimates.
 
-Null texts have no words and fail the base rules; null languages and sources form groups of their own. Repeated rows
+Null texts have no words and fail the base rules; a null language or source is the one named ''. Repeated rows
 count each. An empty table gives no rows. Further columns of the input are not read.
 """
 

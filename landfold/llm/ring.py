@@ -4,13 +4,15 @@ The ring has 2**16 slots; a key's slot comes from its hash. Each shard owns many
 the first virtual node at or after it, going clockwise. Only the count of rows per slot (at most 65,536 numbers,
 whatever the input) reaches the driver, where loads are bounded: a shard keeps its own keys in ring order up to its
 capacity, and the keys beyond it continue clockwise to the next shard with room. The plan is again a few ranges of
-ranks per slot; the rows take their place by one shuffle on the slot, in which each row carries a key and two numbers.
+ranks per slot; rows are ranked by range partitions of the slot, the hash and the order columns, so a slot that one key
+fills with a third of all rows is ranked by many tasks.
 
 With slack 0 the capacities sum to the number of rows, so shard counts differ by one at most and only the overflow of
 overfull shards moves from its home. With slack s a shard may hold (1 + s) times the mean.
 
 Null keys share the slot of the hash of null. Repeated keys lie next to each other and may be split where a shard is
-full. Ties are settled by the order columns; equal rows are interchangeable.
+full. Ties are settled by the order columns; equal rows are interchangeable. An empty table gives no rows. Texts are not
+looked at; columns of any name are carried.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ import bisect
 import hashlib
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from landfold.plans.ordered import numbered
+
 SLOT_BITS = 16
 VIRTUAL_NODES = 256
 
@@ -80,11 +84,17 @@ def bounded_plan(counts: dict[int, int], shards: int, vnodes: int, slack: float)
 
 
 def ring_shards(rows: DataFrame, key: str, shards: int, order: list[str], vnodes: int = VIRTUAL_NODES, slack: float = 0.0) -> DataFrame:
-    """The rows with shard (0 to shards-1) and slot (gapless from 0 in each shard); order: columns that settle ties in a ring slot."""
+    """The rows with shard (0 to shards-1) and slot (gapless from 0 in each shard); order: columns that settle ties in a ring slot.
+
+    Columns of the rows that are named shard or slot are replaced.
+    """
     spark = rows.sparkSession
-    placed = rows.withColumn("ring_hash", F.xxhash64(key)).withColumn("ring_slot", F.shiftrightunsigned("ring_hash", 64 - SLOT_BITS).cast("int"))
-    counts = {r["ring_slot"]: r["n"] for r in placed.groupBy("ring_slot").agg(F.count("*").alias("n")).collect()}
+    ranked_by = [f"o_{i}" for i in range(len(order))]
+    hashed = F.xxhash64(key)
+    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]).alias("row"), hashed.alias("hash"), F.shiftrightunsigned(hashed, 64 - SLOT_BITS).cast("int").alias("at"),
+                         *[F.col(f"`{c}`").alias(o) for c, o in zip(order, ranked_by)])
+    counts = {r["at"]: r["n"] for r in placed.groupBy("at").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(bounded_plan(counts, shards, vnodes, slack) if shards > 1 else [(s, 0, n, 0, 0) for s, n in counts.items()], PLAN)
-    ranked = placed.withColumn("ring_rank", F.row_number().over(Window.partitionBy("ring_slot").orderBy("ring_hash", *order)) - F.lit(1))
-    fits = (ranked["ring_slot"] == plan["ring_slot"]) & (ranked["ring_rank"] >= plan["from_rank"]) & (ranked["ring_rank"] < plan["to_rank"])
-    return ranked.join(F.broadcast(plan), fits).select(*[ranked[c] for c in rows.columns], "shard", (F.col("start") + F.col("ring_rank") - F.col("from_rank")).alias("slot"))
+    ranked = numbered(placed, ["at"], ["hash", *ranked_by], "rank").withColumn("rank", F.col("rank") - 1)
+    fits = (F.col("at") == F.col("ring_slot")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
+    return ranked.join(F.broadcast(plan), fits).select("row.*", "shard", (F.col("start") + F.col("rank") - F.col("from_rank")).alias("slot"))

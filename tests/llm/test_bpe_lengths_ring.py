@@ -9,6 +9,7 @@ import pytest
 
 from landfold.llm import bpe, lengths, ring
 from landfold.llm.queries import QUERIES
+from landfold.plans import ordered
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, shard string, slot string"
 TEXTS = [None, "", " ", "a", "It's  we'll\n\n don't \n\nx", "x" * 3000, " " * 900 + "end", "word " * 700, "naïve façade 東京 12345 !" * 60,
@@ -109,3 +110,47 @@ def test_ring_with_ties_nulls_and_few_rows(spark):
     check_shards([(r.shard, r.slot) for r in got], 46, 16)
     assert ring.ring_shards(df.limit(0), "doc_id", 16, ["text"]).count() == 0
     assert ring.ring_shards(df, "doc_id", 1, ["text"]).count() == 46
+
+
+def test_ring_carries_columns_of_any_name(spark):
+    names = ["doc_id", "shard", "slot", "start", "ring_slot", "rank", "hash", "at", "row", "from_rank", "chunk", "o_0"]
+    df = spark.createDataFrame([tuple([i] * len(names)) for i in range(50)], ", ".join(f"{n} bigint" for n in names))
+    got = ring.ring_shards(df, "doc_id", 4, ["rank", "chunk"])
+    assert sorted(got.columns) == sorted(names)
+    rows = got.collect()
+    check_shards([(r.shard, r.slot) for r in rows], 50, 4)
+    assert all(r.start == r.rank == r.at == r.doc_id for r in rows)
+
+
+def test_ring_equals_a_walk_key_by_key(spark):
+    from pyspark.sql import functions as F
+
+    shards, vnodes = 5, 6
+    df = spark.range(700).select((F.col("id") % 640).alias("doc_id"), F.col("id").alias("tie"))
+    keys = sorted((r.slot_ & 0xFFFF, r.h, r.tie) for r in df.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 48).alias("slot_"), F.xxhash64("doc_id").alias("h"), "tie").collect())
+    homes, room = ring.ring_homes(shards, vnodes), ring.capacities(700, shards, 0.0)
+    place, over = {}, []
+    for slot, _, tie in keys:
+        if room[homes[slot]]:
+            room[homes[slot]] -= 1
+            place[tie] = homes[slot]
+        else:
+            over.append((slot, tie))
+    for slot, tie in over:
+        at = slot
+        while not room[homes[at]]:
+            at = (at + 1) % len(homes)
+        room[homes[at]] -= 1
+        place[tie] = homes[at]
+    assert {r.tie: r.shard for r in ring.ring_shards(df, "doc_id", shards, ["tie"], vnodes).collect()} == place
+
+
+def test_one_key_is_ranked_by_many_tasks(spark):
+    """A slot that one key fills is cut along the order columns."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("id").alias("size"))
+    placed = ring.ring_shards(df, "doc_id", 16, ["size"])
+    check_shards([(r.shard, r.slot) for r in placed.collect()], 4000, 16)
+    chunks = ordered.with_chunks(df.withColumn("k", F.lit(1)), ["k"], ["size"]).groupBy("chunk").count().collect()
+    assert len(chunks) == 8 and max(r["count"] for r in chunks) < 1500
