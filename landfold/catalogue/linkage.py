@@ -94,7 +94,7 @@ def bindings(t):
 SELECT c.entity_id, count(DISTINCT b.resource_id) AS resources, count(DISTINCT CASE WHEN relation='depicts' THEN resource_id END) AS depicting FROM chain c JOIN entities e ON e.entity_id=c.ancestor_id JOIN b ON b.target_id=c.ancestor_id
 WHERE c.depth=0 OR e.type IN ('floor','building') GROUP BY c.entity_id""")
 def _(t):
-    r = l.related_resources(h.ancestors(t.entities), t.entities, bindings(t))
+    r = l.related_resources(h.nearest_of_type(t.entities, "floor", "building"), bindings(t))
     # Rows are distinct, so plain counts are distinct counts.
     return r.groupBy("entity_id").agg(F.count("*").alias("resources"), F.count(F.when(F.col("relation") == "depicts", 1)).alias("depicting"))
 

@@ -231,3 +231,15 @@ def _(t):
         .withColumn("x1", F.when((F.col("poly_id") % 9 == 0) & (F.col("seq") == 2), F.lit(float("nan"))).otherwise(F.col("x1")))
     )
     return polygons.geometry_violations(broken)
+
+
+#: bounds with faults: swapped sides, missing and infinite ones, and floors of which a vertex lies higher
+BOUNDS = """SELECT poly_id AS id, cx-r AS min_x, CASE WHEN poly_id%11=3 THEN max_y+1 ELSE min_y END AS min_y, CASE WHEN poly_id%13=4 THEN CAST('NaN' AS DOUBLE) WHEN poly_id%17=5 THEN NULL ELSE cz-r END AS min_z,
+    CASE WHEN poly_id%19=6 THEN CAST('Infinity' AS DOUBLE) WHEN poly_id%7=1 THEN cx-r-1 ELSE cx+r END AS max_x, max_y, cz+r AS max_z,
+    CASE WHEN poly_id%2=0 THEN min_y END AS low_y, CASE WHEN poly_id%2=0 THEN min_y+CASE WHEN poly_id%6=2 THEN 5e-1 ELSE 0e0 END END AS high_y FROM domains"""
+
+
+@query("c7_box_violations", f"""WITH b AS ({BOUNDS}), w AS (SELECT *, coalesce(NOT isfinite(min_x) OR NOT isfinite(max_x) OR NOT isfinite(min_y) OR NOT isfinite(max_y) OR NOT isfinite(min_z) OR NOT isfinite(max_z), TRUE) AS wild FROM b)
+SELECT id, 'bounds-not-finite' AS rule FROM w WHERE wild UNION ALL SELECT id, 'bounds-reversed' FROM w WHERE NOT wild AND (min_x>max_x OR min_y>max_y OR min_z>max_z) UNION ALL SELECT id, 'not-planar' FROM w WHERE high_y>low_y""")
+def _(t):
+    return polygons.box_violations(t.sql(BOUNDS))

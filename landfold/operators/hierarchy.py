@@ -63,19 +63,25 @@ def zone_members(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return children.unionByName(named).where("zone_id <> member_id").join(zones, "zone_id", "left_semi").distinct()
 
 
-def describe_paths(entities: DataFrame, chain: DataFrame | None = None) -> DataFrame:
-    """Type and ancestor names from the root down, without the campus unless it is the only one."""
-    chain = ancestors(entities) if chain is None else chain
-    above = chain.where("depth > 0").join(
-        entities.select(F.col("entity_id").alias("ancestor_id"), F.col("type").alias("a_type"), F.col("name").alias("a_name")), "ancestor_id"
-    )
-    # The list is as long as the tree is deep.
-    paths = above.groupBy("entity_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "a_type", "a_name"))).alias("path")
-    )
-    kept = F.when(F.size("path") > 1, F.filter("path", lambda p: p["a_type"] != "campus")).otherwise(F.col("path"))
-    names = F.transform(F.coalesce(kept, F.array()), lambda p: p["a_name"])
-    return entities.join(paths, "entity_id", "left").select("entity_id", F.concat_ws(" · ", F.array("type"), names).alias("description"))
+def describe_paths(entities: DataFrame) -> DataFrame:
+    """(entity_id, description): type and ancestor names from the root down, without the campus unless it is the only one.
+
+    From the tops down, each level one join that carries the path so far, which is as long as the answer. An entity on or
+    below a cycle has no top and is described by its type.
+    """
+    own = entities.select("entity_id", "parent_id", "type", "name")
+    known = entities.select(F.col("entity_id").alias("parent_id")).distinct()
+    none = F.array().cast("array<struct<type: string, name: string>>")
+    tops = own.join(known, "parent_id", "left_anti")
+
+    def below(level, children):
+        up = level.select(F.col("entity_id").alias("parent_id"), F.array_append("path", F.struct(F.col("type").cast("string").alias("type"), F.col("name").cast("string").alias("name"))).alias("path"))
+        return children.join(up, "parent_id").select("entity_id", "type", "name", "path")
+
+    paths = descend(tops.select("entity_id", "type", "name", none.alias("path")), own, below).select("entity_id", "path")
+    kept = F.when(F.size("path") > 1, F.filter("path", lambda p: ~p["type"].eqNullSafe(F.lit("campus")))).otherwise(F.col("path"))
+    names = F.transform(F.coalesce(kept, none), lambda p: p["name"])
+    return own.join(paths, "entity_id", "left").select("entity_id", F.concat_ws(" · ", F.array("type"), names).alias("description"))
 
 
 def hierarchy_violations(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -77,11 +77,10 @@ def collisions(staged: DataFrame, live: DataFrame) -> DataFrame:
     return already.unionByName(claimed.select("id", F.lit("two-owners").alias("reason")))
 
 
-def related_resources(chain: DataFrame, types: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Resources bound to an entity, its floor or its building. chain: (entity_id, ancestor_id, depth)."""
-    scope = chain.join(types.select(F.col("entity_id").alias("ancestor_id"), "type"), "ancestor_id").where("depth = 0 or type in ('floor', 'building')")
-    return scope.select("entity_id", "ancestor_id").join(bindings.withColumnRenamed("target_id", "ancestor_id"), "ancestor_id").select(
-        "entity_id", "resource_id", "relation").distinct()
+def related_resources(places: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Resources bound to an entity, its floor or its building. places: entity_id, floor, building (nearest ancestors, self included)."""
+    scope = places.select("entity_id", F.explode(F.array_distinct(F.array_compact(F.array("entity_id", "floor", "building")))).alias("target_id"))
+    return scope.join(bindings, "target_id").select("entity_id", "resource_id", "relation").distinct()
 
 
 def floor_connectors(places: DataFrame, stops: DataFrame) -> DataFrame:

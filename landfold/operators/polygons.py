@@ -261,3 +261,20 @@ def geometry_violations(edges: DataFrame) -> DataFrame:
         F.when(~F.col("not_finite") & (F.abs("a2") <= 1e-12 * F.col("size")), F.lit("zero-area")),
     )
     return rings.select(*ring, F.explode(F.array_compact(rules)).alias("rule"))
+
+
+def box_violations(boxes: DataFrame, limit: float = 0.0) -> DataFrame:
+    """(id, rule) of bounds that are not finite or reversed, and of floors whose declared height is not that of all their vertices.
+
+    boxes: id, min_x..max_z, and low_y and high_y of the vertices that a planar part must share up to the limit, NULL if
+    the part need not be planar.
+    """
+    axes = "xyz"
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    wild, turned = F.lit(False), F.lit(False)
+    for a in axes:
+        wild = wild | bad(f"min_{a}") | bad(f"max_{a}")
+        turned = turned | F.coalesce(F.col(f"min_{a}") > F.col(f"max_{a}"), F.lit(False))
+    rules = F.array(F.when(wild, F.lit("bounds-not-finite")), F.when(~wild & turned, F.lit("bounds-reversed")),
+                    F.when(F.coalesce(F.col("high_y") - F.col("low_y") > limit, F.lit(False)), F.lit("not-planar")))
+    return boxes.select("id", F.explode(F.array_compact(rules)).alias("rule"))

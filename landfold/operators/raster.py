@@ -68,20 +68,20 @@ def sample_dem(points: DataFrame, dem: DataFrame, step: float, rows: int, column
     """
     c, r = F.col("x") / step, F.col("z") / step
     inside = (c >= 0) & (r >= 0) & (c <= columns - 1) & (r <= rows - 1)
-    p = points.select("pt_id", "x", "z").where(inside).withColumns({
-        "c0": F.least(F.floor(c).cast("bigint"), F.lit(columns - 2)), "r0": F.least(F.floor(r).cast("bigint"), F.lit(rows - 2))})
+    p = points.select("pt_id", "x", "z").withColumns({
+        "c0": F.when(inside, F.least(F.floor(c).cast("bigint"), F.lit(columns - 2))), "r0": F.when(inside, F.least(F.floor(r).cast("bigint"), F.lit(rows - 2)))})
     p = p.withColumns({"u": F.col("x") / step - F.col("c0"), "v": F.col("z") / step - F.col("r0")})
-    offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1)))])
-    keys = p.select("pt_id", "u", "v", "r0", "c0", F.inline(offsets)).select(
-        "pt_id", "u", "v", "k", (F.col("r0") + F.col("dr")).alias("row_no"), (F.col("c0") + F.col("dc")).alias("col_no"))
-    got = keys.join(dem.select("row_no", "col_no", "h").where("h is not null"), ["row_no", "col_no"])
-    four = got.groupBy("pt_id", "u", "v").agg(*[F.max(F.when(F.col("k") == k, F.col("h"))).alias(n) for k, n in enumerate("abde")], F.count("*").alias("n"))
+    # the corners of each cell that holds a point are brought together once, however many points it holds
+    offsets = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("r0") + dr).alias("row_no"), (F.col("c0") + dc).alias("col_no")) for k, (dr, dc) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1)))])
+    keys = p.select("r0", "c0").where("r0 is not null").distinct().select("r0", "c0", F.inline(offsets))
+    got = keys.join(dem.select("row_no", "col_no", F.col("h").alias("corner")).where("corner is not null"), ["row_no", "col_no"])
+    cell = got.groupBy("r0", "c0").agg(*[F.max(F.when(F.col("k") == k, F.col("corner"))).alias(n) for k, n in enumerate("abde")], F.count("*").alias("n")).where("n = 4")
     u, v, a, b, d, e = (F.col(n) for n in "uvabde")
     if mode == "bilinear":
         h = (a * (F.lit(1.0) - u) + b * u) * (F.lit(1.0) - v) + (d * (F.lit(1.0) - u) + e * u) * v
     else:
         h = F.when(u + v <= 1, a + (b - a) * u + (d - a) * v).otherwise(e + (d - e) * (F.lit(1.0) - u) + (b - e) * (F.lit(1.0) - v))
-    return points.select("pt_id").join(four.where("n = 4").select("pt_id", h.alias(name)), "pt_id", "left")
+    return p.join(cell, ["r0", "c0"], "left").select("pt_id", h.alias(name))
 
 
 def surface_at(points: DataFrame, floors: DataFrame, fine: DataFrame, coarse: DataFrame) -> DataFrame:
@@ -215,18 +215,27 @@ def claim_cells(cells: DataFrame) -> DataFrame:
 
 # --- masks ---------------------------------------------------------------------
 
-def cells_in_polygons(edges: DataFrame, step: float) -> DataFrame:
-    """(poly_id, row_no, col_no) of the cell centres in each polygon, holes left out."""
-    boxes = ring_boxes(edges)
-    r0, r1 = cell_of("bz0", step), cell_of("bz1", step)
-    rows = boxes.withColumn("row_no", F.explode(F.sequence(r0, r1))).withColumn("z", (F.col("row_no") + 0.5) * step)
-    rows = rows.withColumn("slab", _slab(F.col("z"), SLAB))
-    # Where each row's centre line crosses the outline; every centre between an odd and the next crossing is inside.
-    cut = rows.join(slab_edges(edges, BAND).select("poly_id", "part", "ring", "seq", "slab", *EDGE), ["poly_id", "part", "slab"])
-    cut = cut.where((F.col("z1") > F.col("z")) != (F.col("z2") > F.col("z")))
-    centres = cut.withColumn("col_no", F.explode(F.sequence(cell_of("bx0", step), cell_of("bx1", step)))).withColumn("x", (F.col("col_no") + 0.5) * step)
-    odd = F.sum(crosses_ray("x", "z", *EDGE).cast("int")) % 2 == 1
-    return centres.groupBy("poly_id", "part", "row_no", "col_no").agg(odd.alias("inside")).where("inside").select("poly_id", "row_no", "col_no").distinct()
+def cells_in_polygons(edges: DataFrame, step: float, block: int = 64) -> DataFrame:
+    """(poly_id, row_no, col_no) of the cell centres in each polygon, holes left out.
+
+    An edge crosses the centre lines of some rows; a row's crossings, in order, are the ends of the spans inside, and only
+    these are spread out: work grows with the edges and with the cells inside, not with the polygon's box. Long edges
+    and wide spans are dealt out in blocks first. What is gathered is one row's crossings of one polygon.
+    """
+    centre = lambda c: (F.col(c) + 0.5) * step
+    lo, hi = cell_of(F.least("z1", "z2"), step), cell_of(F.greatest("z1", "z2"), step)
+    parts = edges.where("z1 <> z2").withColumn("rows_", F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block))))
+    first, last = F.greatest(lo, F.col("rows_") * block), F.least(hi, (F.col("rows_") + 1) * block - 1)
+    at = parts.withColumn("row_no", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))).withColumn("z", centre("row_no"))
+    at = at.where((F.col("z1") > F.col("z")) != (F.col("z2") > F.col("z")))
+    cross = (F.col("x2") - F.col("x1")) * (F.col("z") - F.col("z1")) / (F.col("z2") - F.col("z1")) + F.col("x1")
+    rows = at.groupBy("poly_id", "part", "row_no").agg(F.array_sort(F.collect_list(cross)).alias("xs"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.get("xs", 2 * k).alias("x0"), F.get("xs", 2 * k + 1).alias("x1")))
+    spans = rows.where("size(xs) >= 2").select("poly_id", "row_no", F.inline(pairs)).where("x0 < x1")
+    spans = spans.withColumns({"c0": cell_of("x0", step), "c1": cell_of("x1", step)}).withColumn("cols_", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block))))
+    first, last = F.greatest("c0", F.col("cols_") * block), F.least("c1", (F.col("cols_") + 1) * block - 1)
+    cells = spans.withColumn("col_no", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))).withColumn("x", centre("col_no"))
+    return cells.where("x >= x0 and x < x1").select("poly_id", "row_no", "col_no").distinct()
 
 
 def coverage(domain_cells: DataFrame, covered: DataFrame) -> DataFrame:
