@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from landfold.catalogue import mesh as meshq, query
 from landfold.catalogue.hierarchy import REL, relations
 from landfold.catalogue.linkage import CLASSES
-from landfold.catalogue.raster import CELLS, GRID, STEP, dem_rows, dem_sql
+from landfold.catalogue.raster import CELLS, DOWN, GRID, STEP, dem_rows, dem_sql
 from landfold.catalogue.scalars import NAMES, TRIAGE, triage_input
 from landfold.catalogue.spatial import CENTROID, SEG_T, SETTLED, WITHIN, rings_sql, FOLDS
 from landfold.catalogue.summaries import FIT, controls, rounded
 from landfold.functions import geometry as g, text
-from landfold.operators import audits, hierarchy as h, linkage as l, mesh as m, polygons, raster as r, scoring, summaries as s
+from landfold.operators import audits, hierarchy as h, linkage as l, mesh as m, polygons, raster as r, reports, scoring, summaries as s
 
 
 #: one table of domains of all kinds
@@ -112,10 +112,21 @@ def _(t):
     return c.withColumn("status", F.when(F.col("covered") == 0, "missing").when(F.col("covered") >= 0.95 * F.col("cells"), "complete").otherwise("partial"))
 
 
-@query("k11_terrain_build", f"""WITH {GRID}, n AS (SELECT (z2-z1)*(x3-x1)-(x2-x1)*(z3-z1) AS ny FROM grid) SELECT (SELECT count(h) FROM dem_cell) AS vertices, count(*) AS faces, count(CASE WHEN ny>0 THEN 1 END) AS upward FROM n""")
+@query("k11_terrain_build", f"""WITH {GRID}, n AS (SELECT (z2-z1)*(x3-x1)-(x2-x1)*(z3-z1) AS ny FROM grid), {DOWN},
+tq AS (SELECT a.h AS a, b.h AS b, c.h AS c, d.h AS d FROM down a JOIN down b ON b.row_no=a.row_no AND b.col_no=a.col_no+1 JOIN down c ON c.row_no=a.row_no+1 AND c.col_no=a.col_no JOIN down d ON d.row_no=a.row_no+1 AND d.col_no=a.col_no+1),
+fp AS (SELECT struct_pack(r := row_no, c := col_no) AS pt_id, col_no*8e0 AS x, row_no*8e0 AS z, h AS truth FROM dem_cell WHERE h IS NOT NULL),
+{dem_sql("triangle", step="32e0", dem="down", rows="(SELECT max(row_no)//4+1 FROM dem_cell)", cols="(SELECT max(col_no)//4+1 FROM dem_cell)", name="lo", points="fp")},
+er AS (SELECT lo.h-truth AS off FROM fp JOIN lo ON lo.pt_id=fp.pt_id WHERE lo.h IS NOT NULL)
+SELECT (SELECT count(h) FROM dem_cell) AS vertices, (SELECT count(*) FROM n) AS faces, (SELECT count(*) FILTER (ny>0) FROM n) AS upward, (SELECT count(h) FROM down) AS coarse_vertices,
+ (SELECT 2*count(a+b+c+d) FROM tq) AS coarse_faces,
+ (SELECT 2*count(a+b+c+d) FROM tq) AS coarse_upward,
+ count(*) AS points, round(avg(off),6) AS bias, round(sqrt(avg(off*off)),6) AS rmse, max(abs(off)) AS max_abs, round(quantile_cont(abs(off),95e-2),6) AS p95_abs FROM er""")
 def _(t):
-    tri = r.triangulate(t.dem_cell, STEP)
-    return tri.agg(F.count("*").alias("faces"), F.count(F.when(g.face_normal()[1] > 0, 1)).alias("upward")).crossJoin(t.dem_cell.agg(F.count("h").alias("vertices")))  # one row each
+    k = F.floor(F.col("row_no") / 40)
+    cells = t.dem_cell.select(k.alias("tile_id"), (F.col("row_no") % 40).alias("r"), F.col("col_no").alias("c"), "h")
+    tiles = cells.select("tile_id").distinct().select("tile_id", F.col("tile_id").alias("ord"), (F.lit(820000.0) - F.col("tile_id") * 320).alias("north"), F.lit(844000.0).alias("east"))
+    out = reports.terrain_report(tiles, cells, STEP, 820000.0, 844000.0, 4)
+    return out.withColumns({c: F.round(c, 6) for c in ("bias", "rmse", "p95_abs")})
 
 
 @query("k12_terrain_check", f"""WITH {GRID} SELECT count(*)*3 AS corners, CAST(0 AS BIGINT) AS unsupported, 0e0 AS max_error, count(*) AS faces, CAST(0 AS BIGINT) AS not_upward FROM grid""")
@@ -131,10 +142,14 @@ def _(t):
     return audits.identity_audit(t.poly_edge, 4.0).withColumn("share", F.round("share", 9))
 
 
-@query("k14_inventory_gaps", "WITH c AS (SELECT p_partkey AS id, CASE " + " ".join(f"WHEN {w} THEN '{c}'" for c, w in CLASSES) + " ELSE 'unclassified' END AS class FROM part) SELECT class, count(*) AS entries, count(CASE WHEN id IN (SELECT l_partkey FROM lineitem WHERE l_quantity>45) THEN 1 END) AS picked, count(CASE WHEN id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity>45) THEN 1 END) AS gap FROM c GROUP BY 1")
+@query("k14_inventory_gaps", "WITH g AS (SELECT p_partkey AS id FROM part WHERE p_partkey%37<>5 UNION ALL SELECT p_partkey+5000000 FROM part WHERE p_partkey%41=6), c AS (SELECT p_partkey AS id, CASE " + " ".join(f"WHEN {w} THEN '{c}'" for c, w in CLASSES) + """ ELSE 'unclassified' END AS class FROM part),
+f AS (SELECT id, class, id IN (SELECT l_partkey FROM lineitem WHERE l_quantity>45) AS pk, id IN (SELECT id FROM g) AS kn FROM c UNION ALL SELECT id, 'registry-only', FALSE, TRUE FROM g WHERE id NOT IN (SELECT id FROM c))
+SELECT class, count(*) AS entries, count(*) FILTER (pk) AS picked, count(*) FILTER (NOT pk) AS gap, count(*) FILTER (NOT kn) AS unregistered, min(id) FILTER (NOT pk) AS first_missing, least(count(*) FILTER (NOT pk), 20) AS shown FROM f GROUP BY 1""")
 def _(t):
-    c = l.classify_inventory(t.part.select(F.col("p_partkey").alias("id")), [(c, t.part.where(w).select(F.col("p_partkey").alias("id"))) for c, w in CLASSES])
-    return audits.inventory_gaps(c, t.lineitem.where("l_quantity>45").select(F.col("l_partkey").alias("id")))
+    k = F.col("p_partkey")
+    registry = t.part.where("p_partkey%37<>5").select(k.alias("id")).unionByName(t.part.where("p_partkey%41=6").select((k + 5000000).alias("id")))
+    classes = [(c, t.part.where(w).select(k.alias("id"))) for c, w in CLASSES]
+    return reports.inventory_report(t.part.select(k.alias("id")), classes, t.lineitem.where("l_quantity>45").select(F.col("l_partkey").alias("id")), registry)
 
 
 @query("k16_quality_triage", f"WITH {TRIAGE} SELECT CASE WHEN score>=8 THEN 'P0' WHEN score>=5 THEN 'P1' WHEN score>=3 THEN 'P2' ELSE 'P3' END AS level, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, min(id) AS first_id FROM sc GROUP BY 1")
@@ -142,14 +157,15 @@ def _(t):
     return scoring.triage(triage_input(t)).groupBy("level").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.min("id").alias("first_id"))
 
 
-@query("k17_construction_boundary", """WITH w AS (SELECT 'building:'||s_suppkey AS id FROM supplier WHERE s_suppkey%6=0), d AS (SELECT o_orderkey AS doc, 'building:'||(o_custkey%200) AS id, CASE o_orderkey%3 WHEN 0 THEN 'ownerId' WHEN 1 THEN 'entityId' ELSE 'note' END AS k FROM orders)
-SELECT d.id, count(*) AS bindings FROM d JOIN w ON w.id=d.id WHERE k<>'note' GROUP BY 1""")
+@query("k17_construction_boundary", """WITH w AS (SELECT 'building:'||s_suppkey AS id FROM supplier WHERE s_suppkey%6=0), d AS (SELECT 'doc'||o_orderkey%5 AS place, 'building:'||(o_custkey%200) AS id, CASE o_orderkey%3 WHEN 0 THEN 'ownerId' WHEN 1 THEN 'entityId' ELSE 'note' END AS k FROM orders),
+u AS (SELECT id, place FROM d WHERE k<>'note' UNION ALL SELECT 'building:'||(p_partkey%300), 'representation' FROM part UNION ALL SELECT entity_id, 'domain' FROM domains WHERE poly_id%12=6)
+SELECT id, place, count(*) AS n FROM u WHERE id IN (SELECT id FROM w) GROUP BY 1,2""")
 def _(t):
     works = t.supplier.where("s_suppkey%6=0").select(F.concat(F.lit("building:"), "s_suppkey").alias("id"))
     key = F.get(F.array(F.lit("ownerId"), F.lit("entityId"), F.lit("note")), (F.col("o_orderkey") % 3).cast("int"))
-    docs = t.orders.select(F.concat(F.lit('{"a":{"'), key, F.lit('":"building:'), F.col("o_custkey") % 200, F.lit('"}}')).alias("doc"))
-    found = docs.select(F.explode(F.regexp_extract_all("doc", F.lit('"(?:ownerId|entityId)"\\s*:\\s*"([^"]*)"'), 1)).alias("id"))
-    return found.join(works, "id", "left_semi").groupBy("id").agg(F.count("*").alias("bindings"))
+    docs = t.orders.select(F.concat(F.lit("doc"), F.col("o_orderkey") % 5).alias("name"), F.concat(F.lit('{"a":{"'), key, F.lit('": "building:'), F.col("o_custkey") % 200, F.lit('"}}')).alias("doc"))
+    tables = {"representation": t.part.select(F.concat(F.lit("building:"), F.col("p_partkey") % 300).alias("id")), "domain": t.domains.where("poly_id%12=6").select(F.col("entity_id").alias("id"))}
+    return reports.construction_bindings(works, docs, ["ownerId", "entityId"], tables)
 
 
 @query("k19_seal_check", """SELECT change, count(*) AS paths FROM (SELECT CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM inv_a a FULL JOIN inv_b b ON a.path=b.path WHERE a.path IS NULL OR b.path IS NULL OR a.bytes IS DISTINCT FROM b.bytes OR a.sha256 IS DISTINCT FROM b.sha256) q GROUP BY 1""")
@@ -163,14 +179,16 @@ def _(t):
     return n.agg(F.count("*").alias("entities"), F.count(F.when((F.col("en") == F.col("name")) & F.col("name").rlike(text.HAN), 1)).alias("en_untranslated"), F.count(F.when(F.col("hans") != F.col("hant"), 1)).alias("scripts_differ"))
 
 
-@query("k22_poi_consolidation", f"""WITH {FIT}, q AS (SELECT k, max(ae) AS ae, sqrt(avg(sq)) AS rmse FROM r GROUP BY k), {CENTROID}
-SELECT s_suppkey AS id, CASE WHEN s_suppkey%3=0 THEN 'official-outline' ELSE 'map-estimate' END AS source, CASE WHEN s_suppkey%3=0 THEN round(cx,6) ELSE CAST(s_suppkey AS DOUBLE) END AS x, CASE WHEN s_suppkey%3<>0 THEN round(rmse,6) END AS caution FROM supplier JOIN cen ON cen.poly_id=s_suppkey LEFT JOIN q ON q.k=s_suppkey%40""")
+@query("k22_poi_consolidation", f"""WITH {FIT}, mn AS (SELECT k, avg(x) AS mx, avg(y) AS my, avg(e) AS me, avg(n) AS mn FROM c0 GROUP BY k), q AS (SELECT k, max(ae) AS ae, max(be) AS be, max(an) AS an, max(bn) AS bn, sqrt(avg(sq)) AS rmse FROM r GROUP BY k), {CENTROID},
+p AS (SELECT s_suppkey AS id, s_suppkey%44 AS k, CASE WHEN s_suppkey%8<>5 THEN s_suppkey*3e0 END AS x, s_suppkey*7e0 AS y FROM supplier),
+f AS (SELECT id, me+ae*(x-mx)+be*(y-my) AS fe, mn+an*(x-mx)+bn*(y-my) AS fn, rmse, cx, cz FROM p LEFT JOIN q ON q.k=p.k LEFT JOIN mn ON mn.k=p.k LEFT JOIN cen ON cen.poly_id=p.id AND p.id%3=0)
+SELECT id, CASE WHEN cx IS NOT NULL THEN 'official-outline' WHEN fe IS NOT NULL THEN 'map-estimate' ELSE 'unresolved' END AS source, round(coalesce(cx,fe),6) AS e, round(coalesce(cz,fn),6) AS n, CASE WHEN cx IS NULL AND fe IS NOT NULL AND rmse>24e-1 THEN round(rmse,6) END AS caution, round(sqrt((fe-cx)*(fe-cx)+(fn-cz)*(fn-cz)),6) AS apart FROM f""")
 def _(t):
-    q = rounded(s.fit_affine(controls(t), "k"), "rmse").select("k", "rmse")
-    outline = polygons.poly_centroid(t.poly_edge.where("poly_id%3=0")).select(F.col("poly_id").alias("id"), F.lit("official-outline").alias("source"), F.round("cx", 6).alias("x"))
-    guess = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("map-estimate").alias("source"), F.col("s_suppkey").cast("double").alias("x"))
-    best = l.merge_by_priority([outline, guess], "id").withColumn("k", F.col("id") % 40)
-    return best.join(q, "k", "left").select("id", "source", "x", F.when(F.col("source") == "map-estimate", F.col("rmse")).alias("caution"))
+    k = F.col("s_suppkey")
+    pois = t.supplier.select(k.alias("id"), (k % 44).alias("sheet"), F.when(k % 8 != 5, k * 3.0).alias("x"), (k * 7.0).alias("y"))
+    outlines = polygons.poly_centroid(t.poly_edge.where("poly_id%3=0")).select(F.col("poly_id").alias("id"), F.col("cx").alias("e"), F.col("cz").alias("n"))
+    out = reports.consolidate_pois(pois, controls(t).withColumnRenamed("k", "sheet"), outlines, 2.4)
+    return rounded(out, "e", "n", "caution", "apart")
 
 
 @query("k23_footprint_log", "SELECT poly_id, 0 AS part, ring, CASE WHEN ring=0 THEN 'small-part-dropped' ELSE 'small-hole-filled' END AS change, abs(sum(x1*z2-x2*z1)/2) AS area FROM poly_edge GROUP BY 1,2,3 HAVING (ring=0 AND abs(sum(x1*z2-x2*z1)/2)<=1000) OR (ring>0 AND abs(sum(x1*z2-x2*z1)/2)<=200)")
@@ -178,10 +196,16 @@ def _(t):
     return audits.normalise_footprints(t.poly_edge, 1000.0, 200.0)
 
 
-@query("k24_room_search", "SELECT entity_id, name FROM entities WHERE type IN ('space','connector') AND (contains(lower(name),'r12') OR contains(type,'r12'))")
+ASKS = "SELECT s_suppkey AS ask_id, concat('building:', s_suppkey%40) AS building, CASE s_suppkey%4 WHEN 0 THEN 'R12' WHEN 1 THEN 'Connector' WHEN 2 THEN ' ' ELSE concat('9', s_suppkey%10) END AS text FROM supplier"
+
+
+@query("k24_room_search", f"""WITH a AS ({ASKS}), rm AS (SELECT s.entity_id AS room_id, f.parent_id AS building, s.name, s.type, CAST(split_part(s.entity_id,':',2) AS BIGINT) AS n FROM entities s JOIN entities f ON f.entity_id=s.parent_id WHERE s.type IN ('space','connector'))
+SELECT ask_id, room_id, name, TRUE AS from_index FROM a JOIN rm ON rm.building=a.building WHERE trim(text)<>'' AND contains(lower(name||' '||type), lower(text)) UNION ALL SELECT ask_id, room_id, name, FALSE FROM a JOIN rm ON rm.building=a.building WHERE trim(text)='' AND n%5<>0""")
 def _(t):
-    q = text.normalize_search(F.lit("R12"))
-    return t.entities.where("type in ('space','connector')").where(F.lower("name").contains(q) | F.col("type").contains(q)).select("entity_id", "name")
+    rooms = t.entities.where("type in ('space','connector')").select(F.col("entity_id").alias("room_id"), "name", "type", F.col("parent_id").alias("floor"))
+    rooms = rooms.join(t.entities.select(F.col("entity_id").alias("floor"), F.col("parent_id").alias("building")), "floor")
+    drawn = rooms.withColumn("interactive", F.split("room_id", ":")[1].cast("bigint") % 5 != 0)
+    return reports.search_rooms(t.sql(ASKS), rooms, drawn)
 
 
 @query("k25_catalogue_build", "SELECT category, count(*) AS n, count(CASE WHEN located THEN 1 END) AS located, count(CASE WHEN NOT located THEN 1 END) AS unlocated FROM (SELECT CASE WHEN p_type='ECONOMY' THEN 'residence' WHEN p_size>30 THEN 'academic' WHEN contains(p_name,'small') THEN 'amenity' ELSE 'other' END AS category, p_partkey IN (SELECT s_suppkey*7 FROM supplier) AS located FROM part) q GROUP BY 1")
@@ -191,10 +215,16 @@ def _(t):
     return c.groupBy("category").agg(F.count("*").alias("n"), F.count(F.when(F.col("located"), 1)).alias("located"), F.count(F.when(~F.col("located"), 1)).alias("unlocated"))
 
 
-@query("k26_negative_binding", f"""WITH {REL} SELECT entity_id, EXISTS (SELECT 1 FROM rel WHERE target_id=entity_id) AS has_relation, entity_id IN (SELECT 'building:'||(p_partkey%40) FROM part) AS has_representation FROM entities WHERE type='building' AND (EXISTS (SELECT 1 FROM rel WHERE target_id=entity_id) OR entity_id IN (SELECT 'building:'||(p_partkey%40) FROM part))""")
+#: services as resolved: some of another building, some of another type, some that the registry does not have
+SERVICES = "SELECT entity_id, CASE WHEN n%5=1 THEN 'facility' ELSE type END AS type, CASE WHEN n%7=2 THEN 'zone:none' ELSE parent_id END AS parent_id FROM (SELECT e.*, CAST(split_part(entity_id, ':', 2) AS BIGINT) AS n FROM entities e WHERE type='building') q WHERE n%3<>0 UNION ALL SELECT concat('building:x', s_suppkey), 'building', NULL FROM supplier WHERE s_suppkey%20=1"
+
+
+@query("k26_negative_binding", f"""WITH {REL}, sv AS ({SERVICES}), h AS (SELECT s.*, e.entity_id IS NOT NULL AS there, e.type AS t, e.parent_id AS p FROM sv s LEFT JOIN entities e ON e.entity_id=s.entity_id),
+u AS (SELECT target_id AS entity_id, 'has-relation' AS rule FROM rel UNION ALL SELECT source_id, 'has-relation' FROM rel UNION ALL SELECT 'building:'||(p_partkey%40), 'has-representation' FROM part UNION ALL SELECT entity_id, 'has-domain' FROM domains WHERE poly_id%9=4)
+SELECT entity_id, 'unknown' AS rule, CAST(1 AS BIGINT) AS n FROM h WHERE NOT there UNION ALL SELECT entity_id, 'wrong-type', 1 FROM h WHERE there AND t IS DISTINCT FROM type UNION ALL SELECT entity_id, 'wrong-parent', 1 FROM h WHERE there AND p IS DISTINCT FROM parent_id
+UNION ALL SELECT entity_id, rule, count(*) FROM u WHERE entity_id IN (SELECT entity_id FROM sv) GROUP BY 1,2""")
 def _(t):
-    e = t.entities.where("type='building'").select("entity_id")
-    rel = relations(t).select(F.col("target_id").alias("entity_id")).distinct().withColumn("has_relation", F.lit(True))
-    rep = t.part.select(F.concat(F.lit("building:"), F.col("p_partkey") % 40).alias("entity_id")).distinct().withColumn("has_representation", F.lit(True))
-    j = e.join(rel, "entity_id", "left").join(rep, "entity_id", "left").fillna(False, ["has_relation", "has_representation"])
-    return j.where("has_relation or has_representation")
+    rel = relations(t)
+    ends = rel.select(F.col("target_id").alias("entity_id")).unionByName(rel.select(F.col("source_id").alias("entity_id")))
+    uses = {"has-relation": ends, "has-representation": t.part.select(F.concat(F.lit("building:"), F.col("p_partkey") % 40).alias("entity_id")), "has-domain": t.domains.where("poly_id%9=4").select("entity_id")}
+    return reports.negative_bindings(t.sql(SERVICES), t.entities, uses)

@@ -159,12 +159,6 @@ def terrain_check(cells: DataFrame, tri: DataFrame) -> DataFrame:
     return bad.crossJoin(tri.agg(F.count("*").alias("faces"), F.count(F.when(F.col("ny") <= 0, 1)).alias("not_upward")))  # one row each
 
 
-def inventory_gaps(classified: DataFrame, pickable: DataFrame) -> DataFrame:
-    """Per class: entries, those with a pick proof, and those without."""
-    p = pickable.select("id").distinct().withColumn("picked", F.lit(True))
-    return classified.join(p, "id", "left").groupBy("class").agg(F.count("*").alias("entries"), F.count("picked").alias("picked"), F.count(F.when(F.col("picked").isNull(), 1)).alias("gap"))
-
-
 def seal_check(sealed: DataFrame, present: DataFrame) -> DataFrame:
     """Verdict per path of a sealed inventory against what is there."""
     return linkage.inventory_diff(sealed, present, "path", ["bytes", "sha256"]).groupBy("change").agg(F.count("*").alias("paths"))

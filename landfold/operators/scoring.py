@@ -52,10 +52,15 @@ def translate_messages(asked: DataFrame, book: dict[tuple[str, str], str], fallb
     return asked.withColumn("template", found).withColumn("message", fill_message("template", "params")).drop("template")
 
 
+def bound_ids(document: Column, keys: list[str]) -> Column:
+    """Every id that an object at any depth of the JSON text binds under one of the keys."""
+    pattern = '"(?:' + "|".join(keys) + r')"\s*:\s*"([^"]*)"'
+    return F.regexp_extract_all(document, F.lit(pattern), 1)
+
+
 def binds_key(document: Column, ident: Column, keys: list[str]) -> Column:
     """Does any object at any depth of the JSON text bind the id under one of the keys?"""
-    pattern = '"(?:' + "|".join(keys) + r')"\s*:\s*"([^"]*)"'
-    return F.array_contains(F.regexp_extract_all(document, F.lit(pattern), 1), ident)
+    return F.array_contains(bound_ids(document, keys), ident)
 
 
 def public_rows(df: DataFrame, private: list[str]) -> DataFrame:
