@@ -66,7 +66,21 @@ def _(t):
     return sel.choose_level(d, 900.0, 50.0).select("group_id", "near", "level", "reason")
 
 
-@query("t8_view_score")
+CORNERS = ", ".join(f"({i},{i & 1},{i >> 1 & 1},{i >> 2 & 1})" for i in range(8))
+SIDES = ", ".join(f"({i},{i | bit})" for i in range(8) for bit in (1, 2, 4) if not i & bit)
+
+
+@query("t8_view_score", f"""WITH po AS (SELECT line_id AS pose_id, x1 AS ex, 60e0 AS ey, z1 AS ez FROM road_seg WHERE seq=0), bo AS (SELECT poly_id AS box_id, cx-r AS lx, min_y AS ly, cz-r AS lz, cx+r AS hx, max_y AS hy, cz+r AS hz FROM domains),
+pr AS (SELECT *, sqrt(pow(greatest(lx-ex,0,ex-hx),2)+pow(greatest(ly-ey,0,ey-hy),2)+pow(greatest(lz-ez,0,ez-hz),2)) AS distance FROM po, bo WHERE ex-400<=hx AND lx<=ex+400 AND ez-400<=hz AND lz<=ez+400),
+co AS (SELECT pose_id, box_id, distance, i, CASE WHEN a=1 THEN hx ELSE lx END-ex AS dx, CASE WHEN b=1 THEN hy ELSE ly END-ey AS dy, CASE WHEN c=1 THEN hz ELSE lz END-ez AS dz FROM pr, (VALUES {CORNERS}) k(i,a,b,c)),
+ey AS (SELECT pose_id, box_id, distance, i, dx AS x, 8e-1*dy-6e-1*dz AS y, -6e-1*dy-8e-1*dz AS w FROM co),
+ed AS (SELECT a.pose_id, a.box_id, a.distance, a.x AS ax, a.y AS ay, a.w AS aw, b.x AS bx, b.y AS "by", b.w AS bw FROM (VALUES {SIDES}) e(p,q) JOIN ey a ON a.i=p JOIN ey b ON b.i=q AND b.pose_id=a.pose_id AND b.box_id=a.box_id),
+pt AS (SELECT pose_id, box_id, distance, ax AS x, ay AS y, aw AS w FROM ed WHERE aw>=1 UNION ALL SELECT pose_id, box_id, distance, bx, "by", bw FROM ed WHERE bw>=1
+ UNION ALL SELECT pose_id, box_id, distance, ax+(bx-ax)*((1-aw)/(bw-aw)), ay+("by"-ay)*((1-aw)/(bw-aw)), 1e0 FROM ed WHERE (aw>=1)<>(bw>=1)),
+m AS (SELECT pose_id, box_id, distance, min(x/w/(tan(radians(25e0))*16e-1)) AS l, max(x/w/(tan(radians(25e0))*16e-1)) AS r, min(y/w/tan(radians(25e0))) AS b, max(y/w/tan(radians(25e0))) AS t FROM pt GROUP BY 1,2,3),
+c AS (SELECT pose_id, box_id, distance, CASE WHEN distance=0 THEN -1e0 ELSE greatest(-1e0,least(1e0,l)) END AS l, CASE WHEN distance=0 THEN 1e0 ELSE greatest(-1e0,least(1e0,r)) END AS r, CASE WHEN distance=0 THEN -1e0 ELSE greatest(-1e0,least(1e0,b)) END AS b, CASE WHEN distance=0 THEN 1e0 ELSE greatest(-1e0,least(1e0,t)) END AS t FROM m),
+z AS (SELECT pose_id, box_id, distance, (r-l)*900*16e-1/2 AS wp, (t-b)*900e0/2 AS hp, (l+r)/2 AS cx, (b+t)/2 AS cy FROM c WHERE r>l AND t>b)
+SELECT pose_id, box_id, round(greatest(wp,hp),6) AS pixels, round(distance,6) AS distance, round(sqrt(wp*hp)*(22e-2+78e-2*exp(-28e-1*(cx*cx+cy*cy)))/(1+distance/800),6) AS score FROM z WHERE greatest(wp,hp)>=48""")
 def _(t):
     poses = t.road_seg.where("seq = 0").select(
         F.col("line_id").alias("pose_id"), F.col("x1").alias("ex"), F.lit(60.0).alias("ey"), F.col("z1").alias("ez"),
