@@ -103,6 +103,23 @@ def _(t):
     return meshq.tidy(a).drop("tile_id")
 
 
+#: views over the faces, looking down at different slants
+EYES = "SELECT p_partkey AS pose_id, x1+3 AS ex, y1+40 AS ey, z1-6 AS ez, CAST(p_partkey%3-1 AS DOUBLE)*2e-1 AS fx, -1e0 AS fy, 3e-1 AS fz FROM part JOIN tri ON tri_idx=p_partkey"
+
+
+@query("k7_view_histogram", f"""WITH RECURSIVE {meshq.comp_sql()}, ps AS (SELECT *, sqrt(fx*fx+fy*fy+fz*fz) AS ln FROM ({EYES}) q), f AS (SELECT pose_id, ex, ey, ez, fx/ln AS fx, fy/ln AS fy, fz/ln AS fz FROM ps), r0 AS (SELECT *, -fz/sqrt(fz*fz+fx*fx) AS rx, 0e0 AS ry, fx/sqrt(fz*fz+fx*fx) AS rz FROM f), u0 AS (SELECT *, ry*fz-rz*fy AS ux, rz*fx-rx*fz AS uy, rx*fy-ry*fx AS uz FROM r0),
+px AS (SELECT *, ((c+5e-1)/8*2-1)*tan(radians(2e1))*8/6 AS a, (1-(w+5e-1)/6*2)*tan(radians(2e1)) AS b FROM u0, range(2,6) q(c), range(1,5) s(w)), d0 AS (SELECT *, fx+a*rx+b*ux AS vx, fy+a*ry+b*uy AS vy, fz+a*rz+b*uz AS vz FROM px),
+rays AS (SELECT struct_pack(p := pose_id, w := w, c := c) AS ray_id, ex AS ox, ey AS oy, ez AS oz, vx/sqrt(vx*vx+vy*vy+vz*vz) AS dx, vy/sqrt(vx*vx+vy*vy+vz*vz) AS dy, vz/sqrt(vx*vx+vy*vy+vz*vz) AS dz FROM d0),
+rt AS (SELECT r.*, t.tri_idx, x1,y1,z1, x2-x1 AS e1x, y2-y1 AS e1y, z2-z1 AS e1z, x3-x1 AS e2x, y3-y1 AS e2y, z3-z1 AS e2z FROM rays r JOIN tri t ON least(x1,x2,x3)<=ox+60 AND greatest(x1,x2,x3)>=ox-60 AND least(z1,z2,z3)<=oz+60 AND greatest(z1,z2,z3)>=oz-60),
+dt AS (SELECT *, dy*e2z-dz*e2y AS qpx, dz*e2x-dx*e2z AS qpy, dx*e2y-dy*e2x AS qpz, ox-x1 AS sx, oy-y1 AS sy, oz-z1 AS sz FROM rt), dd AS (SELECT *, e1x*qpx+e1y*qpy+e1z*qpz AS det, sy*e1z-sz*e1y AS qx, sz*e1x-sx*e1z AS qy, sx*e1y-sy*e1x AS qz FROM dt),
+hit AS (SELECT ray_id, tri_idx, (e2x*qx+e2y*qy+e2z*qz)/det AS dist, ox, oy, oz, dx, dy, dz FROM dd WHERE abs(det)>1e-10 AND (sx*qpx+sy*qpy+sz*qpz)/det>=0 AND (dx*qx+dy*qy+dz*qz)/det>=0 AND (sx*qpx+sy*qpy+sz*qpz)/det+(dx*qx+dy*qy+dz*qz)/det<=1 AND (e2x*qx+e2y*qy+e2z*qz)/det>0 AND (e2x*qx+e2y*qy+e2z*qz)/det<=80),
+hm AS (SELECT DISTINCT h.ray_id, h.tri_idx FROM hit h JOIN mask_cell m ON m.row_no=CAST(floor((oz+dz*dist)/8) AS BIGINT) AND m.col_no=CAST(floor((ox+dx*dist)/8) AS BIGINT) WHERE m.r>127 AND oy+dy*dist>=CASE WHEN m.a=255 THEN 5e0 ELSE greatest(5e0,CAST(m.a AS DOUBLE)) END AND oy+dy*dist<=2e1),
+v AS (SELECT ray_id, tri_idx, row_number() OVER (PARTITION BY ray_id ORDER BY dist, tri_idx) AS rn FROM hit WHERE (ray_id, tri_idx) NOT IN (SELECT (ray_id, tri_idx) FROM hm))
+SELECT component, count(*) AS hits, count(DISTINCT v.tri_idx) AS faces FROM v JOIN comp c ON c.tri_idx=v.tri_idx WHERE rn=1 GROUP BY 1""")
+def _(t):
+    return reports.viewport_audit(t.sql(EYES), t.tri, m.components(t.tri), t.mask_cell, 8.0, 5.0, 20.0, 80.0, 8, 6, 40.0, (2, 5), (1, 4))
+
+
 @query("k8_native_coverage", f"""WITH {CELLS}, cov AS (SELECT DISTINCT row_no*2+i AS row_no, col_no*2+j AS col_no FROM mask_cell, range(0,2) a(i), range(0,2) b(j) WHERE r>127)
 SELECT d.poly_id, count(*) AS cells, count(c.row_no) AS covered, CASE WHEN count(c.row_no)=0 THEN 'missing' WHEN count(c.row_no)>=95e-2*count(*) THEN 'complete' ELSE 'partial' END AS status FROM dcell d LEFT JOIN cov c ON c.row_no=d.row_no AND c.col_no=d.col_no GROUP BY 1""")
 def _(t):
@@ -142,6 +159,21 @@ def _(t):
     return audits.identity_audit(t.poly_edge, 4.0).withColumn("share", F.round("share", 9))
 
 
+#: two neighbouring polygons are fragments of one identity
+FRAGMENTS = "SELECT poly_id, concat('named:', CAST(floor(poly_id/2e0) AS BIGINT)) AS entity_id FROM domains"
+SPOTS = "SELECT concat('named:', CAST(floor(poly_id/2e0) AS BIGINT)) AS entity_id, cx+r*(poly_id%5)*3e-1 AS x, cz+r*1e-1 AS z FROM domains WHERE poly_id%2=0"
+
+
+@query("k13_identity_report", f"""WITH {CELLS}, fr AS ({FRAGMENTS}), lb AS ({SPOTS}), ic AS (SELECT entity_id, row_no, col_no, count(*) AS n FROM dcell d JOIN fr ON fr.poly_id=d.poly_id GROUP BY 1,2,3), sz AS (SELECT entity_id, count(*) AS n FROM ic GROUP BY 1),
+sp AS (SELECT struct_pack(e := entity_id, x := x, z := z) AS pt_id, x, z FROM lb), {rings_sql(points="sp")}, ins AS (SELECT pt_id, poly_id FROM rings GROUP BY pt_id, poly_id HAVING {FOLDS["include_outer"]}),
+sh AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n FROM ic a JOIN ic b ON a.row_no=b.row_no AND a.col_no=b.col_no AND a.entity_id<b.entity_id GROUP BY 1,2)
+SELECT 'label-outside' AS rule, sp.pt_id.e AS entity_id, CAST(NULL AS VARCHAR) AS other, CAST((SELECT count(*) FROM fr WHERE fr.entity_id=sp.pt_id.e) AS DOUBLE) AS value FROM sp WHERE NOT EXISTS (SELECT 1 FROM ins i JOIN fr ON fr.poly_id=i.poly_id WHERE i.pt_id=sp.pt_id AND fr.entity_id=sp.pt_id.e)
+UNION ALL SELECT 'fragments-overlap', entity_id, NULL, sum(n-1)*16e0 FROM ic GROUP BY 2 HAVING sum(n-1)>0
+UNION ALL SELECT 'identities-overlap', a, b, round(s.n/least(x.n,y.n)::DOUBLE,9) FROM sh s JOIN sz x ON x.entity_id=a JOIN sz y ON y.entity_id=b WHERE s.n/least(x.n,y.n)::DOUBLE>5e-3""")
+def _(t):
+    return reports.identity_report(t.poly_edge, t.sql(FRAGMENTS), t.sql(SPOTS), 4.0).withColumn("value", F.round("value", 9))
+
+
 @query("k14_inventory_gaps", "WITH g AS (SELECT p_partkey AS id FROM part WHERE p_partkey%37<>5 UNION ALL SELECT p_partkey+5000000 FROM part WHERE p_partkey%41=6), c AS (SELECT p_partkey AS id, CASE " + " ".join(f"WHEN {w} THEN '{c}'" for c, w in CLASSES) + """ ELSE 'unclassified' END AS class FROM part),
 f AS (SELECT id, class, id IN (SELECT l_partkey FROM lineitem WHERE l_quantity>45) AS pk, id IN (SELECT id FROM g) AS kn FROM c UNION ALL SELECT id, 'registry-only', FALSE, TRUE FROM g WHERE id NOT IN (SELECT id FROM c))
 SELECT class, count(*) AS entries, count(*) FILTER (pk) AS picked, count(*) FILTER (NOT pk) AS gap, count(*) FILTER (NOT kn) AS unregistered, min(id) FILTER (NOT pk) AS first_missing, least(count(*) FILTER (NOT pk), 20) AS shown FROM f GROUP BY 1""")
@@ -173,6 +205,21 @@ def _(t):
     return audits.seal_check(t.inv_a, t.inv_b)
 
 
+#: keys of the interface in each locale
+MESSAGES = "SELECT CASE p_partkey%3 WHEN 0 THEN 'en' WHEN 1 THEN 'zh-Hant' ELSE 'zh-Hans' END AS locale, concat('key', p_partkey%250) AS key FROM part WHERE p_partkey%17<>3"
+
+
+@query("k20_locale_report", f"""WITH nm AS (SELECT 'building:'||ent_no AS entity_id, q.* FROM ({NAMES}) q), ea AS (SELECT entity_id, name, alias, en, hant, hans, u.l AS locale, u.s AS shown FROM nm, LATERAL (SELECT unnest([struct_pack(l := 'en', s := en), struct_pack(l := 'zh-Hant', s := hant), struct_pack(l := 'zh-Hans', s := hans)]) AS u) x),
+nz AS (SELECT *, list_transform(list_filter([name,alias,en,hant,hans], lambda v: v IS NOT NULL), lambda v: trim(regexp_replace(lower(translate(v,'{text.TRADITIONAL}寳','{text.SIMPLIFIED}宝')),'\\s+',' ','g'))) AS ns, trim(regexp_replace(lower(translate(coalesce(shown,''),'{text.TRADITIONAL}寳','{text.SIMPLIFIED}宝')),'\\s+',' ','g')) AS wanted FROM ea),
+ms AS (SELECT DISTINCT locale, key FROM ({MESSAGES}) q)
+SELECT 'empty-name' AS rule, locale, entity_id AS key FROM ea WHERE trim(coalesce(shown,''))='' UNION ALL SELECT 'placeholder', locale, entity_id FROM ea WHERE regexp_matches(shown,'[{{}}]') UNION ALL SELECT 'han-in-english', locale, entity_id FROM ea WHERE locale='en' AND regexp_matches(shown,'[㐀-鿿]')
+UNION ALL SELECT 'no-han', locale, entity_id FROM ea WHERE locale<>'en' AND NOT regexp_matches(shown,'[㐀-鿿]') UNION ALL SELECT 'search-misses', locale, entity_id FROM nz WHERE wanted='' OR NOT list_contains(ns, wanted)
+UNION ALL SELECT 'shared-name', locale, shown FROM ea GROUP BY locale, shown HAVING count(DISTINCT entity_id)>1 UNION ALL SELECT 'key-missing', l, key FROM (SELECT DISTINCT key FROM ms) k, (VALUES ('en'),('zh-Hant'),('zh-Hans')) v(l) WHERE NOT EXISTS (SELECT 1 FROM ms WHERE ms.locale=l AND ms.key=k.key)""")
+def _(t):
+    names = t.named.select("entity_id", "name", F.array_compact(F.array("alias")).alias("aliases"))
+    return reports.locale_report(names, t.sql(MESSAGES))
+
+
 @query("k20_translation_coverage", f"SELECT count(*) AS entities, count(CASE WHEN en=name AND regexp_matches(name,'[㐀-鿿]') THEN 1 END) AS en_untranslated, count(CASE WHEN hans<>hant THEN 1 END) AS scripts_differ FROM ({NAMES}) q")
 def _(t):
     n = t.named.withColumn("aliases", F.array_compact(F.array("alias"))).select("name", *[text.display_name("name", "aliases", loc).alias(a) for a, loc in (("en", "en"), ("hant", "zh-Hant"), ("hans", "zh-Hans"))])

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landfold.functions.geometry import face_normal
-from landfold.operators import linkage, raster, summaries
+from landfold.functions.text import HAN, display_name, normalize_search, search_names
+from landfold.operators import linkage, mesh, raster, summaries
+from landfold.operators.frames import pixel_rays
+from landfold.operators.polygons import point_in_polygon
 from landfold.operators.scoring import bound_ids
 from landfold.plans.ordered import quantiles
 from landfold.session import cut_lineage
@@ -112,3 +115,67 @@ def terrain_report(tiles: DataFrame, cells: DataFrame, step: float, top: float,
     error = seen.agg(F.count("*").alias("points"), F.avg("off").alias("bias"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"), F.max("gap").alias("max_abs"))
     out = reduce(DataFrame.crossJoin, [*counts, error])  # one row each
     return out.join(quantiles(seen, [], "gap", [0.95], ["p95_abs"]), F.lit(True), "left")
+
+
+LOCALES = ("en", "zh-Hant", "zh-Hans")
+
+
+def locale_report(entities: DataFrame, messages: DataFrame) -> DataFrame:
+    """(rule, locale, key): what is not translated, cannot be told apart or cannot be searched for.
+
+    entities: entity_id, name, aliases; messages: locale, key. empty-name, placeholder, han-in-english and no-han: the name
+    shown in a locale; shared-name: one that several entities show (key: the name); search-misses: an entity of which a
+    shown name, normalised as a query, is not among its normalised search names or is empty; key-missing: a message key that another locale has.
+    """
+    shown = F.array(*[F.struct(F.lit(loc).alias("locale"), display_name("name", "aliases", loc).alias("shown")) for loc in LOCALES])
+    names = F.transform(search_names("name", "aliases"), normalize_search)
+    each = entities.select("entity_id", names.alias("names"), F.inline(shown))
+    s, han = F.coalesce("shown", F.lit("")), F.col("shown").rlike(HAN)
+    wanted = normalize_search(s)
+    wrong = F.array_compact(F.array(
+        F.when(F.trim(s) == "", "empty-name"), F.when(s.rlike("[{}]"), "placeholder"), F.when((F.col("locale") == "en") & han, "han-in-english"),
+        F.when((F.col("locale") != "en") & ~han, "no-han"), F.when((wanted == "") | ~F.array_contains("names", wanted), "search-misses")))
+    single = each.select(F.explode(wrong).alias("rule"), "locale", F.col("entity_id").alias("key"))
+    shared = each.groupBy("locale", "shown").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi")).where("lo <> hi").select(F.lit("shared-name").alias("rule"), "locale", F.col("shown").alias("key"))
+    have = messages.select("locale", "key").distinct()
+    want = have.select("key").distinct().withColumn("locale", F.explode(F.array(*[F.lit(x) for x in LOCALES])))
+    missing = want.join(have, ["locale", "key"], "left_anti").select(F.lit("key-missing").alias("rule"), "locale", "key")
+    return single.unionByName(shared).unionByName(missing)
+
+
+def identity_report(edges: DataFrame, identities: DataFrame, labels: DataFrame, step: float, overlap_limit: float = 0.005) -> DataFrame:
+    """(rule, entity_id, other, value): identities whose drawn fragments do not hold their label, lie on each other or overlap another identity.
+
+    identities: poly_id, entity_id (fragments of one identity); labels: entity_id, x, z. label-outside: a label that lies
+    in no fragment, with the number of fragments; fragments-overlap: square metres that several fragments of one identity
+    cover, counted beyond the first; identities-overlap: the shared part of the smaller one's union, above the limit.
+    Areas are of cell centres.
+    """
+    cells = cut_lineage(raster.cells_in_polygons(edges, step).join(identities, "poly_id").groupBy("entity_id", "row_no", "col_no").agg(F.count("*").alias("n")))
+    double = cells.groupBy("entity_id").agg(F.sum(F.col("n") - 1).alias("twice")).where("twice > 0").select(
+        F.lit("fragments-overlap").alias("rule"), "entity_id", F.lit(None).cast("string").alias("other"), (F.col("twice") * F.lit(step * step)).alias("value"))
+    a, b = (cells.select(F.col("entity_id").alias(f"{x}_id"), "row_no", "col_no") for x in "ab")
+    met = a.join(b, ["row_no", "col_no"]).where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
+    size = cells.groupBy("entity_id").agg(F.count("*").alias("cells"))
+    share = met.join(size.select(F.col("entity_id").alias("a_id"), F.col("cells").alias("na")), "a_id").join(size.select(F.col("entity_id").alias("b_id"), F.col("cells").alias("nb")), "b_id")
+    share = share.withColumn("value", F.col("shared") / F.least("na", "nb")).where(F.col("value") > overlap_limit)
+    cross = share.select(F.lit("identities-overlap").alias("rule"), F.col("a_id").alias("entity_id"), F.col("b_id").alias("other"), "value")
+    spots = labels.select(F.struct("entity_id", "x", "z").alias("pt_id"), "x", "z")
+    inside = point_in_polygon(spots, edges).join(identities, "poly_id").where("pt_id.entity_id = entity_id").select("pt_id").distinct().withColumn("held", F.lit(True))
+    fragments = identities.groupBy("entity_id").agg(F.count("*").cast("double").alias("value"))
+    loose = spots.join(inside, "pt_id", "left").where("held is null").select("pt_id.entity_id").join(fragments, "entity_id", "left")
+    outside = loose.select(F.lit("label-outside").alias("rule"), "entity_id", F.lit(None).cast("string").alias("other"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return outside.unionByName(double).unionByName(cross)
+
+
+def viewport_audit(poses: DataFrame, tri: DataFrame, comp: DataFrame, cells: DataFrame, size: float, floor: float, cap: float, reach: float, width: int, height: int, fov_degrees: float, cols: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
+    """(component, hits, faces): what the pixels of some views see first, once the hits that a mask holds are looked through.
+
+    poses: pose_id, ex..ez, fx..fz. Each pixel of the region is a ray from its view.
+    """
+    rays = pixel_rays(poses, width, height, fov_degrees, cols, rows).join(poses.select("pose_id", *[F.col(f"e{a}").alias(f"o{a}") for a in "xyz"]), "pose_id")
+    rays = rays.select(F.struct("pose_id", "row_no", "col_no").alias("ray_id"), *[f"{n}{a}" for n in "od" for a in "xyz"])
+    hits = cut_lineage(mesh.ray_hits(rays, tri, reach))
+    at = hits.select("ray_id", "tri_idx", "dist").join(rays, "ray_id").select(F.struct("ray_id", "tri_idx").alias("pt_id"), *[(F.col(f"o{a}") + F.col(f"d{a}") * F.col("dist")).alias(a) for a in "xyz"])
+    held = raster.mask_samples(at, cells, size).where(raster.mask_hit(floor=floor, cap=cap)).select("pt_id.*").distinct()
+    return mesh.hit_histogram(mesh.first_hit(hits.join(held, ["ray_id", "tri_idx"], "left_anti")), comp)
