@@ -21,10 +21,11 @@ def plain_collocations(rows, least=10, longest=3, top=2000, inside=50):
     """Everything by definition: rows are (text, lang)."""
     f, totals = defaultdict(Counter), Counter()
     for text, lang in rows:
+        lang = "und" if lang is None else lang
         for piece in words_of(text):
-            totals[lang or "und"] += len(piece)
+            totals[lang] += len(piece)
             for m in range(1, longest + 1):
-                f[lang or "und"].update(tuple(piece[i:i + m]) for i in range(len(piece) - m + 1))
+                f[lang].update(tuple(piece[i:i + m]) for i in range(len(piece) - m + 1))
     out = []
     for lang, c in f.items():
         frequent = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
