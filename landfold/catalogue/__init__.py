@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 MODULES = (
     "coordinates", "predicates", "spatial", "linkage", "raster", "summaries",
     "ordering", "selection", "sets", "scalars", "hierarchy", "mesh", "audits",
-    "telemetry", "exchange", "registry", "roads", "bodies",
+    "telemetry", "exchange", "registry", "roads", "bodies", "coverage",
 )
 
 
