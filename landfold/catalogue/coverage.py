@@ -59,8 +59,8 @@ taken AS (SELECT DISTINCT CAST(floor(n.leaf_id/6e0) AS BIGINT) AS owner_id, n.le
 def taken(t):
     corner = F.inline(F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"z{i}").alias("z")) for i in (1, 2, 3)]))
     owner = F.floor(F.col("tri_idx") / 6).cast("bigint")
-    leaves = cov.hull_edges(t.tri.select("tri_idx", corner), "tri_idx").withColumn("owner_id", F.floor(F.col("poly_id") / 6).cast("bigint"))
-    owners = cov.hull_edges(t.tri.select(owner.alias("owner_id"), corner), "owner_id")
+    leaves = cov.hull_edges(t.tri.select("tri_idx", corner), "tri_idx", parts=1).withColumn("owner_id", F.floor(F.col("poly_id") / 6).cast("bigint"))
+    owners = cov.hull_edges(t.tri.select(owner.alias("owner_id"), corner), "owner_id", parts=1)
     targets = t.poly_edge.withColumn("entity_id", F.when(F.col("poly_id") % 10 != 3, F.concat(F.lit("building:"), "poly_id")))
     return cov.acquisition_leaves(owners, leaves, targets, t.sql(OFFER), t.sql(OUT))
 

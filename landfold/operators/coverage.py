@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from landfold.functions.codecs import pct, ratio
 from landfold.functions.geometry import face_normal, normalise
 from landfold.operators import audits, mesh, polygons, raster
-from landfold.operators.frames import convex_hull
+from landfold.operators.frames import HULL_PARTS, convex_hull
 from landfold.operators.scoring import triage
 from landfold.plans.gridjoin import points_in_boxes
 from landfold.session import cut_lineage
@@ -26,9 +26,12 @@ def box_edges(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.select(F.col(key).alias("poly_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.inline(F.array(*sides)))
 
 
-def hull_edges(points: DataFrame, key: str) -> DataFrame:
-    """The hulls of each key's points (key, x, z) as polygons, written once; keys whose points lie on a line have none."""
-    hull = cut_lineage(convex_hull(points, key))
+def hull_edges(points: DataFrame, key: str, parts: int = HULL_PARTS) -> DataFrame:
+    """The hulls of each key's points (key, x, z) as polygons, written once; keys whose points lie on a line have none.
+
+    parts: as for convex_hull(); one is enough for the corners of a single volume.
+    """
+    hull = cut_lineage(convex_hull(points, key, parts))
     n = hull.groupBy(key).agg(F.count("*").alias("n")).where("n > 2")
     a = hull.join(n, key).select(key, "seq", F.col("x").alias("x1"), F.col("z").alias("z1"), ((F.col("seq") + 1) % F.col("n")).alias("next"))
     b = hull.select(key, F.col("seq").alias("next"), F.col("x").alias("x2"), F.col("z").alias("z2"))
