@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.functions.geometry import barycentric_xz, cell_of, col, crosses_ray, face_normal, normalise
 from landfold.operators.polygons import BAND, EDGE, SLAB, _slab, point_in_polygon, ring_boxes, slab_edges
+from landfold.plans.gridjoin import spread
 from landfold.plans.ordered import quantiles, running
 
 
@@ -241,13 +242,13 @@ def cells_in_polygons(edges: DataFrame, step: float, block: int = 64) -> DataFra
 def coverage(domain_cells: DataFrame, covered: DataFrame) -> DataFrame:
     """Share of each domain's cells that each covering level has. covered: level, row_no, col_no."""
     size = domain_cells.groupBy("poly_id").agg(F.count("*").alias("cells"))
-    hit = domain_cells.join(covered.distinct(), ["row_no", "col_no"]).groupBy("poly_id", "level").agg(F.count("*").alias("covered"))
+    hit = domain_cells.join(spread(covered.distinct()), ["row_no", "col_no"]).groupBy("poly_id", "level").agg(F.count("*").alias("covered"))
     return hit.join(size, "poly_id").withColumn("ratio", F.col("covered") / F.col("cells"))
 
 
 def overlap_match(a_cells: DataFrame, b_cells: DataFrame, least: float = 0.1) -> DataFrame:
     """(a_id, b_id) sharing cells, with the share of each side; kept from the least share of either."""
-    shared = a_cells.join(b_cells, ["row_no", "col_no"]).groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
+    shared = a_cells.join(spread(b_cells), ["row_no", "col_no"]).groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
     na = a_cells.groupBy("a_id").agg(F.count("*").alias("na"))
     nb = b_cells.groupBy("b_id").agg(F.count("*").alias("nb"))
     out = shared.join(na, "a_id").join(nb, "b_id").withColumns({"ratio_a": F.col("shared") / F.col("na"), "ratio_b": F.col("shared") / F.col("nb")})

@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 BOX = ("bx0", "bz0", "bx1", "bz1")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A side of a join that Spark must not broadcast.
+
+    Its rows were multiplied by an explode, or unpacked from keys that take hardly any room in a file, and Spark
+    estimates it by what it was made from: it would send the driver many times the broadcast threshold.
+    """
+    return df.hint("merge")
+
+
 def _level(extent: Column, base: float) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(base)) / F.lit(base))).cast("int"))
 
@@ -55,7 +64,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, base: float = 32.0, x:
         "gz", F.floor(F.col(z) / size).cast("bigint")
     )
     inside = F.col(x).between(F.col(box[0]), F.col(box[2])) & F.col(z).between(F.col(box[1]), F.col(box[3]))
-    return probe.join(boxes, ["lvl", "gx", "gz"]).where(inside).drop("lvl", "gx", "gz")
+    return probe.join(spread(boxes), ["lvl", "gx", "gz"]).where(inside).drop("lvl", "gx", "gz")
 
 
 def box_pairs(a: DataFrame, b: DataFrame, base: float = 32.0, box_a=("ax0", "az0", "ax1", "az1"), box_b=BOX) -> DataFrame:
@@ -85,7 +94,7 @@ def box_pairs(a: DataFrame, b: DataFrame, base: float = 32.0, box_a=("ax0", "az0
         & (F.col(box_a[1]) <= F.col(box_b[3])) & (F.col(box_b[1]) <= F.col(box_a[3]))
     )
     halves = [
-        own(a, box_a).join(coarser(b, box_b, strict=False), ["lvl", "gx", "gz"]),
-        coarser(a, box_a, strict=True).join(own(b, box_b), ["lvl", "gx", "gz"]),
+        own(a, box_a).join(spread(coarser(b, box_b, strict=False)), ["lvl", "gx", "gz"]),
+        coarser(a, box_a, strict=True).join(spread(own(b, box_b)), ["lvl", "gx", "gz"]),
     ]
     return reduce(DataFrame.unionByName, [h.where(overlap & corner).drop("lvl", "gx", "gz") for h in halves])
