@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landfold.functions.text import safe_path, valid_sha256
+from landfold.plans.ordered import running
 from landfold.session import checkpoint_dir
 from landfold.streaming import state
 
@@ -37,17 +38,18 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return e.withColumns({"key": F.col("user_id"), "at": F.unix_micros("ts")})
 
 
-RANK_ERROR = 10_000
-
-
 def latency_windows(spark: SparkSession, folder: str, width: str = "1 hour") -> DataFrame:
-    """Windows the watermark has closed; later rows are dropped.
+    """Windows the watermark has closed, with exact p50 and p95, values of the window; later rows are dropped.
 
-    p50 and p95 are values of the window whose rank is off by a RANK_ERROR-th of its rows at most: exact up to that many rows.
+    The stream counts the distinct values of a window, so that no window is gathered; their ranks are read off once it is closed.
     """
-    w = events(spark, folder).groupBy(F.window("ts", width).alias("w")).agg(
-        F.count("*").alias("n"), F.max("value").alias("max"), F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95)), RANK_ERROR).alias("q"))
-    return run_to_end(w.select(F.col("w.start").alias("start"), "n", "max", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95")))
+    counted = events(spark, folder).groupBy(F.window("ts", width).alias("w"), "value").agg(F.count("*").alias("rows"))
+    closed = run_to_end(counted.select(F.col("w.start").alias("start"), "value", "rows"))
+    ranked = running(closed.where("value is not null"), ["start"], ["value"], {"upto": ("sum", "rows")})
+    total = closed.groupBy("start").agg(F.sum("rows").alias("n"), F.max("value").alias("max"), F.sum(F.when(F.col("value").isNotNull(), F.col("rows"))).alias("known"))
+    rank = {n: F.greatest(F.lit(1), F.col("known") - F.floor(F.col("known") - F.col("known") * F.lit(p))) for n, p in (("p50", 0.5), ("p95", 0.95))}
+    picked = ranked.select("start", "value", "upto").join(total, "start").groupBy("start").agg(*[F.min(F.when(F.col("upto") >= r, F.col("value"))).alias(n) for n, r in rank.items()])
+    return total.join(picked, "start", "left").select("start", "n", "max", "p50", "p95")
 
 
 def presence(spark: SparkSession, folder: str, grace: str, minimum: str) -> DataFrame:
