@@ -9,6 +9,8 @@ others. A round decides many groups at once and decides them exactly:
   is left is skipped for good;
 * all candidates before the first that does not fit are taken, since for them
   the assumption holds;
+* with shared items, nothing changes before the next group that fits at its price of now: all before it are skipped
+  for good, and without slots all whose items are owned are taken at once, so rounds are at most the items bought;
 * that first misfit is settled too: its exact price and what is left at its turn
   are known. It is skipped, or taken at its fallback price if it has one that fits.
 
@@ -74,9 +76,17 @@ def greedy_budget(groups: DataFrame, budgets: DataFrame, items: DataFrame | None
         if items is None:
             priced = todo.withColumn("low", F.coalesce(F.least("cost", "fallback"), "cost"))
         else:
-            open_items = items.join(todo.select("scenario", "group_id", "ord"), ["scenario", "group_id"])
-            if owned is not None:
-                open_items = open_items.join(owned, ["scenario", "item_id"], "left_anti")
+            needed = items if owned is None else items.join(owned, ["scenario", "item_id"], "left_anti")
+            now = needed.groupBy("scenario", "group_id").agg(F.sum("size").alias("now"))
+            now = todo.join(now, ["scenario", "group_id"], "left").withColumn("now", F.coalesce("now", F.lit(0)))
+            now = cut_lineage(now.join(left.select("scenario", "remaining"), "scenario"))
+            pays = F.coalesce(F.col("now") <= F.col("remaining"), F.lit(True))
+            if slots is None:
+                taken.append(now.where((F.col("now") == 0) & pays).select("scenario", "group_id", F.col("now").alias("paid")))
+                now = now.where((F.col("now") != 0) | ~pays)
+            start = now.where(pays).groupBy("scenario").agg(F.min(F.struct("ord", "group_id")).alias("start"))
+            todo = cut_lineage(now.join(start, "scenario").where(F.struct("ord", "group_id") >= F.col("start")).select(*todo.columns), replaces=todo)
+            open_items = needed.join(todo.select("scenario", "group_id", "ord"), ["scenario", "group_id"])
             payer = open_items.groupBy("scenario", "item_id").agg(F.min_by("group_id", F.struct("ord", "group_id")).alias("group_id"), F.max("size").alias("size"))
             price = payer.groupBy("scenario", "group_id").agg(F.sum("size").alias("cost"))
             priced = todo.drop("cost").join(price, ["scenario", "group_id"], "left").withColumn("cost", F.coalesce("cost", F.lit(0)))
