@@ -16,7 +16,8 @@ def broadcast_keys(df) -> set[str]:
 
 
 @pytest.mark.parametrize(("name", "key"), [
-    ("d10_overlap_match", "row_no"),
+    ("name", "key"),
+    ("e29_hit_histogram", "lvl"),
 ])
 def test_multiplied_sides_are_not_broadcast(spark, name, key):
     assert key not in broadcast_keys(catalogue.spark_queries()[name](spark, DATA))
