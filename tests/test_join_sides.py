@@ -19,6 +19,7 @@ def broadcast_keys(df) -> set[str]:
     ("name", "key"),
     ("e29_hit_histogram", "lvl"),
     ("f2_first_hits", "lvl"),
+    ("k13_identity_audit", "row_no"),
 ])
 def test_multiplied_sides_are_not_broadcast(spark, name, key):
     assert key not in broadcast_keys(catalogue.spark_queries()[name](spark, DATA))
