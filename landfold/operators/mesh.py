@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.functions.geometry import corners, cross, dot, face_area, face_normal, normalise, quantise, sub
 from landfold.plans.components import connected
-from landfold.plans.gridjoin import box_pairs
+from landfold.plans.gridjoin import box_pairs, spread
 from landfold.plans.ordered import quantiles
 
 VERTEX = ["qx", "qy", "qz"]
@@ -24,7 +24,7 @@ def components(tri: DataFrame, step: float = 1e-5, scope: list[str] | None = Non
     keys = [*VERTEX, *(scope or [])]
     v = face_vertices(tri, step).select("tri_idx", *keys)
     hub = v.groupBy(*keys).agg(F.min("tri_idx").alias("hub"))
-    edges = v.join(hub, keys).select(F.col("tri_idx").alias("u"), F.col("hub").alias("v"))
+    edges = v.join(spread(hub), keys).select(F.col("tri_idx").alias("u"), F.col("hub").alias("v"))
     out = connected(tri.select(F.col("tri_idx").alias("id")), edges)
     return out.withColumnRenamed("id", "tri_idx")
 
@@ -43,7 +43,7 @@ def closure(tri: DataFrame, comp: DataFrame, seeds: DataFrame, step: float = 1e-
 
 def component_stats(tri: DataFrame, comp: DataFrame, ground: DataFrame) -> DataFrame:
     """Faces, area, spans and the distribution of the centroid's gap to the ground. ground: tri_idx, ground."""
-    t = tri.join(comp, "tri_idx").withColumn("area", face_area())
+    t = spread(tri).join(comp, "tri_idx").withColumn("area", face_area())
     lo = {a: F.least(*[F.col(f"{a}{i}") for i in (1, 2, 3)]) for a in "xyz"}
     hi = {a: F.greatest(*[F.col(f"{a}{i}") for i in (1, 2, 3)]) for a in "xyz"}
     flat = t.groupBy("component").agg(

@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from landfold.plans.gridjoin import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -131,6 +133,8 @@ _VIEWS: dict[str, str] = {
         FROM supplier""",
 }
 VIEW_ORDER = tuple(_VIEWS)
+#: many rows from few bytes of a file: by the estimate they would be broadcast
+UNPACKED = ("poly_edge", "tri_base", "tri", "road_seg")
 
 
 def duck_view(name: str) -> str:
@@ -154,7 +158,8 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         if name not in self._ready:
             if name in _VIEWS:
-                self._ready[name] = self.sql(spark_view(name))
+                view = self.sql(spark_view(name))
+                self._ready[name] = spread(view) if name in UNPACKED else view
             else:
                 self._ready[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._ready[name]
