@@ -9,7 +9,7 @@ from landfold.functions.geometry import barycentric_xz
 from landfold.operators.polygons import point_in_polygon
 from landfold.operators.raster import triangles_to_cells
 from landfold.plans.components import connected
-from landfold.plans.gridjoin import box_pairs, points_in_boxes
+from landfold.plans.gridjoin import box_pairs, points_in_boxes, spread
 from landfold.plans.ordered import quantiles
 from landfold.session import cut_lineage
 
@@ -90,10 +90,10 @@ def nearest_cells(points: DataFrame, cells: DataFrame, key: str) -> DataFrame:
         p = todo.select(key, "row_no", "col_no", near.alias("n"), *[b.alias(n) for b, n in zip(block, ("r", "c"))]).select(key, "row_no", "col_no", (F.col("r") + F.col("n.a")).alias("r"), (F.col("c") + F.col("n.b")).alias("c"))
         q = cells.select(key, F.col("row_no").alias("to_row"), F.col("col_no").alias("to_col"), *[b.alias(n) for b, n in zip(block, ("r", "c"))])
         dr, dc = F.col("row_no") - F.col("to_row"), F.col("col_no") - F.col("to_col")
-        met = p.join(q, [key, "r", "c"]).groupBy(key, "row_no", "col_no").agg(F.min(dr * dr + dc * dc).alias("d2"))
+        met = p.join(spread(q), [key, "r", "c"]).groupBy(key, "row_no", "col_no").agg(F.min(dr * dr + dc * dc).alias("d2"))
         done = cut_lineage(met.where(F.col("d2") <= reach * reach))
         found = done if found is None else found.unionByName(done)
-        todo = cut_lineage(todo.join(done.select(key, "row_no", "col_no"), [key, "row_no", "col_no"], "left_anti"), replaces=todo)
+        todo = cut_lineage(todo.join(spread(done.select(key, "row_no", "col_no")), [key, "row_no", "col_no"], "left_anti"), replaces=todo)
         reach *= 2
     return found if found is not None else todo.withColumn("d2", F.lit(None).cast("bigint"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from landfold.functions.geometry import (
     crosses_ray, seg_dist_sq, seg_intersects, seg_seg_dist_sq,
 )
-from landfold.plans.gridjoin import box_pairs, points_in_boxes
+from landfold.plans.gridjoin import box_pairs, points_in_boxes, spread
 
 SLAB = 16.0
 STRICT_EPS = 1e-7
@@ -61,7 +61,7 @@ def ring_facts(points: DataFrame, edges: DataFrame, pad: float = BAND, pt: str =
     else:
         cand = points_in_boxes(points, boxes.join(attributes, "poly_id")).where(keep)
     cand = cand.select(pt, "x", "z", "poly_id", "part").withColumn("slab", _slab(F.col("z"), SLAB))
-    pairs = cand.join(slab_edges(edges, pad), ["poly_id", "part", "slab"])
+    pairs = cand.join(spread(slab_edges(edges, pad)), ["poly_id", "part", "slab"])
     px, pz = F.col("x"), F.col("z")
     return pairs.groupBy(pt, "poly_id", "part", "ring").agg(
         (F.sum(crosses_ray(px, pz, *EDGE).cast("int")) % 2 == 1).alias("odd"),

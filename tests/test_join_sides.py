@@ -5,6 +5,7 @@ import re
 import pytest
 
 from landfold import catalogue
+from landfold.operators import bodies
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,3 +26,13 @@ def broadcast_keys(df) -> set[str]:
 ])
 def test_multiplied_sides_are_not_broadcast(spark, name, key):
     assert key not in broadcast_keys(catalogue.spark_queries()[name](spark, DATA))
+
+
+def test_cells_of_a_pair_are_not_broadcast(spark, monkeypatch):
+    met = set()
+    monkeypatch.setattr(bodies, "cut_lineage", lambda df, cut=bodies.cut_lineage, **kw: met.update(broadcast_keys(df)) or cut(df, **kw))
+    cells = spark.range(4).selectExpr("'p' AS pair", "id * 5 AS row_no", "id AS col_no")
+    points = spark.range(4).selectExpr("'p' AS pair", "id * 5 + 2 AS row_no", "id AS col_no")
+    got = sorted(tuple(r) for r in bodies.nearest_cells(points, cells, "pair").select("row_no", "d2").collect())
+    assert got == [(2, 4), (7, 4), (12, 4), (17, 4)]
+    assert not [k for k in met if k in ("r", "c", "row_no")] and len([k for k in met if k == "pair"]) <= 1
