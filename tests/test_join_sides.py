@@ -24,6 +24,7 @@ def broadcast_keys(df) -> set[str]:
     ("k5_floater_audit", "tri_idx"),
     ("t9_line_view_score", "lvl"),
     ("d8_ray_hits", "lvl"),
+    ("e11_coverage", "row_no"),
 ])
 def test_multiplied_sides_are_not_broadcast(spark, name, key):
     assert key not in broadcast_keys(catalogue.spark_queries()[name](spark, DATA))
