@@ -25,6 +25,7 @@ def broadcast_keys(df) -> set[str]:
     ("t9_line_view_score", "lvl"),
     ("d8_ray_hits", "lvl"),
     ("e11_coverage", "row_no"),
+    ("f3_before_blocker", "lvl"),
 ])
 def test_multiplied_sides_are_not_broadcast(spark, name, key):
     assert key not in broadcast_keys(catalogue.spark_queries()[name](spark, DATA))
