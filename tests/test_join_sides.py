@@ -27,6 +27,7 @@ def broadcast_keys(df) -> set[str]:
     ("e11_coverage", "row_no"),
     ("f3_before_blocker", "lvl"),
     ("f4_specific_hit", "lvl"),
+    ("k7_viewport_audit", "lvl"),
 ])
 def test_multiplied_sides_are_not_broadcast(spark, name, key):
     assert key not in broadcast_keys(catalogue.spark_queries()[name](spark, DATA))
