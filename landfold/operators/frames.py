@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landfold.functions import geodesy
 from landfold.functions.geometry import apply_matrix, cross, multiply_matrix, normalise
 from landfold.plans.levels import descend
+from landfold.session import cut_lineage
 
 
 def compose_transforms(nodes: DataFrame) -> DataFrame:
@@ -80,15 +81,15 @@ def obb_aabb(boxes: DataFrame, key: str) -> DataFrame:
     )
 
 
-HULL_PARTS = 64
+HULL_PARTS, HULL_FEW = 64, 4096
 
 
 def convex_hull(points: DataFrame, key: str, parts: int = HULL_PARTS) -> DataFrame:
     """Vertices of the hull of each key's points, counter-clockwise, as (key, seq, x, z).
 
     Of the points with one x only the lowest and highest z can be vertices, and the other
-    way round: two combinable aggregates drop the rest. Every key is cut into parts by hash,
-    each part keeps its own hull, and only those meet.
+    way round: two combinable aggregates drop the rest. A key with more than HULL_FEW points left
+    is cut into parts by hash, each part keeps its own hull, and only those meet.
     """
     import pandas as pd
 
@@ -116,14 +117,18 @@ def convex_hull(points: DataFrame, key: str, parts: int = HULL_PARTS) -> DataFra
 
     schema = f"{key} {dict(points.dtypes)[key]}, seq long, x double, z double"
     slim = extremes(extremes(points, "x", "z"), "z", "x").select(key, "x", "z")
-    halfway = slim.withColumn("part", F.pmod(F.xxhash64("x", "z"), F.lit(parts))).groupBy(key, "part").applyInPandas(finish, schema)
+    slim = cut_lineage(slim)
+    crowded = slim.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HULL_FEW).select(key)
+    few, many = slim.join(crowded, key, "left_anti"), slim.join(crowded, key, "left_semi")
+    halfway = many.withColumn("part", F.pmod(F.xxhash64("x", "z"), F.lit(parts))).groupBy(key, "part").applyInPandas(finish, schema)
     # An explicit number of partitions keeps AQE from folding small groups into one Python worker.
     spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return halfway.select(key, "x", "z").repartition(spread, key).groupBy(key).applyInPandas(finish, schema)
+    return few.unionByName(halfway.select(key, "x", "z")).repartition(spread, key).groupBy(key).applyInPandas(finish, schema)
 
 
 def hull_area(hull: DataFrame, key: str) -> DataFrame:
     """Vertex count and area of each hull by the shoelace sum over successive vertices."""
+    hull = cut_lineage(hull)
     sizes = hull.groupBy(key).agg(F.count("*").alias("vertices"))
     a = hull.join(sizes, key)
     b = hull.select(key, F.col("seq").alias("next"), F.col("x").alias("nx"), F.col("z").alias("nz"))
