@@ -84,9 +84,18 @@ def seen_pieces(poses: DataFrame, pieces: DataFrame, height: float, aspect: floa
                       *[between(f"a{c}", f"b{c}", e).alias(f"{n}{c}") for n, e in (("s", "enter"), ("t", "leave")) for c in "xz"])
 
 
+def _exact_sum(column: str) -> Column:
+    """The sum of a column of moderate numbers, whatever the order of its rows; NaN if one of them is."""
+    whole = F.sum(F.when(~F.isnan(column), F.col(column)).cast("decimal(28,18)")).cast("double")
+    return F.when(F.max(F.isnan(column)), F.lit(float("nan"))).otherwise(whole)
+
+
 def line_view_score(seen: DataFrame, min_pixels: float = 24.0) -> DataFrame:
-    """(pose_id, line_id, score, pixels, distance) of the lines of which enough is seen, from seen_pieces()."""
-    return seen.groupBy("pose_id", "line_id").agg(F.sum("score").alias("score"), F.sum("pixels").alias("pixels"), F.min("distance").alias("distance")).where(F.col("pixels") >= min_pixels)
+    """(pose_id, line_id, score, pixels, distance) of the lines of which enough is seen, from seen_pieces().
+
+    Sums do not depend on the order of pieces, so lines that look the same tie, and ranks go by line_id.
+    """
+    return seen.groupBy("pose_id", "line_id").agg(_exact_sum("score").alias("score"), _exact_sum("pixels").alias("pixels"), F.min("distance").alias("distance")).where(F.col("pixels") >= min_pixels)
 
 
 def seen_partitions(seen: DataFrame, parts: DataFrame) -> DataFrame:

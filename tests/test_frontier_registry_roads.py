@@ -169,3 +169,10 @@ def test_a_road_behind_the_camera_is_not_seen(spark):
     assert at(20.0) == []
     (ahead,) = at(-20.0)
     assert ahead.pixels == pytest.approx(10 / 20 / math.tan(math.radians(21)) * 450) and ahead.distance == pytest.approx(20.0)
+
+
+def test_lines_that_look_the_same_tie_in_any_order_of_pieces(spark):
+    rows = [(1, line, v, 100 * v, 5.0) for line, parts in ((7, (0.1, 0.2, 0.3)), (8, (0.3, 0.2, 0.1))) for v in parts]
+    seen = spark.createDataFrame(rows, "pose_id long, line_id long, score double, pixels double, distance double").coalesce(1)
+    scores = {r.line_id: (r.score, r.pixels) for r in roads.line_view_score(seen).collect()}
+    assert scores == {7: (0.6, 60.0), 8: (0.6, 60.0)}
