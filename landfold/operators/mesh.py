@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.functions.geometry import corners, cross, dot, face_area, face_normal, normalise, quantise, sub
 from landfold.plans.components import connected
-from landfold.plans.gridjoin import box_pairs, spread
+from landfold.plans.gridjoin import box_pairs, held, spread
 from landfold.plans.ordered import quantiles
 
 VERTEX = ["qx", "qy", "qz"]
@@ -144,15 +144,18 @@ def ray_hits(rays: DataFrame, tri: DataFrame, reach: float, piece: float = 16.0)
     ends = {a: (F.col(f"o{a}") + F.col(f"d{a}") * F.col("t0"), F.col(f"o{a}") + F.col(f"d{a}") * F.col("t1")) for a in "xz"}
     r = r.withColumns({"ax0": F.least(*ends["x"]), "ax1": F.greatest(*ends["x"]), "az0": F.least(*ends["z"]), "az1": F.greatest(*ends["z"])})
     b = tri.withColumns({f"b{a}{k}": f(*[F.col(f"{a}{i}") for i in (1, 2, 3)]) for a in "xz" for k, f in ((0, F.least), (1, F.greatest))})
-    p = box_pairs(r, b, base=16.0)
+    top, low = F.greatest("y1", "y2", "y3"), F.least("y1", "y2", "y3")
+    start, stop = F.col("oy") + F.col("dy") * F.col("t0"), F.col("oy") + F.col("dy") * F.col("t1")
+    # A metre to spare: heights only save work, the arithmetic below decides.
+    p = box_pairs(r, b, base=16.0).where((F.least(start, stop) <= top + 1) & (F.greatest(start, stop) >= low - 1))
     v0, v1, v2 = corners()
     o, d = tuple(F.col(f"o{a}") for a in "xyz"), tuple(F.col(f"d{a}") for a in "xyz")
     e1, e2 = sub(v1, v0), sub(v2, v0)
-    p = p.withColumns(dict(zip(("px", "py", "pz"), cross(d, e2)))).withColumns(dict(zip(("sx", "sy", "sz"), sub(o, v0))))
+    p = held(p, dict(zip(("px", "py", "pz", "sx", "sy", "sz"), (*cross(d, e2), *sub(o, v0)))))
     pv, s = tuple(F.col(f"p{a}") for a in "xyz"), tuple(F.col(f"s{a}") for a in "xyz")
-    p = p.withColumn("det", dot(e1, pv)).where(F.abs("det") > 1e-10).withColumns(dict(zip(("hx", "hy", "hz"), cross(s, e1))))
+    p = held(p, dict(zip(("det", "hx", "hy", "hz"), (dot(e1, pv), *cross(s, e1))))).where(F.abs("det") > 1e-10)
     q = tuple(F.col(f"h{a}") for a in "xyz")
-    p = p.withColumns({"u": dot(s, pv) / F.col("det"), "v": dot(d, q) / F.col("det"), "dist": dot(e2, q) / F.col("det")})
+    p = held(p, {"u": dot(s, pv) / F.col("det"), "v": dot(d, q) / F.col("det"), "dist": dot(e2, q) / F.col("det")})
     ok = (F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") + F.col("v") <= 1) & (F.col("dist") > 0)
     mine = (F.col("dist") >= F.col("t0")) & ((F.col("dist") < F.col("t1")) | ((F.col("i") == n - 1) & (F.col("dist") <= F.col("t1"))))
     return p.where(ok & mine).select("ray_id", "tile_id", "tri_idx", "dist")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landfold.operators.raster import sample_dem
-from landfold.plans.gridjoin import box_pairs
+from landfold.plans.gridjoin import box_pairs, held
 from landfold.session import cut_lineage
 
 CLIP = ("x", "y", "z", "w")
@@ -32,11 +32,6 @@ def ground_steps(segments: DataFrame, dem: DataFrame, dem_step: float, rows: int
     return pairs.where("both = 2").drop("both")
 
 
-def _held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with columns that are computed once per row: filters on them are not moved below, where they would repeat them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _clip(col: str, half: float, aspect: float, near: float, far: float) -> dict[str, Column]:
     """Homogeneous clip coordinates of an end of a piece in its view; looking along f, without an offset of the view's centre."""
     d = {a: F.col(f"{col}{a}") - F.col(f"e{a}") for a in "xyz"}
@@ -56,7 +51,7 @@ def seen_pieces(poses: DataFrame, pieces: DataFrame, height: float, aspect: floa
     spans = pieces.select("*", *[f(f"a{a}", f"b{a}").alias(f"b{a}{i}") for a in "xz" for i, f in ((0, F.least), (1, F.greatest))])
     met = box_pairs(views, spans, base=64.0)
     a, b = (_clip(end, half, aspect, near, far) for end in "ab")
-    met = _held(met, {f"{end}_{c}": v for end, p in (("p", a), ("q", b)) for c, v in p.items()})
+    met = held(met, {f"{end}_{c}": v for end, p in (("p", a), ("q", b)) for c, v in p.items()})
     planes = [(F.col(f"p_w") + s * F.col(f"p_{c}"), F.col(f"q_w") + s * F.col(f"q_{c}")) for c in "xyz" for s in (1, -1)]
     outside = F.lit(False)
     for p, q in planes:
@@ -64,12 +59,12 @@ def seen_pieces(poses: DataFrame, pieces: DataFrame, height: float, aspect: floa
     met = met.where(~outside)
     enter = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when((p < 0) & (q >= 0), p / (p - q)) for p, q in planes])
     leave = F.least(F.lit(1.0), F.lit(1.0), *[F.when((p >= 0) & (q < 0), p / (p - q)) for p, q in planes])
-    met = _held(met, {"enter": enter, "leave": leave}).where("enter <= leave")
+    met = held(met, {"enter": enter, "leave": leave}).where("enter <= leave")
 
     def between(x, y, t):
         return F.col(x) + (F.col(y) - F.col(x)) * F.col(t)
 
-    met = _held(met, {f"{n}_{c}": between(f"p_{c}", f"q_{c}", t) for n, t in (("s", "enter"), ("t", "leave")) for c in "xyw"}).where("s_w > 0 and t_w > 0")
+    met = held(met, {f"{n}_{c}": between(f"p_{c}", f"q_{c}", t) for n, t in (("s", "enter"), ("t", "leave")) for c in "xyw"}).where("s_w > 0 and t_w > 0")
     sx, sy, tx, ty = (F.col(f"{n}_{c}") / F.col(f"{n}_w") for n in "st" for c in "xy")
     across, down = (tx - sx) * (height * aspect / 2), (ty - sy) * (height / 2)
     cx, cy = (sx + tx) / 2, (sy + ty) / 2
@@ -78,7 +73,7 @@ def seen_pieces(poses: DataFrame, pieces: DataFrame, height: float, aspect: floa
     t = F.coalesce(sum(((F.col(f"e{c}") - F.col(f"a{c}")) * d[c] for c in "xyz"), F.lit(0.0)) / F.nullif(size, F.lit(0.0)), F.lit(0.0))
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
     gap = [F.col(f"a{c}") + d[c] * t - F.col(f"e{c}") for c in "xyz"]
-    met = _held(met, {"pixels": F.sqrt(across * across + down * down), "distance": F.sqrt(sum((v * v for v in gap), F.lit(0.0)))})
+    met = held(met, {"pixels": F.sqrt(across * across + down * down), "distance": F.sqrt(sum((v * v for v in gap), F.lit(0.0)))})
     central = F.lit(0.12) + F.lit(0.88) * F.exp(F.lit(-3.5) * (cx * cx + cy * cy))
     return met.select("pose_id", "line_id", "seq", "idx", "pixels", "distance", (F.col("pixels") * central / (F.lit(1.0) + F.col("distance") / 800)).alias("score"),
                       *[between(f"a{c}", f"b{c}", e).alias(f"{n}{c}") for n, e in (("s", "enter"), ("t", "leave")) for c in "xz"])

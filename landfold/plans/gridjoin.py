@@ -25,6 +25,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once per row: filters on them are not moved below, where they would repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _level(extent: Column, base: float) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(base)) / F.lit(base))).cast("int"))
 

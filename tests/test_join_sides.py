@@ -41,3 +41,8 @@ def test_cells_of_a_pair_are_not_broadcast(spark, monkeypatch):
     got = sorted(tuple(r) for r in bodies.nearest_cells(points, cells, "pair").select("row_no", "d2").collect())
     assert got == [(2, 4), (7, 4), (12, 4), (17, 4)]
     assert not [k for k in met if k in ("r", "c", "row_no")] and len([k for k in met if k == "pair"]) <= 1
+
+
+def test_arithmetic_of_rays_is_not_repeated_in_filters(spark):
+    plan = catalogue.spark_queries()["d8_ray_hits"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("*") for line in plan.splitlines() if "Filter" in line or "Join" in line) < 40
