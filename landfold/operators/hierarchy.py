@@ -85,22 +85,32 @@ def describe_paths(entities: DataFrame) -> DataFrame:
 
 
 def hierarchy_violations(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Dangling parents, parent cycles, duplicate ids, relations without an end."""
-    ids = entities.select("entity_id").distinct()
-    dangling = entities.where("parent_id is not null").join(ids.withColumnRenamed("entity_id", "parent_id"), "parent_id", "left_anti")
-    twice = entities.groupBy("entity_id").count().where("count > 1")
-    # Entities not reached from any root hang off a cycle.
-    loose = entities.join(ids.withColumnRenamed("entity_id", "parent_id"), "parent_id", "left_anti").select("entity_id")
-    children = entities.select("entity_id", "parent_id")
+    """Dangling parents, parent cycles, duplicate ids, relations without an end.
+
+    Named ids fold before they are looked up, and only ids that something hangs from are walked: leaves, which most
+    entities are, follow their parents. An entity lies on or below a cycle if all its rows hang from what no root reaches.
+    """
+    tally = cut_lineage(entities.groupBy("entity_id").agg(F.count("*").alias("n")))
+    ids = tally.select("entity_id")
+    named = entities.where("parent_id is not null").select("parent_id").distinct()
+    named = cut_lineage(named.join(ids.select(F.col("entity_id").alias("parent_id"), F.lit(True).alias("known")), "parent_id", "left"))
+    dangling = entities.join(named.where("known is null"), "parent_id", "left_semi")
+    twice = tally.where("n > 1")
+    inner = entities.join(named.where("known").select(F.col("parent_id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "parent_id")
+    inner = cut_lineage(inner.join(named, "parent_id", "left").select("entity_id", "parent_id", "known"))
     reached = descend(
-        loose, children,
+        inner.where("known is null").select("entity_id"), inner.where("known").select("entity_id", "parent_id"),
         lambda f, c: c.join(f.withColumnRenamed("entity_id", "parent_id"), "parent_id").select("entity_id"),
     )
-    cyclic = entities.select("entity_id").join(reached, "entity_id", "left_anti")
-    ends = [
-        relations.join(ids.withColumnRenamed("entity_id", side), side, "left_anti").select(F.lit(f"relation-{side}").alias("rule"), F.col(side).alias("key"))
-        for side in ("source_id", "target_id")
-    ]
+    stuck = named.where("known").select("parent_id").join(reached.select(F.col("entity_id").alias("parent_id")), "parent_id", "left_anti")
+    hanging = cut_lineage(entities.join(cut_lineage(stuck), "parent_id", "left_semi").select("entity_id"))
+    whole = hanging.groupBy("entity_id").agg(F.count("*").alias("hanging")).join(tally, "entity_id").where("hanging = n")
+    cyclic = hanging.join(whole, "entity_id", "left_semi")
+    ends = []
+    for side in ("source_id", "target_id"):
+        unknown = relations.select(F.col(side).alias("end")).distinct().join(ids.withColumnRenamed("entity_id", "end"), "end", "left_anti")
+        bad = relations.join(unknown, F.col(side).eqNullSafe(F.col("end")), "left_semi")
+        ends.append(bad.select(F.lit(f"relation-{side}").alias("rule"), F.col(side).alias("key")))
     parts = [
         dangling.select(F.lit("dangling-parent").alias("rule"), F.col("entity_id").alias("key")),
         twice.select(F.lit("duplicate-id").alias("rule"), F.col("entity_id").alias("key")),

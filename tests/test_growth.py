@@ -24,3 +24,15 @@ def test_related_resources_compares_only_shared_ones(spark):
     got = sorted(map(str, (tuple(r) for r in out.collect())))
     assert got == sorted(str((e, i, k)) for e in ("room", "floor", "house") for i, k in ((1, "x"), (1, "y"), (2, None)))
     assert "Aggregate" not in plan(out).split("Union")[0]
+
+
+def test_leaves_are_not_walked(spark, monkeypatch):
+    walked = []
+    monkeypatch.setattr(hierarchy, "descend", lambda roots, children, step, go=hierarchy.descend: walked.append(children.count()) or go(roots, children, step))
+    rows = [("top", None), ("lost", "gone"), ("a", "top"), *[(f"leaf{i}", "a") for i in range(20)], ("x", "y"), ("y", "x"), ("below", "y"), ("twice", "y"), ("twice", "a"), ("both", "x"), ("both", "y")]
+    entities = spark.createDataFrame(rows, "entity_id string, parent_id string")
+    relations = spark.createDataFrame([("a", "b"), ("a", "b"), (None, "x")], "source_id string, target_id string")
+    got = sorted((r.rule, r.key or "") for r in hierarchy.hierarchy_violations(entities, relations).collect())
+    assert got == [("dangling-parent", "lost"), ("duplicate-id", "both"), ("duplicate-id", "twice"), *[("parent-cycle", k) for k in ("below", "both", "both", "x", "y")],
+                   ("relation-source_id", ""), ("relation-target_id", "b"), ("relation-target_id", "b")]
+    assert max(walked) <= 3
