@@ -6,6 +6,8 @@ from landfold.catalogue import mesh as meshq, query
 from landfold.catalogue.raster import hits_sql
 from landfold.catalogue.spatial import inside_sql
 from landfold.operators import bodies, mesh as m
+from landfold.plans.gridjoin import spread
+from landfold.session import cut_lineage
 
 PIXEL = 8.0
 
@@ -66,6 +68,9 @@ st AS (SELECT p.component, p.tri_idx, p.my-1e-2-(f.y1+((p.mx-f.x1)*(f.z3-f.z1)-(
 g AS (SELECT component, tri_idx, min(gap) FILTER (gap>0) AS gap FROM st GROUP BY 1,2)
 SELECT f.component, round(any_value(CASE WHEN sp.d<=30 THEN sp.d END),6) AS separation, round(min(g.gap),6) AS gap_below, count(*) AS samples, count(*)-count(g.gap) AS open_samples FROM f LEFT JOIN g ON g.tri_idx=f.tri_idx LEFT JOIN sp ON sp.component=f.component GROUP BY 1""")
 def _(t):
-    soup = t.tri.select("tile_id", "tri_idx", *[f"{a}{i}" for i in (1, 2, 3) for a in "xyz"]).unionByName(t.sql(HUNG))
-    tri = soup.join(m.components(soup), "tri_idx")
+    # As in the SQL, copies have their faces' components: from a million faces on, their indices are also those of other faces.
+    comp = cut_lineage(m.components(t.tri))
+    own = t.tri.select("tile_id", "tri_idx", *[f"{a}{i}" for i in (1, 2, 3) for a in "xyz"]).join(spread(comp), "tri_idx")
+    hung = t.sql(HUNG).join(spread(comp.select((F.col("tri_idx") + 1000000).alias("tri_idx"), (F.col("component") + 1000000).alias("component"))), "tri_idx")
+    tri = cut_lineage(own.unionByName(hung))
     return bodies.clearance(tri, 30.0).withColumns({c: F.round(c, 6) for c in ("separation", "gap_below")})

@@ -10,6 +10,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_clearance_of_more_than_a_million_faces(spark, tmp_path):
+    part = spark.read.parquet(f"{DATA}/part.parquet").where("p_partkey < 12")
+    part.unionByName(part.withColumn("p_partkey", part.p_partkey + 1000000)).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.spark_queries()["d30_clearance"](spark, str(tmp_path)).collect()
+    assert sum(r.samples for r in got) == 48
+
+
 def test_resolve_index_joins_nothing(spark):
     doc = spark.sql("SELECT 'a' AS doc_id, array(1, 0, 7, -1, NULL) AS materials, array(1, 5) AS textures, array('p', NULL) AS images UNION ALL SELECT 'b', array(0), array(0), NULL")
     out = linkage.resolve_index(doc)
