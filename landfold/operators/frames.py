@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,18 +82,17 @@ def obb_aabb(boxes: DataFrame, key: str) -> DataFrame:
     )
 
 
-HULL_PARTS, HULL_FEW = 64, 4096
+HULL_PARTS, HULL_SMALL, HULL_FEW = 64, 64, 4096
 
 
 def convex_hull(points: DataFrame, key: str, parts: int = HULL_PARTS) -> DataFrame:
     """Vertices of the hull of each key's points, counter-clockwise, as (key, seq, x, z).
 
     Of the points with one x only the lowest and highest z can be vertices, and the other
-    way round: two combinable aggregates drop the rest. A key with more than HULL_FEW points left
+    way round: two combinable aggregates drop the rest. Keys of up to HULL_SMALL points left are
+    lists in rows, many to a call of Python. A key with more than HULL_FEW points left
     is cut into parts by hash, each part keeps its own hull, and only those meet.
     """
-    import pandas as pd
-
     def chain(xz):
         pts = sorted(set(map(tuple, xz)))
         if len(pts) < 3:
@@ -111,6 +111,10 @@ def convex_hull(points: DataFrame, key: str, parts: int = HULL_PARTS) -> DataFra
     def finish(k, pdf):
         return pd.DataFrame([(k[0], i, x, z) for i, (x, z) in enumerate(chain(pdf[["x", "z"]].to_numpy()))], columns=[key, "seq", "x", "z"])
 
+    @F.pandas_udf("array<struct<x: double, z: double>>")
+    def rings(xs: pd.Series, zs: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": u, "z": v} for u, v in chain(zip(x.tolist(), z.tolist()))] for x, z in zip(xs, zs)], dtype=object)
+
     def extremes(df, along, across):
         ends = df.groupBy(key, along).agg(F.array_distinct(F.array(F.min(across), F.max(across))).alias("ends"))
         return ends.select(key, along, F.explode("ends").alias(across))
@@ -118,12 +122,15 @@ def convex_hull(points: DataFrame, key: str, parts: int = HULL_PARTS) -> DataFra
     schema = f"{key} {dict(points.dtypes)[key]}, seq long, x double, z double"
     slim = extremes(extremes(points, "x", "z"), "z", "x").select(key, "x", "z")
     slim = cut_lineage(slim)
-    crowded = slim.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HULL_FEW).select(key)
-    few, many = slim.join(crowded, key, "left_anti"), slim.join(crowded, key, "left_semi")
-    halfway = many.withColumn("part", F.pmod(F.xxhash64("x", "z"), F.lit(parts))).groupBy(key, "part").applyInPandas(finish, schema)
+    sizes = slim.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HULL_SMALL)
+    small, rest = slim.join(sizes, key, "left_anti"), slim.join(sizes, key)
+    folded = small.groupBy(key).agg(F.collect_list(F.struct("x", "z")).alias("points")).select(key, F.posexplode(rings("points.x", "points.z")).alias("seq", "p"))
+    folded = folded.select(key, F.col("seq").cast("bigint").alias("seq"), "p.x", "p.z")
+    few, many = rest.where(F.col("n") <= HULL_FEW), rest.where(F.col("n") > HULL_FEW)
+    halfway = many.select(key, "x", "z").withColumn("part", F.pmod(F.xxhash64("x", "z"), F.lit(parts))).groupBy(key, "part").applyInPandas(finish, schema)
     # An explicit number of partitions keeps AQE from folding small groups into one Python worker.
     spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return few.unionByName(halfway.select(key, "x", "z")).repartition(spread, key).groupBy(key).applyInPandas(finish, schema)
+    return folded.unionByName(few.select(key, "x", "z").unionByName(halfway.select(key, "x", "z")).repartition(spread, key).groupBy(key).applyInPandas(finish, schema))
 
 
 def hull_area(hull: DataFrame, key: str) -> DataFrame:
