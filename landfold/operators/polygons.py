@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landfold.functions.geometry import (
-    crosses_ray, seg_dist_sq, seg_intersects, seg_seg_dist_sq,
+    crosses_ray, seg_dist_sq, seg_intersects,
 )
 from landfold.plans.gridjoin import box_pairs, points_in_boxes, spread
 
@@ -232,9 +232,11 @@ def poly_intersects(a: DataFrame, b: DataFrame, keep: Column | str = "true") ->
 def within_distance(a: DataFrame, b: DataFrame, distance: float, keep: Column | str = "true") -> DataFrame:
     """(a_id, b_id) of polygons no farther apart than the distance; no buffer is built."""
     keep = F.expr(keep) if isinstance(keep, str) else keep
-    near = _edge_pairs(a, b, distance).where(keep).where(
-        seg_seg_dist_sq([f"a_{c}" for c in EDGE], [f"b_{c}" for c in EDGE]) <= distance * distance
-    ).select("a_id", "b_id")
+    p, q = [f"a_{c}" for c in EDGE], [f"b_{c}" for c in EDGE]
+    # Distances are folded by pair and tested after: an aggregate computes their common terms once, the condition of a join each time anew.
+    ends = F.least(seg_dist_sq(p[0], p[1], *q), seg_dist_sq(p[2], p[3], *q), seg_dist_sq(q[0], q[1], *p), seg_dist_sq(q[2], q[3], *p))
+    near = _edge_pairs(a, b, distance).where(keep).groupBy("a_id", "b_id").agg(F.min(ends).alias("d2"), F.max(seg_intersects(p, q)).alias("meet"))
+    near = near.where(F.col("meet") | (F.col("d2") <= distance * distance)).select("a_id", "b_id")
     return near.unionByName(contained(a, b).where(keep)).distinct()
 
 

@@ -1,6 +1,6 @@
 """Steps whose cost per key or pair must stay small."""
 
-from landfold.operators import frames
+from landfold.operators import frames, polygons
 
 
 def plan(df) -> str:
@@ -23,3 +23,11 @@ def test_hulls_do_not_depend_on_how_they_are_made(spark, monkeypatch):
     listed = sorted(map(tuple, frames.convex_hull(points, "k").collect()))
     monkeypatch.setattr(frames, "HULL_SMALL", 0)
     assert listed == sorted(map(tuple, frames.convex_hull(points, "k").collect()))
+
+
+def test_distances_of_pairs_are_not_in_a_join(spark):
+    edges = spark.createDataFrame([(p, 0, 0, i, *e) for p, x in ((1, 0.0), (2, 15.0), (3, 100.0), (4, 1.0)) for i, e in enumerate(
+        [(x, 0.0, x + 5, 0.0), (x + 5, 0.0, x + 5, 5.0), (x + 5, 5.0, x, 5.0), (x, 5.0, x, 0.0)])], "poly_id long, part int, ring int, seq int, x1 double, z1 double, x2 double, z2 double")
+    near = polygons.within_distance(edges, edges, 10.0, "a_id < b_id")
+    assert max(len(line) for line in plan(near).splitlines() if "SortMergeJoin" in line) < 1500
+    assert sorted(map(tuple, near.collect())) == [(1, 2), (1, 4), (2, 4)]
