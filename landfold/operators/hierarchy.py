@@ -11,15 +11,55 @@ from landfold.plans.levels import descend
 from landfold.session import cut_lineage
 
 
+def _split(entities: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The entities that others hang from, and those that none does; None where an id occurs twice. A row without an id hangs from nothing."""
+    named = entities.where("parent_id is not null").select(F.col("parent_id").alias("entity_id")).distinct().withColumn("known", F.lit(True))
+    tally = entities.groupBy("entity_id").agg(F.count("*").alias("n"))
+    marked = cut_lineage(tally.join(named, "entity_id", "left").where("known or n > 1"))
+    if not marked.where("n > 1").isEmpty():
+        return None
+    known = marked.select("entity_id")
+    hung = entities.withColumn("parent_id", F.when(F.col("entity_id").isNotNull(), F.col("parent_id")))
+    return cut_lineage(hung.join(known, "entity_id", "left_semi")), hung.join(known, "entity_id", "left_anti")
+
+
 def ancestors(entities: DataFrame) -> DataFrame:
     """(entity_id, ancestor_id, depth) for every ancestor, self at depth 0; stops on a repeated id.
 
-    One join per level of the tree, whatever the number of entities and however deep it is.
+    From the tops down, one join per level carries the way so far, which is as long as the answer. Only ids that something
+    hangs from are walked, the others take the way of their parent. What no top reaches, and everything if an id occurs
+    twice, climbs instead: one join per level, with the ids seen.
     """
+    entities = entities.select("entity_id", "parent_id")
+    split = _split(entities)
+    if split is None:
+        return _climb(entities, entities)
+    inner, leaves = split
+    known = inner.select(F.col("entity_id").alias("parent_id"))
+    none = F.array().cast(f"array<{dict(entities.dtypes)['entity_id']}>")
+
+    def way(level):
+        return level.select(F.col("entity_id").alias("parent_id"), F.array_prepend("above", F.col("entity_id")).alias("above"))
+
+    tops = inner.join(known, "parent_id", "left_anti").select("entity_id", none.alias("above"))
+    ways = descend(tops, inner, lambda level, children: children.join(way(level), "parent_id").select("entity_id", "above"))
+    stuck = cut_lineage(inner.join(ways.select("entity_id"), "entity_id", "left_anti"))
+    climbing = None
+    if not stuck.isEmpty():
+        cyclic = stuck.select(F.col("entity_id").alias("parent_id"))
+        climbing = _climb(stuck.unionByName(leaves.join(cyclic, "parent_id", "left_semi").select("entity_id", "parent_id")), entities)
+        leaves = leaves.join(cyclic, "parent_id", "left_anti")
+    below = leaves.join(way(ways), "parent_id", "left").select("entity_id", F.coalesce("above", none).alias("above"))
+    told = ways.unionByName(below).select("entity_id", F.posexplode(F.array_prepend("above", F.col("entity_id"))).alias("depth", "ancestor_id")).select("entity_id", "ancestor_id", "depth")
+    return told if climbing is None else told.unionByName(climbing)
+
+
+def _climb(some: DataFrame, entities: DataFrame) -> DataFrame:
+    """ancestors() of some entities, one join per level, with the ids seen on the way."""
     parents = entities.where("parent_id is not null").select(F.col("entity_id").alias("ancestor_id"), F.col("parent_id"))
     known = entities.select(F.col("entity_id").alias("parent_id"))
     parents = parents.join(known, "parent_id", "left_semi")
-    level = cut_lineage(entities.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).alias("depth"), F.array("entity_id").alias("seen")))
+    level = cut_lineage(some.select("entity_id", F.col("entity_id").alias("ancestor_id"), F.lit(0).alias("depth"), F.array("entity_id").alias("seen")))
     levels = [level.drop("seen")]
     while not level.isEmpty():
         level = cut_lineage(level.join(parents, "ancestor_id").where(~F.array_contains("seen", F.col("parent_id"))).select(

@@ -47,3 +47,16 @@ def test_leaves_are_not_walked(spark, monkeypatch):
     assert got == [("dangling-parent", "lost"), ("duplicate-id", "both"), ("duplicate-id", "twice"), *[("parent-cycle", k) for k in ("below", "both", "both", "x", "y")],
                    ("relation-source_id", ""), ("relation-target_id", "b"), ("relation-target_id", "b")]
     assert max(walked) <= 3
+
+
+def test_ancestors_of_leaves_come_from_their_parents(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda df, cut=hierarchy.cut_lineage, **kw: written.append(cut(df, **kw)) or written[-1])
+    rows = [("top", None), ("lost", "gone"), ("a", "top"), *[(f"leaf{i}", "a") for i in range(20)], ("x", "y"), ("y", "x"), ("below", "y"), ("self", "self"), (None, "a")]
+    entities = spark.createDataFrame(rows, "entity_id string, parent_id string")
+    got = hierarchy.ancestors(entities)
+    told = sorted(map(str, map(tuple, got.collect())))
+    assert max(df.count() for df in written) < 20
+    assert told == sorted(map(str, map(tuple, hierarchy._climb(entities, entities).collect())))
+    twice = entities.unionByName(spark.createDataFrame([("leaf1", "top")], entities.schema))
+    assert sorted(map(str, map(tuple, hierarchy.ancestors(twice).collect()))) == sorted(map(str, map(tuple, hierarchy._climb(twice, twice).collect())))
