@@ -106,22 +106,34 @@ def zone_members(entities: DataFrame, relations: DataFrame) -> DataFrame:
 def describe_paths(entities: DataFrame) -> DataFrame:
     """(entity_id, description): type and ancestor names from the root down, without the campus unless it is the only one.
 
-    From the tops down, each level one join that carries the path so far, which is as long as the answer. An entity on or
+    From the tops down, each level one join that carries the path so far, which is as long as the answer. Only ids that
+    something hangs from are walked, unless an id occurs twice; the others take the path of their parent. An entity on or
     below a cycle has no top and is described by its type.
     """
     own = entities.select("entity_id", "parent_id", "type", "name")
-    known = entities.select(F.col("entity_id").alias("parent_id")).distinct()
     none = F.array().cast("array<struct<type: string, name: string>>")
-    tops = own.join(known, "parent_id", "left_anti")
+    split = _split(own)
+    tree = own if split is None else split[0]
+    known = tree.select(F.col("entity_id").alias("parent_id")).distinct()
+    tops = tree.join(known, "parent_id", "left_anti")
+
+    def told(df):
+        kept = F.when(F.size("path") > 1, F.filter("path", lambda p: ~p["type"].eqNullSafe(F.lit("campus")))).otherwise(F.col("path"))
+        names = F.transform(F.coalesce(kept, none), lambda p: p["name"])
+        return df.select("entity_id", F.concat_ws(" · ", F.array("type"), names).alias("description"))
+
+    def up(level):
+        return level.select(F.col("entity_id").alias("parent_id"), F.array_append("path", F.struct(F.col("type").cast("string").alias("type"), F.col("name").cast("string").alias("name"))).alias("path"))
 
     def below(level, children):
-        up = level.select(F.col("entity_id").alias("parent_id"), F.array_append("path", F.struct(F.col("type").cast("string").alias("type"), F.col("name").cast("string").alias("name"))).alias("path"))
-        return children.join(up, "parent_id").select("entity_id", "type", "name", "path")
+        return children.join(up(level), "parent_id").select("entity_id", "type", "name", "path")
 
-    paths = descend(tops.select("entity_id", "type", "name", none.alias("path")), own, below).select("entity_id", "path")
-    kept = F.when(F.size("path") > 1, F.filter("path", lambda p: ~p["type"].eqNullSafe(F.lit("campus")))).otherwise(F.col("path"))
-    names = F.transform(F.coalesce(kept, none), lambda p: p["name"])
-    return own.join(paths, "entity_id", "left").select("entity_id", F.concat_ws(" · ", F.array("type"), names).alias("description"))
+    paths = descend(tops.select("entity_id", "type", "name", none.alias("path")), tree, below)
+    if split is None:
+        return told(own.join(paths.select("entity_id", "path"), "entity_id", "left"))
+    stuck = tree.join(paths.select("entity_id"), "entity_id", "left_anti").select("entity_id", "type", "name", none.alias("path"))
+    ends = split[1].join(up(paths), "parent_id", "left").select("entity_id", "type", "name", "path")
+    return told(paths.unionByName(stuck).unionByName(ends))
 
 
 def hierarchy_violations(entities: DataFrame, relations: DataFrame) -> DataFrame:

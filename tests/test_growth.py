@@ -60,3 +60,13 @@ def test_ancestors_of_leaves_come_from_their_parents(spark, monkeypatch):
     assert told == sorted(map(str, map(tuple, hierarchy._climb(entities, entities).collect())))
     twice = entities.unionByName(spark.createDataFrame([("leaf1", "top")], entities.schema))
     assert sorted(map(str, map(tuple, hierarchy.ancestors(twice).collect()))) == sorted(map(str, map(tuple, hierarchy._climb(twice, twice).collect())))
+
+
+def test_paths_of_leaves_come_from_their_parents(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(hierarchy, "descend", lambda roots, children, step, go=hierarchy.descend: written.append(children.count()) or go(roots, children, step))
+    rows = [("top", None, "campus"), ("lost", "gone", "zone"), ("a", "top", "zone"), *[(f"leaf{i}", "a", "space") for i in range(20)], ("x", "y", "zone"), ("y", "x", "zone"), ("below", "y", "space"), (None, "a", "space")]
+    entities = spark.createDataFrame([(e, p, t, f"N{e}") for e, p, t in rows], "entity_id string, parent_id string, type string, name string")
+    got = {r.entity_id: r.description for r in hierarchy.describe_paths(entities).collect()}
+    assert got == {"top": "campus", "lost": "zone", "a": "zone · Ntop", **{f"leaf{i}": "space · Na" for i in range(20)}, "x": "zone", "y": "zone", "below": "space", None: "space"}
+    assert max(written) <= 4
