@@ -51,13 +51,13 @@ def _(t):
  shown AS (SELECT node_id, available, opens FROM allu WHERE parent_id IS NULL UNION ALL SELECT a.node_id, a.available, a.opens FROM allu a JOIN shown p ON a.parent_id=p.node_id AND p.opens)
 SELECT node_id FROM shown WHERE available AND NOT opens""")
 def _(t):
-    return h.frontier(lod(t), 1.0)
+    return h.frontier(lod(t, "depth"), 1.0)
 
 
-def lod(t):
-    """Error halves twice per level, from 64 at the root."""
+def lod(t, *more):
+    """Error halves twice per level, from 64 at the root. more: "depth" to have it in a column."""
     depth = h.with_depth(t.lod_node)
-    return t.lod_node.join(depth, "node_id").select("node_id", "parent_id", "available", (F.lit(64.0) / F.pow(F.lit(4.0), "depth")).alias("error"))
+    return t.lod_node.join(depth, "node_id").select("node_id", "parent_id", "available", (F.lit(64.0) / F.pow(F.lit(4.0), "depth")).alias("error"), *more)
 
 
 @query("g7_owners_at", """WITH RECURSIVE d AS (SELECT node_id, 0 AS depth, CAST(NULL AS BIGINT) AS owner_id FROM lod_node WHERE parent_id IS NULL

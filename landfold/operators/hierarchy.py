@@ -208,11 +208,10 @@ def frontier(nodes: DataFrame, threshold: float) -> DataFrame:
     """Nodes to show: shallowest available node fine enough (or a leaf); where a subtree cannot
     be covered by available nodes, its parent is shown whole instead.
 
-    Bottom-up: a node is covered by its descendants when every child is usable or covered.
-    Top-down: show a covered node's children only while the node itself is too coarse.
+    nodes may have a column depth, which is then not walked for. Bottom-up: a node is covered by its descendants when every
+    child is usable or covered. Top-down: show a covered node's children only while the node itself is too coarse.
     """
-    depth = with_depth(nodes)
-    known = cut_lineage(nodes.join(depth, "node_id"))
+    known = cut_lineage(nodes if "depth" in nodes.columns else nodes.join(with_depth(nodes), "node_id"))
     kids = known.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids"))
     known = cut_lineage(known.join(kids, "node_id", "left").withColumn("final", (F.col("error") <= threshold) | F.col("kids").isNull()))
     deepest = known.agg(F.max("depth")).first()[0] or 0

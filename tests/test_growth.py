@@ -70,3 +70,11 @@ def test_paths_of_leaves_come_from_their_parents(spark, monkeypatch):
     got = {r.entity_id: r.description for r in hierarchy.describe_paths(entities).collect()}
     assert got == {"top": "campus", "lost": "zone", "a": "zone · Ntop", **{f"leaf{i}": "space · Na" for i in range(20)}, "x": "zone", "y": "zone", "below": "space", None: "space"}
     assert max(written) <= 4
+
+
+def test_given_depths_are_not_walked_for(spark, monkeypatch):
+    walks = []
+    monkeypatch.setattr(hierarchy, "descend", lambda *a, go=hierarchy.descend: walks.append(1) or go(*a))
+    nodes = spark.createDataFrame([(0, None, True, 8.0, 0), (1, 0, True, 1.0, 1), (2, 0, True, 1.0, 1)], "node_id long, parent_id long, available boolean, error double, depth int")
+    assert sorted(r.node_id for r in hierarchy.frontier(nodes, 1.0).collect()) == [1, 2]
+    assert len(walks) == 1
