@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landfold.functions.geometry import barycentric_xz
@@ -64,10 +64,16 @@ def slice_support(tri: DataFrame, body: str, step: float, slices: tuple[float, .
     counted = clipped.groupBy("body", "slice").agg(F.count("*").alias("faces"), F.sum("plan_area").alias("clipped_area"))
     pieces = fan(clipped.withColumn("tile_id", F.struct("body", "slice")))
     cells = cut_lineage(triangles_to_cells(pieces, step).select("tile_id.*", "row_no", "col_no").distinct())
+    # Cells side by side in a row are one run, named by its first cell; only runs of neighbouring rows have to be connected.
+    along = Window.partitionBy("body", "slice", "row_no").orderBy("col_no")
+    cells = cells.withColumn("gap", F.col("col_no") - F.row_number().over(along))
+    runs = cut_lineage(cells.groupBy("body", "slice", "row_no", "gap").agg(F.min("col_no").alias("col_no"), F.count("*").alias("n")).drop("gap"))
     node = F.struct("body", "slice", "row_no", "col_no")
-    beside = [F.struct("body", "slice", (F.col("row_no") + dr).alias("row_no"), (F.col("col_no") + dc).alias("col_no")) for dr, dc in ((0, 1), (1, 0))]
-    edges = cells.select(node.alias("u"), F.explode(F.array(*beside)).alias("v")).join(cells.select(node.alias("v")), "v", "left_semi").select("u", "v")
-    size = connected(cells.select(node.alias("id")), edges).groupBy("component").agg((F.count("*") * F.lit(step * step)).alias("size"))
+    spans = runs.select("body", "slice", "row_no", node.alias("u"), F.explode(F.sequence("col_no", F.col("col_no") + F.col("n") - 1)).alias("at"))
+    beside = spans.select("body", "slice", (F.col("row_no") - 1).alias("row_no"), F.col("u").alias("v"), "at")
+    edges = spans.join(spread(beside), ["body", "slice", "row_no", "at"]).select("u", "v")
+    comp = connected(runs.select(node.alias("id")), edges).join(runs.select(node.alias("id"), "n"), "id")
+    size = comp.groupBy("component").agg((F.sum("n") * F.lit(step * step)).alias("size"))
     parts = size.groupBy(F.col("component.body").alias("body"), F.col("component.slice").alias("slice")).agg(
         F.sum("size").alias("area"), F.count("*").alias("parts"), F.count(F.when(F.col("size") > large, 1)).alias("large_parts"), F.max("size").alias("largest"))
     out = levels.join(counted, ["body", "slice"], "left").join(parts, ["body", "slice"], "left").withColumn("cells", F.rint(F.col("area") / (step * step)).cast("bigint"))
