@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from landfold.functions.geometry import barycentric_xz
 from landfold.operators.polygons import point_in_polygon
 from landfold.operators.raster import triangles_to_cells
+from landfold.plans.boxtree import box_gap, nearest_boxes
 from landfold.plans.components import connected
 from landfold.plans.gridjoin import box_pairs, points_in_boxes, spread
 from landfold.plans.ordered import quantiles
 from landfold.session import cut_lineage
 
 FLAT_AREA = 1e-9
+#: side of the cells in which boxes meet, and the most of them across that a box is met with all it covers
+CELL, WIDE = 32.0, 8
 
 
 def _vertex(i: int) -> Column:
@@ -161,14 +164,18 @@ def clearance(tri: DataFrame, reach: float) -> DataFrame:
     below; open_samples: faces with nothing below. tri: component and the face's columns.
     """
     faces = tri.select("component", "tile_id", "tri_idx", *[f(*[F.col(f"{a}{i}") for i in (1, 2, 3)]).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.least), ("hi", F.greatest))])
-    box = faces.groupBy("component").agg(*[f(f"{n}_{a}").alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    box = cut_lineage(faces.groupBy("component").agg(*[f(f"{n}_{a}").alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]))
     a = box.select(F.col("component").alias("a"), *[F.col(f"{n}_{c}").alias(f"a{n}{c}") for n in ("lo", "hi") for c in "xyz"],
                    *[(F.col(f"{n}_{c}") + s * reach).alias(f"a{c}{k}") for c in "xz" for k, (n, s) in enumerate((("lo", -1), ("hi", 1)))])
     b = faces.select(F.col("component").alias("b"), *[F.col(f"{n}_{c}").alias(f"b{n}{c}") for n in ("lo", "hi") for c in "xyz"],
                      *[F.col(f"{n}_{c}").alias(f"b{c}{k}") for c in "xz" for k, n in enumerate(("lo", "hi"))])
-    gap = [F.greatest(F.lit(0.0), F.col(f"blo{c}") - F.col(f"ahi{c}"), F.col(f"alo{c}") - F.col(f"bhi{c}")) for c in "xyz"]
-    near = box_pairs(a, b, base=32.0).where("a <> b").select("a", F.inline(F.array(F.struct(F.sqrt(sum((g * g for g in gap), F.lit(0.0))).alias("d")))))
-    near = near.where(F.col("d") <= reach).groupBy(F.col("a").alias("component")).agg(F.min("d").alias("separation"))
+    # A wide box may cover any share of all faces: those go down a tree of them, where most are never met.
+    wide = F.greatest(F.col("ax1") - F.col("ax0"), F.col("az1") - F.col("az0")) > WIDE * CELL
+    near = box_pairs(a.where(~wide), b, base=CELL).where("a <> b").select("a", F.inline(F.array(F.struct(box_gap().alias("d")))))
+    near = near.where(F.col("d") <= reach).groupBy("a").agg(F.min("d").alias("d"))
+    if not a.where(wide).isEmpty():
+        near = near.unionByName(nearest_boxes(a.where(wide), b, reach, CELL))
+    near = near.select(F.col("a").alias("component"), F.col("d").alias("separation"))
     middle = tri.select(F.struct("tile_id", "tri_idx").alias("pt_id"), F.col("component").alias("own"), *[((F.col(f"{c}1") + F.col(f"{c}2") + F.col(f"{c}3")) / 3).alias(c) for c in "xyz"])
     below = middle.select("pt_id", "own").join(surface_below(middle, tri).select("pt_id", "gap"), "pt_id", "left")
     drop = below.groupBy(F.col("own").alias("component")).agg(F.min("gap").alias("gap_below"), F.count("*").alias("samples"), F.count(F.when(F.col("gap").isNull(), 1)).alias("open_samples"))

@@ -1,7 +1,11 @@
 """What a query's steps must not do as tables grow."""
 
+import math
+import random
+
 from landfold import catalogue
-from landfold.operators import hierarchy, linkage
+from landfold.operators import bodies, hierarchy, linkage
+from landfold.plans import boxtree
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,6 +21,31 @@ def test_clearance_of_more_than_a_million_faces(spark, tmp_path):
     assert sum(r.samples for r in got) == 48
 
 
+def test_clearance_does_not_meet_all_that_wide_components_cover(spark, monkeypatch):
+    rng, faces = random.Random(7), []
+    put = lambda c, x, y, z: faces.append((c, 0, len(faces), x, y, z, x + 2, y + 0.5, z, x, y, z + 2))
+    for i in range(24):
+        for j in range(24):
+            put(len(faces), i * 24.0 - 300, float(rng.choice((0, 5, 60))), j * 24.0 - 300)
+    # across the whole field: among the others, between them, just above them, too far above, and along one edge only
+    for k, (low, high, wide) in enumerate([(0.0, 60.0, 560.0)] * 12 + [(20.0, 40.0, 560.0)] * 12 + [(72.0, 80.0, 560.0)] * 12 + [(95.0, 99.0, 560.0)] * 12 + [(20.25, 30.0, 0.0)] * 12):
+        put(10000 + k, -310.0, low + k % 12 / 8, -310.0)
+        put(10000 + k, -310.0 + wide, high + k % 12 / 8, 250.0)
+    met, opened = [], []
+    monkeypatch.setattr(bodies, "box_pairs", lambda *a, go=bodies.box_pairs, **kw: met.append((out := go(*a, **kw)).count()) or out)
+    monkeypatch.setattr(boxtree, "cut_lineage", lambda df, go=boxtree.cut_lineage, **kw: opened.append((out := go(df, **kw)).count()) or out)
+    tri = spark.createDataFrame(faces, "component bigint, tile_id int, tri_idx bigint, " + ", ".join(f"{a}{i} double" for i in (1, 2, 3) for a in "xyz"))
+    got = {r.component: r.separation for r in bodies.clearance(tri, 30.0).collect()}
+    part = [(f[0], tuple((min(f[3 + a::3]), max(f[3 + a::3])) for a in range(3))) for f in faces]
+    box = {}
+    for c, b in part:
+        box[c] = tuple((min(p[0], q[0]), max(p[1], q[1])) for p, q in zip(box.get(c, b), b))
+    gap = lambda p, q: math.sqrt(sum(max(0.0, v[0] - u[1], u[0] - v[1]) ** 2 for u, v in zip(p, q)))
+    want = {c: min((d for o, q in part if o != c and (d := gap(p, q)) <= 30), default=None) for c, p in box.items()}
+    assert got == want
+    assert sum(met) + sum(opened) < 25 * len(faces)
+
+
 def test_view_score_shuffles_no_corners(spark):
     assert "Aggregate [pose_id" not in plan(catalogue.spark_queries()["t8_view_score"](spark, DATA))
 
